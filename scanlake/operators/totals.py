@@ -187,13 +187,11 @@ def check_tally(counts: DataFrame) -> DataFrame:
         ]
     )
     rows = counts.withColumn("_o", outcomes)
-    return rows.select(
-        "scan_id",
-        *[
-            F.size(F.filter("_o", lambda o, s=status: o == s)).cast("bigint").alias(status.lower())
-            for status in ("PASS", "WARN", "FAIL")
-        ],
-    )
+
+    def tally(status: str) -> Column:
+        return F.size(F.filter("_o", lambda outcome: outcome == status)).cast("bigint").alias(status.lower())
+
+    return rows.select("scan_id", *[tally(status) for status in ("PASS", "WARN", "FAIL")])
 
 
 def report_sections(facts: DataFrame, coverage_threshold: float = 70.0) -> DataFrame:

@@ -25,7 +25,7 @@ def read_artifacts(spark: SparkSession, root: str, pattern: str = "*") -> DataFr
         scan_id.alias("scan_id"),
         rel_path.alias("rel_path"),
         "length",
-        F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.col("content").cast("string").alias("content"),
     )
 
 
