@@ -296,9 +296,11 @@ lines as (
 
 
 def chunk_rows(raw: DataFrame) -> DataFrame:
-    """Console chunks; the role opens the text so that phase words occur."""
+    """Console chunks. The text is opened by a phase word, often the one of the chunk before, at times by none."""
     words = {"user": "git clone ", "assistant": "pytest ", "system": "artifact "}
-    prefix = F.element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), F.col("role"))
+    by_role = F.element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), F.col("role"))
+    step = F.col("turn") % 4
+    prefix = F.when(step < 2, "git clone ").when(step == 2, by_role).otherwise("")
     return raw.select(
         F.col("conv_id").alias("build"), F.col("turn").alias("offset"), F.concat(prefix, "text").alias("text")
     )
@@ -307,7 +309,8 @@ def chunk_rows(raw: DataFrame) -> DataFrame:
 CHUNKS_SQL = """
 chunks as (
   select conv_id as build, turn as "offset",
-    case role when 'user' then 'git clone ' when 'assistant' then 'pytest ' else 'artifact ' end || text as text
+    case when turn % 4 < 2 then 'git clone ' when turn % 4 = 3 then '' when role = 'user' then 'git clone '
+      when role = 'assistant' then 'pytest ' else 'artifact ' end || text as text
   from conversations)
 """
 

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from scanlake.plans import counting, ingest, summaries, verdicts  # noqa: F401
+from scanlake.plans import content, counting, ingest, projects, summaries, verdicts  # noqa: F401
 from scanlake.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401

@@ -193,7 +193,7 @@ def top(spark, sf):
 def merged(spark, sf):
     """Issues of tests, coverage, vulnerabilities, secrets and Dockerfile lint, keyed by scan."""
     f = b.findings(spark, sf).withColumn("severity_raw", F.upper("severity_raw"))
-    cov = tc.read_cobertura(ingest.cobertura_files(spark, sf)).withColumn("ord", F.unicode("file"))
+    cov = tc.read_cobertura(ingest.cobertura_files(spark, sf)).withColumn("ord", F.ascii("file"))
     failures = tc.failed_cases(tc.read_junit(b.junit_files(spark, sf)))
     part = F.regexp_extract("file", r"(\d+)", 1).cast("bigint")
     failures = failures.withColumn("ord", part * b.SUITE_SPAN + F.col("case_no"))

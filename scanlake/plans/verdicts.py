@@ -202,9 +202,8 @@ def quality_blockers(spark, sf):
 @query(
     "gate_license",
     "G13 T4",
-    """select doc_id, case when text like '%GNU General Public License%' and not regexp_matches(text, '\\b(MIT|Apache)( License|\\b)') then 'GNU General Public'
-      else nullif(regexp_extract(text, '(AGPL-[0-9.]+|MIT|Apache|GNU General Public)( License|\\b)', 1), '') end as license
-    from documents where nullif(regexp_extract(text, '(AGPL-[0-9.]+|MIT|Apache|GNU General Public)( License|\\b)', 1), '') in ('GNU General Public', 'AGPL-3.0')""",
+    r"""with l as (select doc_id, regexp_extract(text, '(AGPL-[0-9.]+|MIT|Apache|GNU General Public)( License|\b)', 1) as license from documents)
+    select doc_id, license from l where license in ('GNU General Public', 'AGPL-3.0')""",
 )
 def licenses(spark, sf):
     docs = b.table(spark, sf, "documents").select("doc_id", license_text("text").alias("license"))
