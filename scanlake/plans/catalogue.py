@@ -1,4 +1,6 @@
 """All registered queries."""
 
-from scanlake.plans import content, counting, ingest, projects, summaries, verdicts  # noqa: F401
+from scanlake.plans import (  # noqa: F401
+    content, counting, history, ingest, projects, streams, summaries, verdicts,
+)
 from scanlake.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401

@@ -11,11 +11,14 @@ from scanlake.operators.rules import detect_phase
 
 
 def read_table_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet folder as a stream; the schema is the table's own, read once from its footer."""
+    """A parquet file or folder as a stream; the schema is the table's own, read once from its footer.
+
+    The stream source takes a single file only through a glob, so the last character is given as one.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_append(stream: DataFrame, root: str) -> DataFrame:
