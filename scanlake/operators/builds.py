@@ -7,18 +7,12 @@ from pyspark.sql import functions as F
 
 from scanlake import schemas
 from scanlake.functions.timing import duration_ms, from_epoch_ms, result_label, running_result, whole_seconds
+from scanlake.sources.textual import last_of_each
 
 AGENT_TTL_SECONDS = 7200
 MAX_AGENTS = 10
 
 
-def last_wins(entries: Column) -> Column:
-    """(name, value) pairs as a map; of equal names the last one stays. For the few pairs of one build."""
-    later = F.transform(entries, lambda e, i: F.struct(e["name"].alias("name"), e["value"].alias("value"), i.alias("i")))
-    kept = F.filter(later, lambda e: ~F.exists(later, lambda o: (o["name"] == e["name"]) & (o["i"] > e["i"])))
-    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["name"], e["value"])))
-
-
 def build_detail(df: DataFrame) -> DataFrame:
     """Build documents to typed rows: parameters of all actions as one map, artifacts as a list, empty ones null."""
     doc = df.withColumn("d", F.from_json("content", schemas.BUILD, {"mode": "PERMISSIVE"}))
@@ -26,11 +20,10 @@ def build_detail(df: DataFrame) -> DataFrame:
         F.transform(F.coalesce("d.actions", F.array()), lambda a: F.coalesce(a["parameters"], F.array()))
     )
     named = F.transform(
-        entries, lambda p: F.struct(F.coalesce(p["name"], F.lit("")).alias("name"), p["value"].alias("value"))
+        entries, lambda p: F.struct(F.coalesce(p["name"], F.lit("")).alias("key"), p["value"].alias("value"))
     )
-    params = last_wins(named)
     artifacts = F.coalesce("d.artifacts", F.array())
-    return doc.select(
+    return last_of_each(doc, named, "params").select(
         "job",
         F.coalesce("d.number", F.lit(0)).alias("number"),
         F.col("d.result").alias("result"),
@@ -38,7 +31,7 @@ def build_detail(df: DataFrame) -> DataFrame:
         F.col("d.timestamp").alias("timestamp_ms"),
         F.col("d.duration").alias("duration_ms"),
         F.col("d.url").alias("url"),
-        F.when(F.size(params) > 0, params).alias("params"),
+        F.when(F.size("params") > 0, F.map_from_entries("params")).alias("params"),
         F.when(F.size(artifacts) > 0, artifacts).alias("artifacts"),
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scanlake.functions.numbers import one_digit_text
 from scanlake.functions.severity import severity_rank
-from scanlake.operators.skew import previous_value, running_sums
+from scanlake.operators.skew import sliced_window
 
 # Phases of a local scan, in order.
 PHASES = ("detect", "test", "coverage", "security", "aggregate")
@@ -120,19 +120,22 @@ def phase_timeline(phases: DataFrame, span_ms: float = 3_600_000.0) -> DataFrame
 
     Time order is cut into slices of ``span_ms``, so a scan with very many phase records still spreads.
     """
-    order = ["start_ms", "phase_id"]
-    slice_of = F.col("start_ms")
-    one = F.lit(1).cast("bigint")
-    sums = {"place": one, "elapsed_ms": F.col("duration_ms")}
-    summed = running_sums(phases, ["scan_id"], order, sums, slice_of, span_ms)
-    placed = previous_value(summed, ["scan_id"], order, "start_ms", slice_of, span_ms, "_before")
+    placed = sliced_window(
+        phases,
+        ["scan_id"],
+        ["start_ms", "phase_id"],
+        F.col("start_ms"),
+        span_ms,
+        sums={"place": F.lit(1).cast("bigint"), "elapsed_ms": F.col("duration_ms")},
+        previous={"_before": "start_ms"},
+    )
     return placed.withColumn("gap_ms", F.col("start_ms") - F.col("_before")).drop("_before")
 
 
 def phase_changes(chunks: DataFrame, span: float = 65536.0) -> DataFrame:
     """Chunks (build, offset, phase) whose detected phase differs from the one detected before; null phases are skipped."""
     detected = chunks.where(F.col("phase").isNotNull())
-    marked = previous_value(detected, ["build"], ["offset"], "phase", F.col("offset"), span, "previous")
+    marked = sliced_window(detected, ["build"], ["offset"], F.col("offset"), span, previous={"previous": "phase"})
     return marked.where(~F.col("phase").eqNullSafe(F.col("previous")))
 
 

@@ -11,45 +11,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICE = "_slice"
 
-
-def with_slice(df: DataFrame, order: Column, span: float) -> DataFrame:
-    """``order`` is numeric; rows whose order falls in the same ``span`` share a slice."""
-    return df.withColumn(SLICE, F.floor(order / F.lit(span)).cast("bigint"))
-
-
-def previous_value(
-    df: DataFrame, keys: list[str], order: list[str], value: str, slice_of: Column, span: float, out: str
+def sliced_window(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    slice_of: Column,
+    span: float,
+    sums: dict[str, Column] | None = None,
+    previous: dict[str, str] | None = None,
 ) -> DataFrame:
-    """``lag(value)`` per key, in ``order``; ``order`` must be unique within the key."""
-    sliced = with_slice(df, slice_of, span)
-    inside = W.partitionBy(*keys, SLICE).orderBy(*order)
-    rows = sliced.withColumn("_n", F.row_number().over(inside)).withColumn("_lag", F.lag(value).over(inside))
-    # One row per slice: its last value. max_by keeps nulls of the value, so the struct wraps it.
-    ends = sliced.groupBy(*keys, SLICE).agg(F.max_by(F.struct(value), F.struct(*order)).alias("_end"))
-    across = W.partitionBy(*keys).orderBy(SLICE)
-    carried = ends.select(*keys, SLICE, F.lag("_end").over(across)[value].alias("_carry"))
-    return (
-        rows.join(carried, [*keys, SLICE])
-        .withColumn(out, F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_lag")))
-        .drop("_n", "_lag", "_carry", SLICE)
+    """Running sums (this row included) and previous values per key, in ``order``.
+
+    ``order`` must be unique within a key and agree with ``slice_of``, a number; rows whose number falls in the
+    same ``span`` share a slice. ``sums`` maps output names to summed expressions, ``previous`` maps output
+    names to columns. The slice ends come from the windowed rows themselves, so the input is shuffled once.
+    """
+    sums, previous = sums or {}, previous or {}
+    sliced = df.withColumn("_slice", F.floor(slice_of / F.lit(span)).cast("bigint"))
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
+    up_to_here = inside.rowsBetween(W.unboundedPreceding, 0)
+    rows = sliced.select(
+        "*",
+        F.row_number().over(inside).alias("_n"),
+        F.lead(F.lit(1)).over(inside).isNull().alias("_last"),
+        *[F.sum(expr).over(up_to_here).alias(f"_in_{name}") for name, expr in sums.items()],
+        *[F.lag(column).over(inside).alias(f"_lag_{name}") for name, column in previous.items()],
     )
-
-
-def running_sums(
-    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], slice_of: Column, span: float
-) -> DataFrame:
-    """Running sums per key, this row included; ``sums`` maps output names to summed expressions."""
-    sliced = with_slice(df, slice_of, span)
-    inside = W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    rows = sliced.select("*", *[F.sum(expr).over(inside).alias(f"_in_{name}") for name, expr in sums.items()])
-    totals = sliced.groupBy(*keys, SLICE).agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
-    before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys, SLICE, *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_up_{name}") for name in sums]
+    across = W.partitionBy(*keys).orderBy("_slice")
+    before = across.rowsBetween(W.unboundedPreceding, -1)
+    carried = rows.where("_last").select(
+        *keys,
+        "_slice",
+        *[F.coalesce(F.sum(f"_in_{name}").over(before), F.lit(0)).alias(f"_up_{name}") for name in sums],
+        *[F.lag(column).over(across).alias(f"_up_{name}") for name, column in previous.items()],
     )
-    joined = rows.join(carried, [*keys, SLICE])
-    return joined.select(
-        *df.columns, *[(F.col(f"_in_{name}") + F.col(f"_up_{name}")).alias(name) for name in sums]
+    first = F.col("_n") == 1
+    return rows.join(carried, [*keys, "_slice"]).select(
+        *df.columns,
+        *[(F.col(f"_in_{name}") + F.col(f"_up_{name}")).alias(name) for name in sums],
+        *[F.when(first, F.col(f"_up_{name}")).otherwise(F.col(f"_lag_{name}")).alias(name) for name in previous],
     )

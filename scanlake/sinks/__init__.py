@@ -9,6 +9,7 @@ from scanlake.functions.paths import artifact_visible
 from scanlake.operators.totals import COUNTERS
 
 SCHEMA_VERSION = "1.0.0"
+MAX_DOCUMENTS_PER_FILE = 10_000
 
 
 def counters(prefix: str = "", upper: bool = False) -> Column:
@@ -96,9 +97,11 @@ def visible_artifacts(artifacts: DataFrame) -> DataFrame:
 def write_documents(docs: DataFrame, root: str, name: str, folders: str | None = None) -> None:
     """Write one document per line below ``root/name``, optionally one folder per value of ``folders``.
 
-    The rows keep their partitioning, so a task writes what it holds and a hot scan is not gathered.
+    Without folders a task writes what it holds. With folders the rows are rebalanced first: large folders get
+    several files of bounded size and small ones do not get a file from every task.
     """
-    writer = docs.write.mode("overwrite")
+    rows = docs.hint("rebalance", folders) if folders else docs
+    writer = rows.write.mode("overwrite").option("maxRecordsPerFile", MAX_DOCUMENTS_PER_FILE)
     if folders:
         writer = writer.partitionBy(folders)
     writer.text(f"{root}/{name}")

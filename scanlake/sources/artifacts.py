@@ -36,6 +36,11 @@ def read_report_lines(spark: SparkSession, root: str, pattern: str = "*") -> Dat
     return rows.select(scan_id.alias("scan_id"), rel_path.alias("rel_path"), F.col("value").alias("line"))
 
 
+def stage_artifacts(artifacts: DataFrame, path: str) -> None:
+    """Pack many small report files into few large Parquet files, once, before anything parses them."""
+    artifacts.hint("rebalance").write.mode("overwrite").parquet(path)
+
+
 def _scan_and_path(path: Column, root: str) -> tuple[Column, Column]:
     """Split ``.../<root>/<scan>/<relative>``; a ``key=value`` scan folder gives its value."""
     marker = root.rstrip("/").rsplit("/", 1)[-1] + "/"

@@ -67,14 +67,15 @@ def manifest_components(df: DataFrame) -> DataFrame:
 
 
 def gosum_components(df: DataFrame) -> DataFrame:
-    """Checksum lines ``name version[/go.mod] hash``; each name@version once per file."""
-    line = F.explode(F.split("content", "\n")).alias("line")
-    parts = df.select("scan_id", "file", line).select(
-        "scan_id", "file", F.split(F.trim("line"), r"\s+").alias("p")
-    ).where(F.size("p") >= 2)
-    version = F.regexp_replace(F.substring_index(F.col("p")[1], "/", 1), "^v+", "")
-    rows = parts.select("scan_id", "file", F.col("p")[0].alias("name"), version.alias("version")).distinct()
-    return rows.select("scan_id", "file", *_library("golang", F.col("name"), F.col("version")))
+    """Checksum lines ``name version[/go.mod] hash``; each name@version once per file, settled inside the row."""
+    words = F.transform(F.split("content", "\n"), lambda line: F.split(F.trim(line), r"\s+"))
+    pairs = F.transform(
+        F.filter(words, lambda w: F.size(w) >= 2),
+        lambda w: F.concat(w[0], F.lit(" "), F.regexp_replace(F.substring_index(w[1], "/", 1), "^v+", "")),
+    )
+    rows = df.select("scan_id", "file", F.explode(F.array_distinct(pairs)).alias("pair"))
+    name, version = F.substring_index("pair", " ", 1), F.substring_index("pair", " ", -1)
+    return rows.select("scan_id", "file", *_library("golang", name, version))
 
 
 def expand_image_catalog(repositories: DataFrame, tags: DataFrame, registry: str) -> DataFrame:

@@ -34,12 +34,22 @@ def last_value(entries: Column, key: str) -> Column:
     return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["value"]
 
 
+def last_of_each(df: DataFrame, entries: Column, out: str) -> DataFrame:
+    """``out``: the (key, value) pairs of a row, of equal keys only the last one. Sorted in the row, not shuffled."""
+    placed = F.transform(
+        entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("place"), e["value"].alias("value"))
+    )
+    rows = df.withColumn("_sorted", F.array_sort(placed))
+    is_last = F.filter("_sorted", lambda e, i: ~e["key"].eqNullSafe(F.get("_sorted", i + 1)["key"]))
+    return rows.withColumn(
+        out, F.transform(is_last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    ).drop("_sorted")
+
+
 def parse_key_values(df: DataFrame) -> DataFrame:
     """(scan_id, file, key, value); the last of repeated keys wins."""
-    rows = df.select("scan_id", "file", F.posexplode(key_value_entries(F.col("content"))).alias("pos", "e"))
-    return rows.groupBy("scan_id", "file", F.col("e.key").alias("key")).agg(
-        F.max_by("e.value", "pos").alias("value")
-    )
+    rows = last_of_each(df, key_value_entries(F.col("content")), "_entries")
+    return rows.select("scan_id", "file", F.inline("_entries"))
 
 
 def grep_report_totals(df: DataFrame) -> DataFrame:

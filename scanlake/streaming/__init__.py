@@ -79,7 +79,7 @@ def stream_phase_changes(chunks: DataFrame, root: str) -> DataFrame:
     def step(batch: DataFrame, batch_id: int) -> None:
         detected = batch.select(
             F.col("build").cast("bigint"), F.col("offset").cast("bigint"), detect_phase("text").alias("phase")
-        ).where("phase is not null")
+        ).where("phase is not null").persist()
         if batch_id > 0:
             state = spark.read.schema(state_schema).parquet(f"{root}/state/batch={batch_id - 1}")
         else:
@@ -95,6 +95,7 @@ def stream_phase_changes(chunks: DataFrame, root: str) -> DataFrame:
             F.max_by(F.struct("offset", "phase"), "offset").alias("s")
         )
         last.select("build", "s.offset", "s.phase").write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
+        detected.unpersist()
 
     query = (
         chunks.writeStream.foreachBatch(step)
