@@ -7,13 +7,41 @@ from pyspark.sql import functions as F
 
 SCAN_ID_PATTERN = r"^[a-zA-Z0-9_\-]{3,80}$"
 EPOCH_TAIL_PATTERN = r"(\d{8,})$"
-SENSITIVE_KEY_PATTERN = r"(?i)(password|secret|token|key|credential)"
+SENSITIVE_WORDS = r"(?i)password|secret|token|key|credential"
 
 
 def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _is_literal(part: str) -> bool:
+    return not any(mark in part for mark in ".*+?[](){}^$\\")
+
+
+def find(text: Column, pattern: str) -> Column:
+    """``rlike`` for patterns that are mostly words.
+
+    Alternatives without regex marks become plain substring tests, which are many times cheaper on long texts;
+    an alternative such as ``a.*b`` is only tried as a regex where both words occur. A leading ``(?i)`` folds case.
+    """
+    fold = pattern.startswith("(?i)")
+    body = pattern[4:] if fold else pattern
+    parts = body.split("|")
+    if not all(_is_literal(piece) for part in parts for piece in part.split(".*")):
+        return text.rlike(pattern)
+    seen = F.lower(text) if fold else text
+    found = None
+    for part in parts:
+        pieces = [piece.lower() if fold else piece for piece in part.split(".*")]
+        hit = seen.contains(pieces[0])
+        for piece in pieces[1:]:
+            hit = hit & seen.contains(piece)
+        if len(pieces) > 1:
+            hit = hit & text.rlike(f"(?i){part}" if fold else part)
+        found = hit if found is None else found | hit
+    return found
+
+
 def valid_scan_id(col: str | Column) -> Column:
     return _c(col).rlike(SCAN_ID_PATTERN)
 
@@ -46,7 +74,7 @@ def agent_name(col: str | Column, fallback: str = "prefix") -> Column:
 
 
 def sensitive_line(col: str | Column) -> Column:
-    return _c(col).rlike(SENSITIVE_KEY_PATTERN)
+    return find(_c(col), SENSITIVE_WORDS)
 
 
 def redact_env(col: str | Column) -> Column:

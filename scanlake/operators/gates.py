@@ -167,7 +167,7 @@ def tool_verdict(tools: DataFrame) -> DataFrame:
         "missing_optional": F.collect_set(F.when(missing & ~F.col("required"), F.col("tool"))),
     }
     return tools.groupBy("scan_id").agg(
-        *[F.array_join(F.array_sort(expr), ", ").alias(name) for name, expr in names.items()]
+        *[F.array_join(F.sort_array(expr), ", ").alias(name) for name, expr in names.items()]
     )
 
 

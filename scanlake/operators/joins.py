@@ -41,7 +41,7 @@ def scan_summary(scans: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
 def types_map(totals: DataFrame, label: str = "report") -> DataFrame:
     """Counter rows per (scan, type) as one map per scan; a scan has a handful of report types."""
     counters = F.struct("critical", "high", "medium", "low", "unknown")
-    entries = F.array_sort(F.collect_list(F.struct(F.col(label), counters)))
+    entries = F.sort_array(F.collect_list(F.struct(F.col(label), counters)))
     return totals.groupBy("scan_id").agg(F.map_from_entries(entries).alias("findings_by_type"))
 
 

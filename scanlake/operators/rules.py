@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.functions.paths import base_name
-from scanlake.functions.text import lines, redact_env, sensitive_line
+from scanlake.functions.text import find, lines, redact_env, sensitive_line
 
 
 @dataclass(frozen=True)
@@ -98,9 +98,9 @@ def _hits(rules: tuple[Rule, ...], text: Column) -> Column:
         body = F.substring_index(text, "\n", 1) if rule.first_line else text
         fires = F.lit(True)
         if rule.present is not None:
-            fires = fires & body.rlike(rule.present)
+            fires = fires & find(body, rule.present)
         if rule.absent is not None:
-            fires = fires & ~body.rlike(rule.absent)
+            fires = fires & ~find(body, rule.absent)
         marks.append(
             F.when(fires, F.struct(F.lit(rule.severity).alias("severity"), F.lit(rule.message).alias("message")))
         )
@@ -139,8 +139,8 @@ def _excluded(path: Column, line: Column, fold: bool = False) -> Column:
 def credential_lines(files: DataFrame) -> DataFrame:
     """One row per credential word, file and line."""
     any_word = "(?i)" + "|".join(CREDENTIAL_WORDS)
-    wanted = files.where(F.col("path").rlike(CREDENTIAL_FILES) & F.col("content").rlike(any_word))
-    rows = matching_lines(wanted, lambda line: line.rlike(any_word))
+    wanted = files.where(F.col("path").rlike(CREDENTIAL_FILES) & find(F.col("content"), any_word))
+    rows = matching_lines(wanted, lambda line: find(line, any_word))
     rows = rows.where(~_excluded(F.col("path"), F.col("line"), fold=True))
     lowered = F.lower("line")
     words = F.filter(F.array(*[F.lit(w) for w in CREDENTIAL_WORDS]), lambda w: lowered.contains(w))
@@ -221,6 +221,6 @@ def detect_phase(text: str | Column) -> Column:
     col = F.col(text) if isinstance(text, str) else text
     expr = None
     for pattern, phase in PHASE_RULES:
-        hit = col.rlike(f"(?i){pattern}")
+        hit = find(col, f"(?i){pattern}")
         expr = F.when(hit, phase) if expr is None else expr.when(hit, phase)
     return expr

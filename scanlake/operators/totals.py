@@ -171,7 +171,7 @@ def coverage_overall(coverage: DataFrame) -> DataFrame:
 def coverage_missing(adapters: DataFrame, coverage: DataFrame) -> DataFrame:
     """(scan_id, missing): adapters without a coverage file, sorted; adapter names are a short fixed list."""
     lacking = adapters.join(coverage.select("scan_id", "adapter"), ["scan_id", "adapter"], "left_anti")
-    return lacking.groupBy("scan_id").agg(F.array_sort(F.collect_set("adapter")).alias("missing"))
+    return lacking.groupBy("scan_id").agg(F.sort_array(F.collect_set("adapter")).alias("missing"))
 
 
 # Cut-offs of the full scan's checks.

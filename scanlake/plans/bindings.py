@@ -53,7 +53,7 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("fixed"),
         F.repeat(F.concat(priority, F.lit(" ")), F.dayofmonth("o_orderdate")).alias("title"),
         severity.alias("severity_raw"),
-        F.concat(F.lit("target-"), F.month("o_orderdate").cast("string")).alias("target"),
+        F.concat(F.lit("target-"), quarter.cast("string")).alias("target"),
         F.dayofmonth("o_orderdate").cast("int").alias("line"),
         F.col("o_orderdate").cast("date").alias("day"),
     )
@@ -77,7 +77,7 @@ findings as (
     repeat(o_orderpriority || ' ', day(o_orderdate)) as title,
     case o_orderpriority when '1-URGENT' then 'CRITICAL' when '2-HIGH' then 'High' when '3-MEDIUM' then 'MEDIUM'
       when '5-LOW' then 'LOW' end as severity_raw,
-    'target-' || month(o_orderdate) as target, day(o_orderdate) as line,
+    'target-' || quarter(o_orderdate) as target, day(o_orderdate) as line,
     cast(o_orderdate as date) as day
   from orders),
 leveled as (
@@ -92,7 +92,7 @@ leveled as (
 def _pack(rows: DataFrame, keys: list[str], key: Column, items: dict[str, Column], span: int = FILE_SPAN) -> DataFrame:
     """Lists per (keys, key range), sorted by the first field of their structs."""
     return rows.groupBy(*keys, F.floor(key / span).cast("bigint").alias("part")).agg(
-        *[F.array_sort(F.collect_list(item)).alias(name) for name, item in items.items()]
+        *[F.sort_array(F.collect_list(item)).alias(name) for name, item in items.items()]
     )
 
 
@@ -135,14 +135,21 @@ def vuln_reports(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def lint_files(spark: SparkSession, sf: str, item: Column, wrap: Column | None = None, where: str = "true") -> DataFrame:
-    """JSON list files per scan from the finding rows: ``item`` is one entry, ``wrap`` the document around ``items``."""
-    rows = findings(spark, sf).where(where).withColumn("item", F.struct("ord", item.alias("x")))
-    packed = _pack(rows, ["scan_id"], F.col("ord"), {"items": F.col("item")})
+def lint_files(
+    spark: SparkSession, sf: str, item: Column, wrap: Column | None = None, where: str = "true",
+    extra: dict[str, Column] | None = None,
+) -> DataFrame:
+    """JSON list files per scan from the finding rows: ``item`` is one entry, ``wrap`` the document around ``items``.
+
+    ``extra`` columns split the files further and are kept."""
+    extra = extra or {}
+    rows = findings(spark, sf).where(where).withColumn("item", F.struct("ord", item.alias("x"))).withColumns(extra)
+    packed = _pack(rows, ["scan_id", *extra], F.col("ord"), {"items": F.col("item")})
     packed = packed.withColumn("items", F.transform("items", lambda i: i["x"]))
     doc = wrap if wrap is not None else F.col("items")
     return packed.select(
         "scan_id",
+        *extra,
         F.concat(F.lit("report-"), F.col("part").cast("string"), F.lit(".json")).alias("file"),
         F.col("part"),
         F.to_json(doc, {"ignoreNullFields": "false"}).alias("content"),
@@ -167,10 +174,10 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
 COMPONENTS_SQL = """
 components as (
   select 'bom-' || l_orderkey as scan_id, l_partkey as ord, p_type as type, p_name as name, p_brand as version,
-    l_partkey // 512 as part
+    l_partkey // 16384 as part
   from lineitem join part on l_partkey = p_partkey)
 """
-BOM_SPAN = 512
+BOM_SPAN = 16384
 
 
 def _bom_files(rows: DataFrame, item: Column) -> DataFrame:
@@ -346,7 +353,7 @@ def junit_files(spark: SparkSession, sf: str) -> DataFrame:
         F.count("*").alias("tests"),
         F.count_if(F.col("quality") == 0).alias("failures"),
         F.count_if(F.col("toxic") == 1).alias("errors"),
-        F.array_sort(F.collect_list(F.struct("doc_id", case.alias("xml")))).alias("cases"),
+        F.sort_array(F.collect_list(F.struct("doc_id", case.alias("xml")))).alias("cases"),
     )
     body = F.array_join(F.transform("cases", lambda c: c["xml"]), "")
     head = F.concat(

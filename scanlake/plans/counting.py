@@ -126,9 +126,8 @@ for _policy, _sql in POLICY_SQL.items():
 def lint_low(spark, sf):
     """Linter entries per scan from JSON lists: one tool for the LOW orders, the other for the MEDIUM ones."""
     item = F.struct(F.lit("info").alias("level"))
-    shell = b.lint_files(spark, sf, item, where="severity_raw = 'LOW'").withColumn("tool", F.lit("shellcheck"))
-    docker = b.lint_files(spark, sf, item, where="severity_raw = 'MEDIUM'").withColumn("tool", F.lit("hadolint"))
-    return lint.lint_as_low(shell.unionByName(docker))
+    tool = F.when(F.col("severity_raw") == "LOW", "shellcheck").otherwise("hadolint")
+    return lint.lint_as_low(b.lint_files(spark, sf, item, where="severity_raw in ('LOW', 'MEDIUM')", extra={"tool": tool}))
 
 
 LOW_SQL = """low_entries as (
@@ -228,9 +227,8 @@ def suites(spark, sf):
         F.lit('<testsuite tests="'), F.col("total").cast("string"), F.lit('" failures="'), failures.cast("string"),
         F.lit('" errors="'), errors.cast("string"), F.lit('" skipped="3"/>'),
     )
-    framework = F.when(F.col("adapter") == "N", "pytest").otherwise("JUnit")
-    files = c.select("scan_id", "file", xml.alias("content"), framework.alias("framework"))
-    return tc.read_junit(files).join(files.select("scan_id", "file", "framework"), ["scan_id", "file"])
+    framework = F.when(F.col("file").startswith("N"), "pytest").otherwise("JUnit")
+    return tc.read_junit(c.select("scan_id", "file", xml.alias("content"))).withColumn("framework", framework)
 
 
 SUITES_SQL = f"""{b.COVERAGE_SQL}, suites as (
@@ -427,7 +425,7 @@ def metrics(spark, sf):
         "coverage_pct": cob.select("scan_id", F.col("line_pct").alias("value")),
     }
     rows = totals.quality_metrics(tables)
-    shown = F.transform(F.array_sort(F.map_entries("metrics")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.1f", e["value"])))
+    shown = F.transform(F.sort_array(F.map_entries("metrics")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.1f", e["value"])))
     return rows.select("scan_id", F.array_join(shown, ",").alias("metrics"))
 
 

@@ -19,7 +19,7 @@ from scanlake.plans.registry import query
 )
 def build_detail(spark, sf):
     rows = builds.build_detail(b.build_documents(spark, sf))
-    shown = F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    shown = F.transform(F.sort_array(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return rows.select(
         "job", "number", "result", F.col("building").cast("string").alias("building"), "timestamp_ms", "duration_ms",
         F.array_join(shown, ",").alias("params"),

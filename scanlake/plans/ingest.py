@@ -574,7 +574,7 @@ def read_scan_summary(spark, sf):
     return rows.select(
         "scan_id", F.col("gate_passed").cast("string").alias("gate_passed"), "critical", "high", "medium", "low", "unknown",
         "secrets_found", "sbom_component_count",
-        F.array_join(F.array_sort(F.map_keys("findings_by_type")), ",").alias("types"),
+        F.array_join(F.sort_array(F.map_keys("findings_by_type")), ",").alias("types"),
     )
 
 

@@ -21,14 +21,14 @@ def summary_rows(spark, sf):
     """Scans with their totals, types, secrets, inventory count, quality gate and gate verdict."""
     f = b.findings(spark, sf)
     scans = b.table(spark, sf, "customer").select(F.concat(F.lit("scan-"), F.col("c_custkey").cast("string")).alias("scan_id"))
-    by_type = totals.severity_totals(f.where("kind <> 'secret'"), ("scan_id", "report"), "api").select("scan_id", "report", *COUNTS)
-    # One small table feeds both the type map and the totals.
-    total = by_type.groupBy("scan_id").agg(*[F.sum(n).alias(n) for n in COUNTS])
-    secrets = f.where("kind = 'secret'").groupBy("scan_id").agg(F.count("*").alias("secrets"))
+    # One aggregate per (scan, type) feeds the type map, the totals and the secrets.
+    by_type = totals.severity_totals(f, ("scan_id", "report"), "api")
+    total = by_type.groupBy("scan_id").agg(*[F.sum(n).alias(n) for n in (*COUNTS, "secrets")])
+    typed = by_type.where(F.col("critical") + F.col("high") + F.col("medium") + F.col("low") + F.col("unknown") > 0)
     gate = verdicts.gate_texts(spark, sf).select("scan_id", "gate_text")
     sbom = b.coverage_counts(spark, sf).groupBy("scan_id").agg(F.sum("total").alias("sbom_component_count"))
     rows = joins.scan_summary(
-        scans, {"totals": total, "types": joins.types_map(by_type), "secrets": secrets, "sbom": sbom, "gate": gate}
+        scans, {"totals": total, "types": joins.types_map(typed), "sbom": sbom, "gate": gate}
     )
     return rows.withColumn("gate_passed", gates.from_gate_file())
 
@@ -37,12 +37,14 @@ SUMMARY_SQL = f"""{counting.CHECKS_SQL}, c as (
   select scan_id, report, {counting.sql_counts()} from leveled where kind <> 'secret' group by scan_id, report),
 tot as (select scan_id, {SUM_COUNTS},
   string_agg(report || ':' || critical || '/' || high || '/' || medium || '/' || low || '/' || unknown, ',' order by report) as types from c group by scan_id),
-sec as (select scan_id, count(*) as secrets from findings where kind = 'secret' group by scan_id),
+sec as (select scan_id, count(*) filter (kind = 'secret') as secrets from findings group by scan_id),
 sb as (select 'scan-' || l_suppkey as scan_id, count(*) as sbom_component_count from lineitem group by l_suppkey),
 gt as (select scan_id, case when right(scan_id, 1) in ('0','1','2') then critical = 0 when right(scan_id, 1) in ('3','4','5') then true
   when right(scan_id, 1) in ('6','7') then secrets <= 3 end as by_file from checks),
 summary as (
-  select 'scan-' || c_custkey as scan_id, tot.critical, tot.high, tot.medium, tot.low, tot.unknown, tot.types, sec.secrets, sb.sbom_component_count,
+  select 'scan-' || c_custkey as scan_id, case when sec.secrets is null then null else coalesce(tot.critical, 0) end as critical, case when sec.secrets is null then null else coalesce(tot.high, 0) end as high,
+    case when sec.secrets is null then null else coalesce(tot.medium, 0) end as medium, case when sec.secrets is null then null else coalesce(tot.low, 0) end as low,
+    case when sec.secrets is null then null else coalesce(tot.unknown, 0) end as unknown, coalesce(tot.types, '') as types, sec.secrets, sb.sbom_component_count,
     case when by_file is null then coalesce(tot.critical, 0) = 0 else by_file end as gate_passed
   from customer left join tot on tot.scan_id = 'scan-' || c_custkey left join sec on sec.scan_id = 'scan-' || c_custkey
   left join sb on sb.scan_id = 'scan-' || c_custkey left join gt on gt.scan_id = 'scan-' || c_custkey)
@@ -51,7 +53,7 @@ summary as (
 
 def show_types(col="findings_by_type"):
     entry = F.transform(
-        F.array_sort(F.map_entries(col)),
+        F.sort_array(F.map_entries(col)),
         lambda e: F.concat(e["key"], F.lit(":"), F.concat_ws("/", *[e["value"][n].cast("string") for n in COUNTS])),
     )
     return F.array_join(entry, ",")
@@ -65,7 +67,7 @@ def show_types(col="findings_by_type"):
 )
 def scan_summary(spark, sf):
     return summary_rows(spark, sf).select(
-        "scan_id", *COUNTS, show_types().alias("types"), "secrets", "sbom_component_count",
+        "scan_id", *COUNTS, F.coalesce(show_types(), F.lit("")).alias("types"), "secrets", "sbom_component_count",
         F.col("gate_passed").cast("string").alias("gate_passed"),
     )
 
@@ -285,7 +287,7 @@ def unified_rows(spark, sf):
     total = by_tool.groupBy("scan_id").agg(*[F.sum(n).alias(n) for n in COUNTS])
     counters = F.create_map(*[x for n in COUNTS for x in (F.lit(n.upper()), F.col(n))])
     tools = by_tool.groupBy("scan_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", F.to_json(counters))))).alias("by_tool_text")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("tool", F.to_json(counters))))).alias("by_tool_text")
     )
     parts = {
         "totals": total, "tools": tools,
@@ -337,7 +339,7 @@ def write_comprehensive(spark, sf):
     )
     # At most 50 issues of a scan reach this list.
     leading = ranking.top_issues(issues, 50).groupBy("scan_id").agg(
-        F.array_sort(F.collect_list(F.struct("number", "source", "severity", "title", "detail"))).alias("top_issues")
+        F.sort_array(F.collect_list(F.struct("number", "source", "severity", "title", "detail"))).alias("top_issues")
     )
     rows = counts.join(leading, "scan_id").withColumn("sections", F.create_map(F.lit("trivy"), F.lit("SCANNED")))
     zero = F.lit(0).cast("bigint")

@@ -39,7 +39,7 @@ def last_of_each(df: DataFrame, entries: Column, out: str) -> DataFrame:
     placed = F.transform(
         entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("place"), e["value"].alias("value"))
     )
-    rows = df.withColumn("_sorted", F.array_sort(placed))
+    rows = df.withColumn("_sorted", F.sort_array(placed))
     is_last = F.filter("_sorted", lambda e, i: ~e["key"].eqNullSafe(F.get("_sorted", i + 1)["key"]))
     return rows.withColumn(
         out, F.transform(is_last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
