@@ -49,18 +49,19 @@ def severity_totals(findings: DataFrame, by: tuple[str, ...] = ("scan_id",), pol
     ``findings`` has ``kind`` and ``severity_raw``. Levels the policy does not count are 0.
     """
     p = POLICIES[policy]
-    level, counted = _level(p), F.col("kind").isin(*p.counted)
-    bad = F.col("kind") == "misconfig"
-    own = normalize_severity("severity_raw", fold=p.fold)
+    leveled = findings.select(
+        *by, "kind", _level(p).alias("_level"), normalize_severity("severity_raw", fold=p.fold).alias("_own")
+    )
+    counted = f"kind in ({', '.join(repr(kind) for kind in p.counted)})"
     counters = [
-        (F.count_if(counted & (level == name)) if name in p.levels else F.lit(0).cast("bigint")).alias(name.lower())
+        F.expr(f"count_if({counted} and _level = '{name}')" if name in p.levels else "0L").alias(name.lower())
         for name in LEVELS
     ]
-    return findings.groupBy(*by).agg(
+    return leveled.groupBy(*by).agg(
         *counters,
-        F.count_if(F.col("kind") == "secret").alias("secrets"),
-        F.count_if(bad & (own == "CRITICAL")).alias("misconfig_critical"),
-        F.count_if(bad & (own == "HIGH")).alias("misconfig_high"),
+        F.expr("count_if(kind = 'secret')").alias("secrets"),
+        F.expr("count_if(kind = 'misconfig' and _own = 'CRITICAL')").alias("misconfig_critical"),
+        F.expr("count_if(kind = 'misconfig' and _own = 'HIGH')").alias("misconfig_high"),
     )
 
 

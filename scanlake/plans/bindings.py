@@ -8,12 +8,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FILE_SPAN = 8192
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; its schema is read from a footer once per session of use, not per query."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Heavy per-row work on a table with fewer splits than cores is dealt out over all cores first.
+
+    A large table has more splits than cores and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 # --- B1: findings from orders ------------------------------------------------------------------
@@ -28,38 +45,28 @@ TOOL_BY_REPORT = {"sast": "trivy-fs", "sca": "trivy-fs", "image": "trivy-image",
 
 def findings(spark: SparkSession, sf: str) -> DataFrame:
     """One finding per order: scan = customer, kind = order status, severity = priority (HIGH in mixed case)."""
-    priority = F.col("o_orderpriority")
-    severity = (
-        F.when(priority == "1-URGENT", "CRITICAL")
-        .when(priority == "2-HIGH", "High")
-        .when(priority == "3-MEDIUM", "MEDIUM")
-        .when(priority == "5-LOW", "LOW")
+    return table(spark, sf, "orders").selectExpr(
+        "concat('scan-', o_custkey) as scan_id",
+        "o_orderkey as ord",
+        "case o_orderstatus when 'F' then 'vuln' when 'O' then 'misconfig' else 'secret' end as kind",
+        f"elt(quarter(o_orderdate), {_quoted(REPORT_BY_QUARTER)}) as report",
+        "concat('CVE-', o_orderkey) as id",
+        "concat('pkg-', year(o_orderdate)) as package",
+        "cast(floor(o_totalprice) as string) as installed",
+        "case when o_orderstatus = 'F' then date_format(o_orderdate, 'yyyy-MM-dd') end as fixed",
+        "repeat(concat(o_orderpriority, ' '), day(o_orderdate)) as title",
+        "case o_orderpriority when '1-URGENT' then 'CRITICAL' when '2-HIGH' then 'High'"
+        " when '3-MEDIUM' then 'MEDIUM' when '5-LOW' then 'LOW' end as severity_raw",
+        "concat('target-', quarter(o_orderdate)) as target",
+        "day(o_orderdate) as line",
+        "cast(o_orderdate as date) as day",
+        f"elt(quarter(o_orderdate), {_quoted(FILE_BY_REPORT.values())}) as file",
+        f"elt(quarter(o_orderdate), {_quoted(TOOL_BY_REPORT.values())}) as tool",
     )
-    kind = (
-        F.when(F.col("o_orderstatus") == "F", "vuln")
-        .when(F.col("o_orderstatus") == "O", "misconfig")
-        .otherwise("secret")
-    )
-    quarter = F.quarter("o_orderdate")
-    report = F.element_at(F.array(*[F.lit(r) for r in REPORT_BY_QUARTER]), quarter)
-    rows = table(spark, sf, "orders").select(
-        F.concat(F.lit("scan-"), F.col("o_custkey").cast("string")).alias("scan_id"),
-        F.col("o_orderkey").alias("ord"),
-        kind.alias("kind"),
-        report.alias("report"),
-        F.concat(F.lit("CVE-"), F.col("o_orderkey").cast("string")).alias("id"),
-        F.concat(F.lit("pkg-"), F.year("o_orderdate").cast("string")).alias("package"),
-        F.floor("o_totalprice").cast("string").alias("installed"),
-        F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("fixed"),
-        F.repeat(F.concat(priority, F.lit(" ")), F.dayofmonth("o_orderdate")).alias("title"),
-        severity.alias("severity_raw"),
-        F.concat(F.lit("target-"), quarter.cast("string")).alias("target"),
-        F.dayofmonth("o_orderdate").cast("int").alias("line"),
-        F.col("o_orderdate").cast("date").alias("day"),
-    )
-    files = F.element_at(F.create_map(*[F.lit(x) for kv in FILE_BY_REPORT.items() for x in kv]), F.col("report"))
-    tools = F.element_at(F.create_map(*[F.lit(x) for kv in TOOL_BY_REPORT.items() for x in kv]), F.col("report"))
-    return rows.select("*", files.alias("file"), tools.alias("tool"))
+
+
+def _quoted(names) -> str:
+    return ", ".join(f"'{name}'" for name in names)
 
 
 FINDINGS_SQL = """
@@ -162,12 +169,8 @@ def lint_files(
 def components(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat(F.lit("bom-"), F.col("l_orderkey").cast("string")).alias("scan_id"),
-        F.col("l_partkey").alias("ord"),
-        F.col("p_type").alias("type"),
-        F.col("p_name").alias("name"),
-        F.col("p_brand").alias("version"),
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).selectExpr(
+        "concat('bom-', l_orderkey) as scan_id", "l_partkey as ord", "p_type as type", "p_name as name", "p_brand as version"
     )
 
 
@@ -209,17 +212,16 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_rows(raw: DataFrame) -> DataFrame:
     """Builds of three jobs: an error is a FAILURE, a view UNSTABLE, a click still runs."""
-    kind = F.col("event_type")
-    return raw.select(
-        F.col("event_id").alias("number"),
-        F.concat(F.lit("job-"), (F.col("user_id") % 3).cast("string")).alias("job"),
-        F.col("ts").cast("timestamp").alias("ts"),
+    return raw.selectExpr(
+        "event_id as number",
+        "concat('job-', user_id % 3) as job",
+        "cast(ts as timestamp) as ts",
         "user_id",
-        kind.alias("event_type"),
-        F.when(kind == "error", "FAILURE").when(kind == "view", "UNSTABLE").when(kind != "click", "SUCCESS").alias("result"),
-        (kind == "click").alias("building"),
-        (F.col("value") * 1000).cast("bigint").alias("duration_ms"),
-        F.get_json_object("props", "$.k").alias("k"),
+        "event_type",
+        "case event_type when 'error' then 'FAILURE' when 'view' then 'UNSTABLE' when 'click' then null else 'SUCCESS' end as result",
+        "event_type = 'click' as building",
+        "cast(value * 1000 as bigint) as duration_ms",
+        "get_json_object(props, '$.k') as k",
         "value",
     )
 
@@ -236,7 +238,7 @@ builds as (
 
 def build_documents(spark: SparkSession, sf: str) -> DataFrame:
     """One CI document per event; SCAN_ID is given twice, in two actions, and the second one holds."""
-    e = events(spark, sf)
+    e = event_rows(spread(table(spark, sf, "events")))
 
     def param(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("name"), value.alias("value"))
@@ -266,21 +268,15 @@ FILE_NAMES = (
     "requirements.txt", "pom.xml", "package.json", "go.mod", "Dockerfile", "index.html", "test_main.py", "LICENSE",
     ".env", ".gitignore", "app.ts", "console-log.txt", "Makefile", "main.cpp", "deploy.yml", "routes.py",
 )
-FOLDER_BY_LANG = {"en": "", "fr": "backend/", "de": "web/tests/", "es": "web/node_modules/lib/"}
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """One file per document; names rotate, folders follow the language, projects the source."""
-    name = F.element_at(F.array(*[F.lit(n) for n in FILE_NAMES]), (F.col("doc_id") % len(FILE_NAMES) + 1).cast("int"))
-    folder = F.element_at(F.create_map(*[F.lit(x) for kv in FOLDER_BY_LANG.items() for x in kv]), F.col("lang"))
-    return table(spark, sf, "documents").select(
-        F.col("source").alias("project"),
-        F.concat(folder, name).alias("path"),
-        name.alias("name"),
-        F.col("doc_id"),
-        F.col("lang"),
-        F.col("text").alias("content"),
-        F.octet_length("text").cast("bigint").alias("length"),
+    name = f"elt(cast(doc_id % {len(FILE_NAMES)} + 1 as int), {_quoted(FILE_NAMES)})"
+    folder = "case lang when 'en' then '' when 'fr' then 'backend/' when 'de' then 'web/tests/' else 'web/node_modules/lib/' end"
+    return spread(table(spark, sf, "documents")).selectExpr(
+        "source as project", f"concat({folder}, {name}) as path", f"{name} as name", "doc_id", "lang", "text as content",
+        "cast(octet_length(text) as bigint) as length",
     )
 
 
@@ -304,12 +300,11 @@ lines as (
 
 def chunk_rows(raw: DataFrame) -> DataFrame:
     """Console chunks. The text is opened by a phase word, often the one of the chunk before, at times by none."""
-    words = {"user": "git clone ", "assistant": "pytest ", "system": "artifact "}
-    by_role = F.element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), F.col("role"))
-    step = F.col("turn") % 4
-    prefix = F.when(step < 2, "git clone ").when(step == 2, by_role).otherwise("")
-    return raw.select(
-        F.col("conv_id").alias("build"), F.col("turn").alias("offset"), F.concat(prefix, "text").alias("text")
+    return raw.selectExpr(
+        "conv_id as build",
+        "turn as offset",
+        "concat(case when turn % 4 < 2 then 'git clone ' when turn % 4 = 3 then '' when role = 'user' then 'git clone '"
+        " when role = 'assistant' then 'pytest ' else 'artifact ' end, text) as text",
     )
 
 
@@ -376,13 +371,11 @@ def junit_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def coverage_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Per supplier (scan) and return flag (adapter): lines and covered lines."""
-    return table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(
-        F.count("*").alias("total"), F.count_if(F.col("l_linestatus") == "F").alias("covered")
-    ).select(
-        F.concat(F.lit("scan-"), F.col("l_suppkey").cast("string")).alias("scan_id"),
-        F.col("l_returnflag").alias("adapter"),
-        F.concat(F.col("l_returnflag"), F.lit(".report")).alias("file"),
-        "total", "covered",
+    counts = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(
+        F.count("*").alias("total"), F.expr("count_if(l_linestatus = 'F')").alias("covered")
+    )
+    return counts.selectExpr(
+        "concat('scan-', l_suppkey) as scan_id", "l_returnflag as adapter", "concat(l_returnflag, '.report') as file", "total", "covered"
     )
 
 
