@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake import schemas
+from scanlake.functions.rows import each
 from scanlake.functions.timing import duration_ms, from_epoch_ms, result_label, running_result, whole_seconds
 from scanlake.sources.textual import last_of_each
 
@@ -68,7 +69,7 @@ def pipeline_metrics(builds: DataFrame, bucket: str = "1 hour") -> DataFrame:
 def agent_counts(df: DataFrame) -> DataFrame:
     """Nodes online, in all and busy; an unknown state reads offline and idle."""
     doc = F.from_json("content", schemas.NODES, {"mode": "PERMISSIVE"})
-    nodes = df.select("pool", F.explode(doc["computer"]).alias("c"))
+    nodes = each(df, ["pool"], doc["computer"], "c")
     return nodes.groupBy("pool").agg(
         F.count_if(~F.coalesce("c.offline", F.lit(True))).alias("online"),
         F.count("*").alias("total"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanlake.functions.rows import each, each_struct
 from scanlake.functions.paths import (
     SKIPPED_DIRS, UPLOAD_SKIPPED_DIRS, base_name, dir_name, outside_skipped_dirs, size_label,
 )
@@ -114,7 +115,7 @@ def detect_adapters(files: DataFrame) -> DataFrame:
     signals["kotlin"] = else_pattern(SIGNALS["kotlin"], F.col("kotlin_source"), "*.kt")
     signals["html-static"] = else_pattern(SIGNALS["html-static"], F.col("html"), "*.html")
     pairs = F.array(*[F.struct(F.lit(name).alias("adapter"), signals[name].alias("signals")) for name in ADAPTERS])
-    return flags.select("project", F.inline(pairs)).where(F.size("signals") > 0)
+    return each_struct(flags, ["project"], pairs).where(F.size("signals") > 0)
 
 
 def supported_adapters(detected: Column) -> Column:
@@ -167,7 +168,7 @@ def with_modules(files: DataFrame) -> DataFrame:
             F.when(below, F.struct(top.alias("module"), inner.alias("inner"))),
         )
     )
-    return files.select("*", F.inline(homes))
+    return each_struct(files, ["*"], homes)
 
 
 def discover_modules(files: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def test_dirs(files: DataFrame, modules: DataFrame) -> DataFrame:
         F.array().cast("array<string>")
     )
     found = F.concat(F.when(own_hit, F.array(own)).otherwise(F.array().cast("array<string>")), named)
-    return rows.select("project", "module", F.explode(found).alias("dir")).distinct()
+    return each(rows, ["project", "module"], found, "dir").distinct()
 
 
 def integration_dirs(dirs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.functions.paths import base_name
+from scanlake.functions.rows import each, each_struct
 from scanlake.functions.text import find, lines, redact_env, sensitive_line
 
 
@@ -109,7 +110,7 @@ def _hits(rules: tuple[Rule, ...], text: Column) -> Column:
 
 def apply_rules(files: DataFrame, rules: tuple[Rule, ...], text: str = "content", keep: tuple[str, ...] = ("file",)) -> DataFrame:
     """One row per file and rule that fires."""
-    return files.select(*keep, F.inline(_hits(rules, F.col(text))))
+    return each_struct(files, [*keep], _hits(rules, F.col(text)))
 
 
 def apply_rule_sets(
@@ -121,12 +122,12 @@ def apply_rule_sets(
     for name, rules in rule_sets.items():
         hit = F.col(kind) == name
         expr = F.when(hit, _hits(rules, F.col(text))) if expr is None else expr.when(hit, _hits(rules, F.col(text)))
-    return files.select(*keep, kind, F.inline(expr))
+    return each_struct(files, [*keep, kind], expr)
 
 
 def matching_lines(files: DataFrame, wanted, keep: tuple[str, ...] = ("project", "path")) -> DataFrame:
     """(…, line_no, line) for lines where ``wanted(line)`` holds, numbered from 1; whole texts are read."""
-    rows = files.select(*keep, F.posexplode(lines("content")).alias("pos", "line"))
+    rows = each(files, [*keep], lines("content"), "line", "pos")
     return rows.where(wanted(F.col("line"))).select(*keep, (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
 
 
@@ -144,7 +145,7 @@ def credential_lines(files: DataFrame) -> DataFrame:
     rows = rows.where(~_excluded(F.col("path"), F.col("line"), fold=True))
     lowered = F.lower("line")
     words = F.filter(F.array(*[F.lit(w) for w in CREDENTIAL_WORDS]), lambda w: lowered.contains(w))
-    return rows.select("project", "path", "line_no", F.explode(words).alias("pattern"), "line")
+    return each(rows, ["project", "path", "line_no", "line"], words, "pattern")
 
 
 def env_audit(files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake import schemas
+from scanlake.functions.rows import each, each_entry
 from scanlake.functions.text import make_purl
 from scanlake.sources.artifacts import parse_json
 
@@ -48,7 +49,7 @@ def _library(kind: str, name: Column, version: Column) -> list[Column]:
 def lockfile_components(df: DataFrame) -> DataFrame:
     """npm lock: the packages map, or the dependencies map where there is none; the empty key is the project."""
     doc = F.from_json("content", schemas.NPM_LOCK, {"mode": "PERMISSIVE"})
-    rows = df.select("scan_id", "file", F.explode(F.coalesce(doc["packages"], doc["dependencies"])).alias("k", "v"))
+    rows = each_entry(df, ["scan_id", "file"], F.coalesce(doc["packages"], doc["dependencies"]))
     name = F.replace("k", F.lit("node_modules/"), F.lit(""))
     version = F.coalesce("v.version", F.lit("unknown"))
     return rows.where(F.col("k") != "").select("scan_id", "file", *_library("npm", name, version))
@@ -61,7 +62,7 @@ def manifest_components(df: DataFrame) -> DataFrame:
         F.coalesce(F.map_entries("doc.dependencies"), F.array()),
         F.coalesce(F.map_entries("doc.devDependencies"), F.array()),
     )
-    rows = doc.select("scan_id", "file", F.inline(groups).alias("k", "v"))
+    rows = each(doc, ["scan_id", "file"], groups, "e").select("scan_id", "file", F.col("e.key").alias("k"), F.col("e.value").alias("v"))
     version = F.regexp_replace("v", "^[\\^~>=<]+", "")
     return rows.select("scan_id", "file", *_library("npm", F.col("k"), version))
 
@@ -73,19 +74,15 @@ def gosum_components(df: DataFrame) -> DataFrame:
         F.filter(words, lambda w: F.size(w) >= 2),
         lambda w: F.concat(w[0], F.lit(" "), F.regexp_replace(F.substring_index(w[1], "/", 1), "^v+", "")),
     )
-    rows = df.select("scan_id", "file", F.explode(F.array_distinct(pairs)).alias("pair"))
+    rows = each(df, ["scan_id", "file"], F.array_distinct(pairs), "pair")
     name, version = F.substring_index("pair", " ", 1), F.substring_index("pair", " ", -1)
     return rows.select("scan_id", "file", *_library("golang", name, version))
 
 
 def expand_image_catalog(repositories: DataFrame, tags: DataFrame, registry: str) -> DataFrame:
     """Catalogue documents x tag documents; repositories without tags are skipped."""
-    repo = repositories.select(
-        F.explode(F.from_json("content", "repositories array<string>")["repositories"]).alias("repo")
-    )
-    tag = tags.select(
-        "repo", F.explode(F.from_json("content", "tags array<string>")["tags"]).alias("tag")
-    )
+    repo = each(repositories, [], F.from_json("content", "repositories array<string>")["repositories"], "repo")
+    tag = each(tags, ["repo"], F.from_json("content", "tags array<string>")["tags"], "tag")
     return repo.join(tag, "repo").select(
         "repo", "tag", F.concat(F.lit(f"{registry}/"), "repo", F.lit(":"), "tag").alias("image")
     )

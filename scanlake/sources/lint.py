@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanlake import schemas
+from scanlake.functions.rows import each
 from scanlake.functions.text import line_count
 
 
@@ -23,12 +24,12 @@ def _sum(rows: DataFrame, *names: str) -> DataFrame:
 
 
 def read_shellcheck(df: DataFrame) -> DataFrame:
-    items = F.coalesce(_records(schemas.SHELL_LINT), F.array())
-    rows = df.select(
+    parsed = df.withColumn("items", F.coalesce(_records(schemas.SHELL_LINT), F.array()))
+    rows = parsed.select(
         "scan_id",
-        F.size(items).cast("bigint").alias("total"),
-        _count(items, lambda i: i["level"] == "error").alias("errors"),
-        _count(items, lambda i: i["level"] == "warning").alias("warnings"),
+        F.size("items").cast("bigint").alias("total"),
+        _count("items", lambda i: i["level"] == "error").alias("errors"),
+        _count("items", lambda i: i["level"] == "warning").alias("warnings"),
     )
     return _sum(rows, "total", "errors", "warnings")
 
@@ -39,7 +40,7 @@ def hadolint_items(df: DataFrame) -> DataFrame:
     items = F.when(nested, F.flatten(_records(f"array<{schemas.DOCKER_LINT}>"))).otherwise(
         _records(schemas.DOCKER_LINT)
     )
-    return df.select("scan_id", "file", F.posexplode(items).alias("pos", "i")).select(
+    return each(df, ["scan_id", "file"], items, "i", "pos").select(
         "scan_id", "file", "pos", "i.level", "i.code", "i.message",
         F.col("i.file").alias("dockerfile"), F.col("i.line").alias("line"),
     )
@@ -61,30 +62,31 @@ def read_hadolint(df: DataFrame) -> DataFrame:
 def read_grype(df: DataFrame) -> DataFrame:
     """(scan_id, severity, n); severities are kept as written, absent ones read ``Unknown``."""
     doc = F.from_json("content", schemas.MATCH_REPORT, {"mode": "PERMISSIVE"})
-    rows = df.select("scan_id", F.explode(doc["matches"]).alias("m"))
+    rows = each(df, ["scan_id"], doc["matches"], "m")
     severity = F.coalesce(F.col("m.vulnerability.severity"), F.lit("Unknown"))
     return rows.groupBy("scan_id", severity.alias("severity")).agg(F.count("*").alias("n"))
 
 
 def read_bandit(df: DataFrame) -> DataFrame:
     doc = F.from_json("content", schemas.PY_LINT, {"mode": "PERMISSIVE"})
-    items = F.coalesce(doc["results"], F.array())
-    rows = df.select(
+    parsed = df.withColumn("items", F.coalesce(doc["results"], F.array()))
+    rows = parsed.select(
         "scan_id",
-        F.size(items).cast("bigint").alias("total"),
-        _count(items, lambda i: i["issue_severity"] == "HIGH").alias("high"),
-        _count(items, lambda i: i["issue_severity"] == "MEDIUM").alias("medium"),
+        F.size("items").cast("bigint").alias("total"),
+        _count("items", lambda i: i["issue_severity"] == "HIGH").alias("high"),
+        _count("items", lambda i: i["issue_severity"] == "MEDIUM").alias("medium"),
     )
     return _sum(rows, "total", "high", "medium")
 
 
 def read_eslint(df: DataFrame) -> DataFrame:
-    items = F.coalesce(_records(schemas.JS_LINT), F.array())
+    parsed = df.withColumn("items", F.coalesce(_records(schemas.JS_LINT), F.array()))
 
     def added(field):
-        return F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, i: acc + F.coalesce(i[field], F.lit(0)))
+        zero = F.lit(0).cast("bigint")
+        return F.aggregate("items", zero, lambda acc, i: acc + F.coalesce(i[field], F.lit(0)))
 
-    rows = df.select("scan_id", added("errorCount").alias("errors"), added("warningCount").alias("warnings"))
+    rows = parsed.select("scan_id", added("errorCount").alias("errors"), added("warningCount").alias("warnings"))
     return _sum(rows, "errors", "warnings")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scanlake import schemas
+from scanlake.functions.rows import each
 
 
 def _json(schema: str) -> Column:
@@ -27,7 +28,7 @@ def read_quality_gate(df: DataFrame) -> DataFrame:
 
 
 def gate_conditions(gates: DataFrame) -> DataFrame:
-    rows = gates.select("scan_id", "file", F.posexplode("conditions").alias("pos", "c"))
+    rows = each(gates, ["scan_id", "file"], "conditions", "c", "pos")
     return rows.select(
         "scan_id",
         "file",
@@ -52,7 +53,7 @@ def read_measures(df: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
 
 def quality_issues(df: DataFrame) -> DataFrame:
     """One row per issue, with its place in the file."""
-    rows = df.select("scan_id", "file", F.posexplode(_json(schemas.QUALITY_ISSUES)["issues"]).alias("pos", "i"))
+    rows = each(df, ["scan_id", "file"], _json(schemas.QUALITY_ISSUES)["issues"], "i", "pos")
     return rows.select("scan_id", "file", "pos", "i.*")
 
 

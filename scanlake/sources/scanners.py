@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanlake import schemas
+from scanlake.functions.rows import each, each_struct
 from scanlake.functions.severity import normalize_severity
 from scanlake.functions.text import cut, ellipsis
 from scanlake.sources.artifacts import parse_json
@@ -22,14 +23,9 @@ def read_vuln_reports(df: DataFrame, schema: str = schemas.VULN_REPORT) -> DataF
 
 def _findings(reports: DataFrame, field: str) -> DataFrame:
     """Results x the given list; a missing or null list gives no rows."""
-    one_result = reports.select("scan_id", "file", F.posexplode("doc.Results").alias("result_no", "r"))
-    return one_result.select(
-        "scan_id",
-        "file",
-        "result_no",
-        F.col("r.Target").alias("target"),
-        F.posexplode(f"r.{field}").alias("finding_no", "x"),
-    )
+    one_result = each(reports, ["scan_id", "file"], "doc.Results", "r", "result_no")
+    keep = ["scan_id", "file", "result_no", F.col("r.Target").alias("target")]
+    return each(one_result, keep, f"r.{field}", "x", "finding_no")
 
 
 def flatten_vulnerabilities(reports: DataFrame) -> DataFrame:
@@ -112,7 +108,7 @@ def all_findings(reports: DataFrame) -> DataFrame:
         level = normalize_severity(x["Severity"], default="HIGH")
         return row("secret", level, x["RuleID"], x["Category"], F.lit(""), F.lit(""), x["Title"])
 
-    per_result = reports.select("scan_id", "file", F.explode("doc.Results").alias("r"))
+    per_result = each(reports, ["scan_id", "file"], "doc.Results", "r")
     found = F.concat(
         *[
             F.transform(F.coalesce(F.col("r")[field], F.array()), shape)
@@ -122,7 +118,7 @@ def all_findings(reports: DataFrame) -> DataFrame:
         ]
     )
     target = F.coalesce("r.Target", F.lit("")).alias("target")
-    return per_result.select("scan_id", "file", target, F.inline(found)).select(*FINDING_COLUMNS)
+    return each_struct(per_result, ["scan_id", "file", target], found).select(*FINDING_COLUMNS)
 
 
 def finding_counts(df: DataFrame) -> DataFrame:
@@ -147,4 +143,4 @@ def finding_counts(df: DataFrame) -> DataFrame:
             ),
         )
     )
-    return reports.select("scan_id", "file", F.inline(tagged))
+    return each_struct(reports, ["scan_id", "file"], tagged)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanlake import schemas
 from scanlake.functions.numbers import one_digit, percent, rate_percent
+from scanlake.functions.rows import each
 
 
 def _xml(schema: str) -> Column:
@@ -38,8 +39,8 @@ def read_junit(df: DataFrame) -> DataFrame:
 
 def failed_cases(junit: DataFrame) -> DataFrame:
     """One row per failure element, in document order."""
-    cases = junit.select("scan_id", "file", F.posexplode("cases").alias("case_no", "c"))
-    return cases.select("scan_id", "file", "case_no", "c", F.explode("c.failure").alias("f")).select(
+    cases = each(junit, ["scan_id", "file"], "cases", "c", "case_no")
+    return each(cases, ["scan_id", "file", "case_no", "c"], "c.failure", "f").select(
         "scan_id",
         "file",
         "case_no",
@@ -67,7 +68,7 @@ def read_cobertura(df: DataFrame) -> DataFrame:
 
 
 def package_rates(cobertura: DataFrame) -> DataFrame:
-    rows = cobertura.select("scan_id", "file", F.posexplode("packages").alias("pos", "p"))
+    rows = each(cobertura, ["scan_id", "file"], "packages", "p", "pos")
     return rows.select(
         "scan_id",
         "file",
@@ -144,7 +145,7 @@ def read_istanbul(df: DataFrame) -> DataFrame:
 def read_go_tests(df: DataFrame) -> DataFrame:
     """NDJSON events; only pass and fail events of a named test count, bad lines are skipped."""
     event = F.from_json("line", schemas.GO_TEST_EVENT, {"mode": "PERMISSIVE"})
-    rows = df.select("scan_id", F.explode(F.split("content", "\n")).alias("line")).select("scan_id", event.alias("e"))
+    rows = each(df, ["scan_id"], F.split("content", "\n"), "line").select("scan_id", event.alias("e"))
     return go_test_totals(rows.select("scan_id", "e.Action", "e.Test"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake import schemas
+from scanlake.functions.rows import each, each_struct
 
 # Labels in front of the totals of a text report.
 REPORT_TOTALS = {
@@ -49,7 +50,7 @@ def last_of_each(df: DataFrame, entries: Column, out: str) -> DataFrame:
 def parse_key_values(df: DataFrame) -> DataFrame:
     """(scan_id, file, key, value); the last of repeated keys wins."""
     rows = last_of_each(df, key_value_entries(F.col("content")), "_entries")
-    return rows.select("scan_id", "file", F.inline("_entries"))
+    return each_struct(rows, ["scan_id", "file"], "_entries")
 
 
 def grep_report_totals(df: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def grep_report_totals(df: DataFrame) -> DataFrame:
 
 def parse_agent_list(df: DataFrame) -> DataFrame:
     """Lines ``scan-agent-<id> ONLINE|OFFLINE``; all other lines are dropped."""
-    rows = df.select(F.explode(F.split("content", "\n")).alias("line")).select(F.trim("line").alias("line"))
+    rows = each(df, [], F.split("content", "\n"), "line").select(F.trim("line").alias("line"))
     parts = F.split("line", r"\s+")
     return rows.where(F.col("line").startswith("scan-agent-")).select(
         parts[0].alias("name"),
