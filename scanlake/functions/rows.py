@@ -28,3 +28,8 @@ def each_struct(df: DataFrame, keep: list[str | Column], array: str | Column) ->
     """The same for an array of structs, whose fields become columns."""
     names = [name for name in df.select(*keep).columns]
     return each(df, keep, array, "_struct").select(*names, "_struct.*")
+
+
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """``where`` on a parsed value: a plain filter is pushed below the parse and repeats it there."""
+    return each(df, ["*"], F.when(condition, F.array(F.lit(1))), "_keep").drop("_keep")

@@ -258,10 +258,13 @@ def dep_files(files: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def remove_root_duplicates(owned: DataFrame) -> DataFrame:
-    """The root module gives up the files that a child module owns too."""
-    children = owned.where("module <> 'root'").select("project", "path").distinct()
-    root_only = owned.where("module = 'root'").join(children, ["project", "path"], "left_anti")
-    return owned.where("module <> 'root'").unionByName(root_only)
+    """The root module gives up the files that a child module owns too.
+
+    A path has at most one child module, its top directory, so one aggregate per path settles it without a join.
+    """
+    child = F.max(F.when(F.col("module") != "root", F.col("module")))
+    owner = F.coalesce(child, F.lit("root")).alias("module")
+    return owned.groupBy("project", "path").agg(owner).select("project", "module", "path")
 
 
 def modules_without(modules: DataFrame, items: DataFrame) -> DataFrame:

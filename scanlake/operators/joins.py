@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanlake.operators.totals import COUNTERS
+
 # File names per report kind, the preferred one first.
 PREFERRED_FILES = {
     "sast": ("trivy-fs-scan.json", "trivy-fs.json"),
@@ -38,11 +40,19 @@ def scan_summary(scans: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def types_map(totals: DataFrame, label: str = "report") -> DataFrame:
-    """Counter rows per (scan, type) as one map per scan; a scan has a handful of report types."""
-    counters = F.struct("critical", "high", "medium", "low", "unknown")
-    entries = F.sort_array(F.collect_list(F.struct(F.col(label), counters)))
-    return totals.groupBy("scan_id").agg(F.map_from_entries(entries).alias("findings_by_type"))
+def scan_totals(by_type: DataFrame) -> DataFrame:
+    """Counter rows per (scan, report type) folded to one row per scan: totals, secrets and a map of the types.
+
+    One aggregate over few rows gives all three. A scan has a handful of report types, so its map stays small;
+    types that only held secrets are not in it.
+    """
+    counters = F.struct(*COUNTERS)
+    seen = F.expr(" + ".join(COUNTERS)) > 0
+    entries = F.sort_array(F.collect_list(F.when(seen, F.struct("report", counters))))
+    return by_type.groupBy("scan_id").agg(
+        *[F.sum(name).alias(name) for name in (*COUNTERS, "secrets")],
+        F.map_from_entries(entries).alias("findings_by_type"),
+    )
 
 
 def pick_first_present(files: DataFrame, preferred: dict[str, tuple[str, ...]] = PREFERRED_FILES) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scanlake.functions.numbers import one_digit_text
+from scanlake.functions.rows import keep_where
 from scanlake.functions.severity import severity_rank
 from scanlake.operators.skew import sliced_window
 
@@ -82,7 +83,7 @@ def test_issues(failures: DataFrame) -> DataFrame:
 
 def coverage_issues(coverage: DataFrame, threshold: float = 70.0) -> DataFrame:
     low = F.col("line_pct") < threshold
-    return coverage.where(low).select(
+    return keep_where(coverage, low).select(
         "scan_id",
         "ord",
         F.lit("Coverage").alias("source"),

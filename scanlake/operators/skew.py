@@ -25,10 +25,14 @@ def sliced_window(
 
     ``order`` must be unique within a key and agree with ``slice_of``, a number; rows whose number falls in the
     same ``span`` share a slice. ``sums`` maps output names to summed expressions, ``previous`` maps output
-    names to columns. The slice ends come from the windowed rows themselves, so the input is shuffled once.
+    names to columns. Rows without a key or an order number are left out. The slice ends are taken from the
+    windowed rows, and both sides of the join filter alike, so that one shuffle of a narrow input serves both.
     """
     sums, previous = sums or {}, previous or {}
-    sliced = df.withColumn("_slice", F.floor(slice_of / F.lit(span)).cast("bigint"))
+    known = F.col("_slice").isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    sliced = df.withColumn("_slice", F.floor(slice_of / F.lit(span)).cast("bigint")).where(known)
     inside = W.partitionBy(*keys, "_slice").orderBy(*order)
     up_to_here = inside.rowsBetween(W.unboundedPreceding, 0)
     rows = sliced.select(

@@ -21,15 +21,10 @@ def summary_rows(spark, sf):
     """Scans with their totals, types, secrets, inventory count, quality gate and gate verdict."""
     f = b.findings(spark, sf)
     scans = b.table(spark, sf, "customer").select(F.concat(F.lit("scan-"), F.col("c_custkey").cast("string")).alias("scan_id"))
-    # One aggregate per (scan, type) feeds the type map, the totals and the secrets.
-    by_type = totals.severity_totals(f, ("scan_id", "report"), "api")
-    total = by_type.groupBy("scan_id").agg(*[F.sum(n).alias(n) for n in (*COUNTS, "secrets")])
-    typed = by_type.where(F.col("critical") + F.col("high") + F.col("medium") + F.col("low") + F.col("unknown") > 0)
+    total = joins.scan_totals(totals.severity_totals(f, ("scan_id", "report"), "api"))
     gate = verdicts.gate_texts(spark, sf).select("scan_id", "gate_text")
     sbom = b.coverage_counts(spark, sf).groupBy("scan_id").agg(F.sum("total").alias("sbom_component_count"))
-    rows = joins.scan_summary(
-        scans, {"totals": total, "types": joins.types_map(typed), "sbom": sbom, "gate": gate}
-    )
+    rows = joins.scan_summary(scans, {"totals": total, "sbom": sbom, "gate": gate})
     return rows.withColumn("gate_passed", gates.from_gate_file())
 
 

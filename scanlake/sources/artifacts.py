@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +44,10 @@ def stage_artifacts(artifacts: DataFrame, path: str) -> None:
 
 
 def _scan_and_path(path: Column, root: str) -> tuple[Column, Column]:
-    """Split ``.../<root>/<scan>/<relative>``; a ``key=value`` scan folder gives its value."""
-    marker = root.rstrip("/").rsplit("/", 1)[-1] + "/"
-    below = F.substring_index(path, marker, -1)
+    """Split ``<root>/<scan>/<relative>``; a ``key=value`` scan folder gives its value."""
+    marker = re.sub("^file:/+", "/", root).rstrip("/") + "/"
+    start = F.locate(marker, path) + F.lit(len(marker))
+    below = F.substring(path, start, F.length(path))
     folder = F.substring_index(below, "/", 1)
     return F.substring_index(folder, "=", -1), F.regexp_replace(below, "^[^/]+/", "")
 

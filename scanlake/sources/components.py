@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake import schemas
-from scanlake.functions.rows import each, each_entry
+from scanlake.functions.rows import each, each_entry, keep_where
 from scanlake.functions.text import make_purl
 from scanlake.sources.artifacts import parse_json
 
 
 def read_sbom(df: DataFrame) -> DataFrame:
     """One row per component; a readable inventory without components keeps one row."""
-    doc = parse_json(df, schemas.SBOM).where("well_formed")
+    doc = keep_where(parse_json(df, schemas.SBOM), F.col("well_formed"))
     rows = doc.select(
         "scan_id", "file", "doc.bomFormat", "doc.specVersion", F.explode_outer("doc.components").alias("c")
     )
@@ -48,8 +48,8 @@ def _library(kind: str, name: Column, version: Column) -> list[Column]:
 
 def lockfile_components(df: DataFrame) -> DataFrame:
     """npm lock: the packages map, or the dependencies map where there is none; the empty key is the project."""
-    doc = F.from_json("content", schemas.NPM_LOCK, {"mode": "PERMISSIVE"})
-    rows = each_entry(df, ["scan_id", "file"], F.coalesce(doc["packages"], doc["dependencies"]))
+    doc = df.withColumn("doc", F.from_json("content", schemas.NPM_LOCK, {"mode": "PERMISSIVE"}))
+    rows = each_entry(doc, ["scan_id", "file"], F.coalesce("doc.packages", "doc.dependencies"))
     name = F.replace("k", F.lit("node_modules/"), F.lit(""))
     version = F.coalesce("v.version", F.lit("unknown"))
     return rows.where(F.col("k") != "").select("scan_id", "file", *_library("npm", name, version))

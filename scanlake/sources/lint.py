@@ -106,4 +106,5 @@ def lint_as_low(df: DataFrame) -> DataFrame:
     """Every entry of a shell or Dockerfile lint list counts as one LOW finding: (scan_id, tool, low)."""
     items = _records(schemas.SHELL_LINT)
     rows = df.select("scan_id", "tool", F.coalesce(F.size(items), F.lit(0)).cast("bigint").alias("low"))
-    return rows.where(F.col("low") > 0).groupBy("scan_id", "tool").agg(F.sum("low").alias("low"))
+    # Filtered after the sum: before it, the filter would parse every list once more.
+    return rows.groupBy("scan_id", "tool").agg(F.sum("low").alias("low")).where(F.col("low") > 0)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,17 @@ from scanlake.operators.ranking import phase_changes
 from scanlake.operators.rules import detect_phase
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the time a stream starts and runs."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_table_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A parquet file or folder as a stream; the schema is the table's own, read once from its footer.
 
@@ -133,7 +147,9 @@ def stale_agents(events: DataFrame, root: str, ttl_seconds: int = AGENT_TTL_SECO
         .agg(F.max("ts").alias("last_seen"), F.max_by("action", "ts").alias("last_action"))
     )
     ended = lives.where("last_action = 'create'").select("agent", "last_seen", F.col("life.end").alias("expired"))
-    return run_append(ended, root)
+    # Sessions are merged inside each input task first, so a busy agent does not send all its events to one task.
+    with _setting(events.sparkSession, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"):
+        return run_append(ended, root)
 
 
 def active_agents(events: DataFrame, root: str, limit: int) -> DataFrame:
