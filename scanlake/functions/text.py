@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The shape of a scan id, its trailing digits, and the words of sensitive keys.
 SCAN_ID_PATTERN = r"^[a-zA-Z0-9_\-]{3,80}$"
 EPOCH_TAIL_PATTERN = r"(\d{8,})$"
 SENSITIVE_WORDS = r"(?i)password|secret|token|key|credential"

@@ -10,6 +10,7 @@ from scanlake.functions.rows import each
 from scanlake.functions.timing import duration_ms, from_epoch_ms, result_label, running_result, whole_seconds
 from scanlake.sources.textual import last_of_each
 
+# Time to live and number limit of agents.
 AGENT_TTL_SECONDS = 7200
 MAX_AGENTS = 10
 
@@ -57,7 +58,7 @@ def build_status(resolved: DataFrame, builds: DataFrame) -> DataFrame:
     return resolved.join(state, ["pipeline", "number"], "left")
 
 
-def pipeline_metrics(builds: DataFrame, bucket: str = "1 hour") -> DataFrame:
+def build_metrics(builds: DataFrame, bucket: str = "1 hour") -> DataFrame:
     """Scan count, error count and mean duration per job and time bucket."""
     return builds.groupBy("job", F.window("ts", bucket).alias("w")).agg(
         F.count("*").alias("scans"),

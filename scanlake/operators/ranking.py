@@ -11,8 +11,7 @@ from scanlake.functions.rows import keep_where
 from scanlake.functions.severity import severity_rank
 from scanlake.operators.skew import sliced_window
 
-# Phases of a local scan, in order.
-PHASES = ("detect", "test", "coverage", "security", "aggregate")
+# Fixed value: no build list is longer.
 BUILD_LIMIT = 100
 
 

@@ -24,13 +24,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Heavy per-row work on a table with fewer splits than cores is dealt out over all cores first.
+_SPLITS: dict[str, int] = {}
+
+
+def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for heavy per-row work. With fewer splits than cores its rows are dealt out over all cores first.
 
     A large table has more splits than cores and passes through without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    df = table(spark, sf, name)
+    path, cores = f"{sf}/{name}.parquet", spark.sparkContext.defaultParallelism
+    if path not in _SPLITS:
+        _SPLITS[path] = df.rdd.getNumPartitions()
+    return df if _SPLITS[path] >= cores else df.repartition(cores)
 
 
 # --- B1: findings from orders ------------------------------------------------------------------
@@ -238,7 +244,7 @@ builds as (
 
 def build_documents(spark: SparkSession, sf: str) -> DataFrame:
     """One CI document per event; SCAN_ID is given twice, in two actions, and the second one holds."""
-    e = event_rows(spread(table(spark, sf, "events")))
+    e = event_rows(spread_table(spark, sf, "events"))
 
     def param(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("name"), value.alias("value"))
@@ -274,7 +280,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     """One file per document; names rotate, folders follow the language, projects the source."""
     name = f"elt(cast(doc_id % {len(FILE_NAMES)} + 1 as int), {_quoted(FILE_NAMES)})"
     folder = "case lang when 'en' then '' when 'fr' then 'backend/' when 'de' then 'web/tests/' else 'web/node_modules/lib/' end"
-    return spread(table(spark, sf, "documents")).selectExpr(
+    return spread_table(spark, sf, "documents").selectExpr(
         "source as project", f"concat({folder}, {name}) as path", f"{name} as name", "doc_id", "lang", "text as content",
         "cast(octet_length(text) as bigint) as length",
     )

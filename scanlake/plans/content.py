@@ -18,7 +18,7 @@ from scanlake.plans.registry import query
       case when regexp_matches(substr(text, 1, 12), '^[a-zA-Z0-9_\\-]{3,80}$') then 1 else 0 end as from_text from documents""",
 )
 def valid_scan_id(spark, sf):
-    docs = b.spread(b.table(spark, sf, "documents"))
+    docs = b.table(spark, sf, "documents")
     plain = F.concat_ws("-", "source", "lang", F.col("doc_id").cast("string"))
     return docs.select(
         "doc_id", text.valid_scan_id(plain).cast("int").alias("plain"),
@@ -57,7 +57,7 @@ def artifact_visible(spark, sf):
     select doc_id, path, case when doc_id % 4 = 0 then 'true' else 'false' end as safe from p""",
 )
 def safe_relative(spark, sf):
-    docs = b.spread(b.table(spark, sf, "documents"))
+    docs = b.table(spark, sf, "documents")
     turn = F.col("doc_id") % 4
     path = (
         F.when(turn == 0, F.concat(F.lit("a/"), "lang", F.lit("/../..")))
@@ -84,7 +84,7 @@ def exclude_paths(spark, sf):
       substr(text, 1, 150) as d150, substr(text, 1, 80) as d80 from documents""",
 )
 def cut_titles(spark, sf):
-    docs = b.spread(b.table(spark, sf, "documents"))
+    docs = b.table(spark, sf, "documents")
     return docs.select(
         "doc_id", text.ellipsis("text", 120).alias("title"), text.cut("text", 200).alias("d200"), text.cut("text", 150).alias("d150"), text.cut("text", 80).alias("d80")
     )
@@ -92,7 +92,7 @@ def cut_titles(spark, sf):
 
 @query("safe_name", "P9", "select page_id, translate(url, '/:', '--') as name from pages")
 def safe_name(spark, sf):
-    return b.spread(b.table(spark, sf, "pages")).select("page_id", paths.safe_name("url").alias("name"))
+    return b.table(spark, sf, "pages").select("page_id", paths.safe_name("url").alias("name"))
 
 
 @query(
@@ -122,7 +122,7 @@ def redact_env(spark, sf):
 
 @query("redact_values", "P11", "select doc_id, regexp_replace(text, '=.*', '=<REDACTED>', 'g') as content from documents where contains(text, '=')")
 def redact_values(spark, sf):
-    docs = b.spread(b.table(spark, sf, "documents")).where(F.col("text").contains("="))
+    docs = b.spread_table(spark, sf, "documents").where(F.col("text").contains("="))
     return docs.select("doc_id", text.redact_values("text").alias("content"))
 
 
@@ -132,7 +132,7 @@ def redact_values(spark, sf):
     """select doc_id, case when strlen(text) > 1024 then format('{:.1f}', strlen(text) / 1024.0) || 'KB' else strlen(text) || 'B' end as size from documents""",
 )
 def size_label(spark, sf):
-    docs = b.spread(b.table(spark, sf, "documents"))
+    docs = b.table(spark, sf, "documents")
     return docs.select("doc_id", paths.size_label(F.octet_length("text")).alias("size"))
 
 
@@ -158,7 +158,7 @@ PAGE_RULES = (
     union all select page_id, 'INFO', 'no doctype' from pages where not regexp_matches(string_split(html, chr(10))[1], '^<!DOCTYPE')""",
 )
 def apply_rules(spark, sf):
-    return rules.apply_rules(b.spread(b.table(spark, sf, "pages")), PAGE_RULES, "html", ("page_id",))
+    return rules.apply_rules(b.spread_table(spark, sf, "pages"), PAGE_RULES, "html", ("page_id",))
 
 
 def kind_files(spark, sf):
@@ -176,7 +176,7 @@ def kind_files(spark, sf):
     )
     heads = {"dockerfile": dockerfile, "shell": shell, "manifest": manifest, "compose": compose}
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), h.alias("head")) for k, h in heads.items()])
-    rows = b.spread(b.table(spark, sf, "documents")).select("doc_id", "text", F.inline(pairs))
+    rows = b.spread_table(spark, sf, "documents").select("doc_id", "text", F.inline(pairs))
     return rows.select("doc_id", "kind", F.concat("head", "text").alias("content"))
 
 
@@ -284,7 +284,7 @@ def license_files(spark, sf):
     select license, count(*) as n from l where license <> '' group by license""",
 )
 def license_text(spark, sf):
-    rows = b.spread(b.table(spark, sf, "documents")).select(rules.license_text("text").alias("license"))
+    rows = b.spread_table(spark, sf, "documents").select(rules.license_text("text").alias("license"))
     return rows.where("license is not null").groupBy("license").agg(F.count("*").alias("n"))
 
 
@@ -354,7 +354,7 @@ PHASE_SQL = f"{b.CHUNKS_SQL}, phases as (select build, \"offset\", {_phase_sql()
 
 
 def phase_chunks(spark, sf):
-    chunks = b.chunk_rows(b.spread(b.table(spark, sf, "conversations")))
+    chunks = b.chunk_rows(b.spread_table(spark, sf, "conversations"))
     return chunks.select("build", "offset", rules.detect_phase("text").alias("phase"))
 
 
@@ -369,7 +369,7 @@ def detect_phase(spark, sf):
     f"select phase, count(*) as n from (select {_phase_sql()} as phase from documents) group by phase",
 )
 def detect_phase_documents(spark, sf):
-    rows = b.spread(b.table(spark, sf, "documents")).select(rules.detect_phase("text").alias("phase"))
+    rows = b.spread_table(spark, sf, "documents").select(rules.detect_phase("text").alias("phase"))
     return rows.groupBy("phase").agg(F.count("*").alias("n"))
 
 

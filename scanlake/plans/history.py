@@ -82,13 +82,13 @@ def build_status(spark, sf):
 
 
 @query(
-    "pipeline_metrics",
+    "build_metrics",
     "B-3",
     f"""with {b.EVENTS_SQL} select job, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as bucket, count(*) as scans, count(*) filter (result = 'FAILURE') as failures,
       cast(sum(duration_ms) as double) / count(*) as avg_duration_ms from builds group by job, date_trunc('hour', ts)""",
 )
-def pipeline_metrics(spark, sf):
-    rows = builds.pipeline_metrics(b.events(spark, sf))
+def build_metrics(spark, sf):
+    rows = builds.build_metrics(b.events(spark, sf))
     return rows.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH:mm"))
 
 

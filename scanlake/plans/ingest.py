@@ -43,7 +43,7 @@ def severity_gate_from_reports(spark, sf):
 )
 def read_artifacts(spark, sf):
     root = shared_dir(spark, "artifacts")
-    docs = b.spread(b.table(spark, sf, "documents")).select("source", F.col("text").alias("value"))
+    docs = b.spread_table(spark, sf, "documents").select("source", F.col("text").alias("value"))
     sinks.write_documents(docs, root, "reports", "source")
     found = artifacts.read_artifacts(spark, f"{root}/reports", "*.txt")
     return found.groupBy("scan_id").agg(F.sum("length").alias("bytes"))
@@ -57,7 +57,7 @@ def read_artifacts(spark, sf):
 )
 def read_report_lines(spark, sf):
     root = shared_dir(spark, "artifacts")
-    docs = b.spread(b.table(spark, sf, "documents")).select("source", F.regexp_replace("text", r"\n$", "").alias("value"))
+    docs = b.spread_table(spark, sf, "documents").select("source", F.regexp_replace("text", r"\n$", "").alias("value"))
     sinks.write_documents(docs, root, "reports", "source")
     found = artifacts.read_report_lines(spark, f"{root}/reports", "*.txt")
     return found.groupBy("scan_id").agg(F.count("*").alias("lines"))
@@ -466,7 +466,7 @@ def read_eslint(spark, sf):
 
 def text_reports(spark, sf):
     """Document texts as line-per-issue reports, a blank line put in front."""
-    return b.spread(b.table(spark, sf, "documents")).select(
+    return b.spread_table(spark, sf, "documents").select(
         F.col("source").alias("scan_id"), F.concat(F.lit("\n"), "text").alias("content")
     )
 
