@@ -47,6 +47,6 @@ def test_no_report_file_grows_with_its_scan(spark, skewed, monkeypatch):
     """With a smaller key range the hot scan gets more files, not longer ones."""
     folder, _ = skewed
     monkeypatch.setattr(bindings._pack, "__defaults__", (50,))
-    sizes = bindings.vuln_reports(spark, folder).selectExpr("scan_id", "size(from_json(content, 'Results array<struct<Secrets:array<struct<Title:string>>>>').Results[0].Secrets) as n")
+    sizes = bindings.vuln_reports(spark, folder).selectExpr("scan_id", "regexp_count(content, '\"Severity\"') as n")
     hot = [r.n for r in sizes.where("scan_id = 'scan-7'").collect()]
     assert len(hot) > 20 and max(hot) <= 50
