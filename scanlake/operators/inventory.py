@@ -55,11 +55,15 @@ FALLBACK_ORDER = (
     ("nodejs", ("package.json",)),
     ("go", ("go.mod",)),
 )
-# name: (order, words in package.json that refine nodejs, default)
+CI_ORDER = tuple(
+    (lang, (*markers, "nuxt.config.ts") if lang == "vue" else markers) for lang, markers in PYTHON_FIRST_ORDER
+)
+# name: (order, words in package.json that refine nodejs, depth of .csproj files, default)
 LANGUAGE_VARIANTS = {
-    "module": (MODULE_ORDER, (("react", ('"react"', '"react-dom"')), ("vue", ('"vue"',))), None),
-    "python_first": (PYTHON_FIRST_ORDER, (("react", ('"react"',)),), "nodejs"),
-    "fallback": (FALLBACK_ORDER, (("react", ('"react"',)), ("vue", ('"vue"',))), "python"),
+    "module": (MODULE_ORDER, (("react", ('"react"', '"react-dom"')), ("vue", ('"vue"',))), 1, None),
+    "python_first": (PYTHON_FIRST_ORDER, (("react", ('"react"',)),), 2, "nodejs"),
+    "ci": (CI_ORDER, (("react", ('"react"',)),), 2, "nodejs"),
+    "fallback": (FALLBACK_ORDER, (("react", ('"react"',)), ("vue", ('"vue"',))), 3, "python"),
 }
 # Test naming per language.
 TEST_DIR_NAMES = ("tests", "test", "__tests__", "spec", "specs", "e2e")
@@ -67,6 +71,7 @@ NODE_LANGUAGES = ("nodejs", "react", "angular", "vue")
 JAVA_LANGUAGES = ("java-maven", "java-gradle")
 NODE_TEST_FILES = r"\.(test|spec)\.(js|ts|jsx|tsx)$"
 INTEGRATION_WORDS = ("integration", "e2e", "functional", "acceptance", "api")
+INTEGRATION_SKIPPED_DIRS = ("node_modules", ".git", "pipeline-reports", ".trivy-cache", ".venv", "venv")
 # Dependency files per language.
 PYTHON_DEPS = (
     "requirements.txt", "requirements-dev.txt", "requirements-test.txt", "setup.py", "pyproject.toml", "Pipfile",
@@ -123,17 +128,18 @@ def supported_adapters(detected: Column) -> Column:
     return F.array_intersect(F.array(*[F.lit(name) for name in ADAPTERS]), detected)
 
 
-def _language(files: DataFrame, keys: list[str], variant: str, keep: Column) -> DataFrame:
-    """One language per group from the marker files that lie directly in it."""
-    order, refinements, default = LANGUAGE_VARIANTS[variant]
-    name = F.col("name")
+def _language(files: DataFrame, keys: list[str], variant: str, path: str) -> DataFrame:
+    """One language per group from the marker files that lie directly in it; ``path`` is relative to the group."""
+    order, refinements, csproj_depth, default = LANGUAGE_VARIANTS[variant]
+    name, keep = base_name(path), ~F.col(path).contains("/")
+    near = F.size(F.split(path, "/")) <= csproj_depth
     flags = {lang: _any(keep & name.isin(*markers)) for lang, markers in order}
     for lang, words in refinements:
         has = F.lit(False)
         for word in words:
             has = has | F.col("content").contains(word)
         flags[f"as_{lang}"] = _any(keep & (name == "package.json") & has)
-    flags["dotnet"] = _any(keep & name.endswith(".csproj"))
+    flags["dotnet"] = _any(near & name.endswith(".csproj"))
     grouped = files.groupBy(*keys).agg(*[flag.alias(f"_{label}") for label, flag in flags.items()])
     expr = None
     for lang, _ in order:
@@ -152,9 +158,7 @@ def _language(files: DataFrame, keys: list[str], variant: str, keep: Column) ->
 
 def detect_language(files: DataFrame, variant: str = "module") -> DataFrame:
     """(project, language) from the files in the project root."""
-    rooted = files.withColumn("name", base_name("path"))
-    at_root = ~F.col("path").contains("/")
-    return _language(rooted, ["project"], variant, at_root)
+    return _language(files, ["project"], variant, "path")
 
 
 def with_modules(files: DataFrame) -> DataFrame:
@@ -173,9 +177,7 @@ def with_modules(files: DataFrame) -> DataFrame:
 
 def discover_modules(files: DataFrame) -> DataFrame:
     """(project, module, language) for the root and each top directory that shows a language."""
-    rows = with_modules(files).withColumn("name", base_name("inner"))
-    at_top = ~F.col("inner").contains("/")
-    found = _language(rows, ["project", "module"], "module", at_top)
+    found = _language(with_modules(files), ["project", "module"], "module", "inner")
     return found.where(F.col("language").isNotNull())
 
 
@@ -216,13 +218,58 @@ def test_dirs(files: DataFrame, modules: DataFrame) -> DataFrame:
     return each(rows, ["project", "module"], found, "dir").distinct()
 
 
-def integration_dirs(dirs: DataFrame) -> DataFrame:
-    """Test directories whose path names an integration kind."""
+def integration_dirs(dirs: DataFrame, files: DataFrame, modules: DataFrame) -> DataFrame:
+    """Test directories whose path names an integration kind.
+
+    Modules without one fall back to any directory of that very name, wherever it lies in the module.
+    """
     lowered = F.lower("dir")
     hit = F.lit(False)
     for word in INTEGRATION_WORDS:
         hit = hit | lowered.contains(word)
-    return dirs.where(hit)
+    named = dirs.where(hit)
+    visible = with_modules(files).where(outside_skipped_dirs("inner", INTEGRATION_SKIPPED_DIRS, dot_dirs=False))
+    parts = F.split(dir_name("path"), "/")
+    matches = F.filter(
+        F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")),
+        lambda d: F.substring_index(d, "/", -1).isin(*INTEGRATION_WORDS),
+    )
+    found = each(visible, ["project", "module"], matches, "dir").distinct()
+    # The module's own directory is where its search starts; for the root that is the project itself.
+    lacking = modules.select("project", "module").join(named.select("project", "module"), ["project", "module"], "left_anti")
+    return named.unionByName(found.join(lacking, ["project", "module"], "left_semi"))
+
+
+def has_tests(files: DataFrame, languages: DataFrame) -> DataFrame:
+    """(project, has_tests): a quick look for test folders and files of the project's language, near the root."""
+    path, name = F.col("path"), base_name("path")
+    depth = F.size(F.split("path", "/"))
+
+    def under(*folders: str) -> Column:
+        return F.substring_index("path", "/", 1).isin(*folders)
+
+    node_file = (depth <= 4) & name.rlike(r"\.test\.(js|ts|jsx|tsx)$|\.spec\.(js|ts)$") & ~path.contains("node_modules")
+    dotnet_dir = F.exists(F.slice(F.split(dir_name("path"), "/"), 1, 4), lambda d: d.endswith(".Tests"))
+    looks = {
+        "python": under("tests", "test") | ((depth <= 3) & name.rlike(r"^test_.*\.py$|_test\.py$")),
+        "java": path.startswith("src/test/") | ((depth <= 5) & name.rlike(r"(Test|Tests|IT)\.java$")),
+        "node": under("test", "tests", "__tests__", "spec") | node_file,
+        "go": (depth <= 5) & name.endswith("_test.go"),
+        "dotnet": under("test", "tests") | ((depth <= 4) & name.rlike(r"Test.*\.csproj$")) | dotnet_dir,
+        "other": under("test", "tests"),
+    }
+    # Files fold to one row per project before the language is looked up.
+    flags = files.groupBy("project").agg(*[_any(look).alias(family) for family, look in looks.items()])
+    lang = F.col("language")
+    answer = (
+        F.when(lang.isin(*JAVA_LANGUAGES), F.col("java"))
+        .when(lang.isin(*NODE_LANGUAGES), F.col("node"))
+        .when(lang == "python", F.col("python"))
+        .when(lang == "go", F.col("go"))
+        .when(lang == "dotnet", F.col("dotnet"))
+        .otherwise(F.col("other"))
+    )
+    return flags.join(languages, "project").select("project", answer.alias("has_tests"))
 
 
 def dockerfiles(files: DataFrame, modules: DataFrame) -> DataFrame:

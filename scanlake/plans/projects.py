@@ -68,6 +68,8 @@ LANGUAGE_SQL = {
       when bool_or(path = 'package.json') then {_NODE.format(vue=_VUE)} when bool_or(path = 'go.mod') then 'go' else 'python' end""",
 }
 
+LANGUAGE_SQL["ci"] = LANGUAGE_SQL["python_first"]
+
 for _variant, _sql in LANGUAGE_SQL.items():
 
     @query(f"detect_language_{_variant}", "I2", f"with {FILES_SQL} select project, {_sql} as language from files group by project")
@@ -101,13 +103,30 @@ def test_dirs(spark, sf):
 @query(
     "integration_dirs",
     "I5",
-    f"with {VISIBLE_SQL} select project, module, dir || '/e2e' as dir from td where regexp_matches(project, '[0-4]$')",
+    f"""with {VISIBLE_SQL}, named as (select project, module, dir || '/e2e' as dir from td where regexp_matches(project, '[0-4]$'))
+    select project, module, dir from named
+    union select project, module, 'web/api' from homes join modules using (project, module) where starts_with(path, 'web/tests/') and name = 'routes.py'
+      and (project, module) not in (select project, module from named)""",
 )
 def integration_dirs(spark, sf):
-    """In half of the projects the test directories are end-to-end folders; the others name no kind."""
-    dirs = inventory.test_dirs(*modules_of(spark, sf))
+    """In half of the projects the test directories are end-to-end folders; route files of the others lie in an api folder."""
+    table, found = modules_of(spark, sf)
     suffix = F.when(F.col("project").rlike("[0-4]$"), "/e2e").otherwise("")
-    return inventory.integration_dirs(dirs.withColumn("dir", F.concat("dir", suffix)))
+    dirs = inventory.test_dirs(table, found).withColumn("dir", F.concat("dir", suffix))
+    moved = F.when((F.col("name") == "routes.py") & F.col("path").startswith("web/tests/"), F.lit("web/api/routes.py"))
+    return inventory.integration_dirs(dirs, table.withColumn("path", F.coalesce(moved, "path")), found)
+
+
+@query(
+    "has_tests",
+    "I4",
+    f"""with {FILES_SQL}, l as (select project, {LANGUAGE_SQL["python_first"]} as language from files group by project)
+    select project, cast(bool_or(case when language = 'python' then name = 'test_main.py' else false end) as varchar) as has_tests from files join l using (project) group by project""",
+)
+def has_tests(spark, sf):
+    table = files(spark, sf)
+    rows = inventory.has_tests(table, inventory.detect_language(table, "python_first"))
+    return rows.withColumn("has_tests", F.col("has_tests").cast("string"))
 
 
 @query("dockerfiles", "I5", f"with {VISIBLE_SQL} select distinct project, module, path from visible where name = 'Dockerfile'")

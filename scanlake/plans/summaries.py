@@ -11,7 +11,7 @@ from scanlake.plans import bindings as b
 from scanlake.plans import counting, ingest, verdicts
 from scanlake.plans.registry import query
 from scanlake.session import shared_dir
-from scanlake.sources import lint, quality, scanners, textual, tests_coverage as tc
+from scanlake.sources import artifacts, lint, quality, scanners, textual, tests_coverage as tc
 
 COUNTS = counting.COUNTS
 SUM_COUNTS = ", ".join(f"cast(sum({n}) as bigint) as {n}" for n in COUNTS)
@@ -110,7 +110,7 @@ def precedence(spark, sf):
     summary = counts.where(last.isin("0", "1")).select("scan_id", cut.alias("content"))
     unified_doc = F.to_json(F.struct(F.struct(F.struct(F.col("critical").alias("CRITICAL")).alias("severity_totals")).alias("summary")))
     unified = counts.where(last.isin("1", "2")).select("scan_id", unified_doc.alias("content"))
-    usable = F.col("content").rlike(r"\{\s*\S+.*\}")
+    usable = artifacts.non_empty_object("content")
     sources = [
         textual.read_scan_summary(summary).join(summary, "scan_id").select(
             "scan_id", F.lit("summary").alias("source"), "critical", F.col("secrets_found").alias("secrets"), usable.alias("usable")
@@ -153,8 +153,8 @@ def resolve_dir(spark, sf):
 )
 def trace(spark, sf):
     scans = b.table(spark, sf, "customer").select(F.concat(F.lit("scan-"), F.col("c_custkey").cast("string")).alias("scan_id"))
-    artifacts = joins.traceability(scans, {"trivy-fs": "security/trivy-fs.json", "trivy-image": "security/trivy-image.json"})
-    return joins.trace_findings(b.findings(spark, sf), artifacts).select("ord", "scan_id", "trace_key", "artifact")
+    written = joins.traceability(scans, {"trivy-fs": "security/trivy-fs.json", "trivy-image": "security/trivy-image.json"})
+    return joins.trace_findings(b.findings(spark, sf), written).select("ord", "scan_id", "trace_key", "artifact")
 
 
 @query(
@@ -276,6 +276,32 @@ def write_summary(spark, sf):
     )
 
 
+@query(
+    "write_comprehensive_summary",
+    "K1 A1",
+    f"""with {b.FINDINGS_SQL}, c as (
+      select scan_id, count(*) filter (kind = 'vuln' and severity_raw = 'CRITICAL') as cv, count(*) filter (kind = 'misconfig' and severity_raw = 'CRITICAL') as cm,
+        count(*) filter (kind = 'vuln' and severity_raw = 'HIGH') as hv, count(*) filter (kind = 'misconfig' and severity_raw = 'HIGH') as hm, count(*) filter (kind = 'secret') as secrets from findings group by scan_id)
+    select scan_id, cv + cm as critical, hv + hm as high, 0::bigint as medium, secrets, nullif(secrets % 3, 0) as sbom_component_count,
+      case when cv > 0 or secrets > 0 or hv > 10 then 'false' else 'true' end as gate_passed from c""",
+)
+def write_comprehensive_summary(spark, sf):
+    counts = totals.severity_totals(b.findings(spark, sf), policy="comprehensive")
+    zero = F.lit(0).cast("bigint")
+    rows = counts.select("*", zero.alias("blockers"), zero.alias("test_failed"), F.lit(None).cast("string").alias("quality_gate"))
+    rows = rows.withColumn("overall_status", gates.comprehensive()).withColumn("sbom_component_count", F.col("secrets") % 3)
+    root = shared_dir(spark, "comprehensive")
+    docs = sinks.scan_summary_json(sinks.comprehensive_summary(rows))
+    sinks.write_documents(docs.select("content"), root, "scan-summary")
+    back = spark.read.text(f"{root}/scan-summary").select(
+        F.get_json_object("value", "$.scan_id").alias("scan_id"), F.col("value").alias("content")
+    )
+    return textual.read_scan_summary(back).select(
+        "scan_id", "critical", "high", "medium", F.col("secrets_found").alias("secrets"), "sbom_component_count",
+        F.col("gate_passed").cast("string").alias("gate_passed"),
+    )
+
+
 def unified_rows(spark, sf):
     f = b.findings(spark, sf)
     by_tool = totals.severity_totals(f, ("scan_id", "tool"), "unified")

@@ -22,7 +22,24 @@ def counters(prefix: str = "", upper: bool = False) -> Column:
 
 
 def scan_summary_json(rows: DataFrame) -> DataFrame:
-    """(scan_id, content): the summary document of each scan."""
+    """(scan_id, content): the summary document of each scan; fields without a value are left out.
+
+    Secret detection is listed among the scans with the number found and no severity counters.
+    """
+    no_number, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    typed = F.transform_values(
+        "findings_by_type",
+        lambda _, v: F.struct(*[v[name].alias(name) for name in COUNTERS], no_number.alias("found"), no_text.alias("file")),
+    )
+    secret = F.struct(
+        *[no_number.alias(name) for name in COUNTERS],
+        F.col("secrets").alias("found"),
+        F.lit("secret-scan.json").alias("file"),
+    )
+    entries = F.concat(
+        F.coalesce(F.map_entries(typed), F.array()),
+        F.when(F.col("secrets").isNotNull(), F.array(F.struct(F.lit("Secret Detection").alias("key"), secret.alias("value")))).otherwise(F.array()),
+    )
     doc = F.struct(
         "scan_id",
         "scan_type",
@@ -32,14 +49,43 @@ def scan_summary_json(rows: DataFrame) -> DataFrame:
         F.coalesce("secrets", F.lit(0)).alias("secrets_found"),
         "sbom_component_count",
         F.col("quality_gate").alias("sonarqube_quality_gate"),
-        F.col("findings_by_type").alias("findings_by_scan"),
+        F.map_from_entries(entries).alias("findings_by_scan"),
     )
-    return rows.select("scan_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("content"))
+    return rows.select("scan_id", F.to_json(doc).alias("content"))
+
+
+def comprehensive_summary(rows: DataFrame) -> DataFrame:
+    """Counters of the comprehensive report as summary rows: misconfigurations join the totals, an empty inventory
+    reads as none, and anything but PASS fails."""
+    return rows.select(
+        "scan_id",
+        F.lit("devsecops").alias("scan_type"),
+        F.when(F.col("overall_status") == "PASS", "PASS").otherwise("FAIL").alias("gate_status"),
+        (F.col("critical") + F.col("misconfig_critical")).alias("critical"),
+        (F.col("high") + F.col("misconfig_high")).alias("high"),
+        "medium",
+        "low",
+        F.lit(0).cast("bigint").alias("unknown"),
+        "secrets",
+        F.nullif("sbom_component_count", F.lit(0)).alias("sbom_component_count"),
+        "quality_gate",
+        F.lit(None).cast("map<string,struct<critical:bigint,high:bigint,medium:bigint,low:bigint,unknown:bigint>>").alias("findings_by_type"),
+    )
+
+
+# Optional parts of the unified report: column of the rows -> field of the document.
+UNIFIED_SUMMARY_PARTS = {"tool_status": "tool_status", "warnings": "warnings"}
+UNIFIED_PARTS = {"generated_at": "generated_at", "project_root": "project_root", "phase_status": "phase_status", "artifacts": "artifacts"}
 
 
 def unified_report_json(rows: DataFrame) -> DataFrame:
-    """(scan_id, content): the nested final report of each local scan."""
+    """(scan_id, content): the nested final report of each local scan; optional parts follow the columns given."""
+
+    def optional(parts: dict[str, str]) -> list[Column]:
+        return [F.col(column).alias(field) for column, field in parts.items() if column in rows.columns]
+
     verdict = F.struct(F.col("status").alias("status"), "reasons", F.col("strict").alias("strict_mode"))
+    tests = [F.col(f"test_{name}").alias(name) for name in ("total", "passed", "failed", "errors")]
     doc = F.struct(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         "scan_id",
@@ -49,11 +95,13 @@ def unified_report_json(rows: DataFrame) -> DataFrame:
         F.struct(
             verdict.alias("gate_verdict"),
             counters(upper=True).alias("severity_totals"),
-            F.struct("test_total", "test_passed", "test_failed", "test_errors").alias("tests"),
+            F.struct(*tests).alias("tests"),
             F.struct(F.col("coverage_pct").alias("overall_percent"), "missing").alias("coverage"),
+            *optional(UNIFIED_SUMMARY_PARTS),
         ).alias("summary"),
         F.col("by_tool").alias("findings_by_tool"),
         "traceability",
+        *optional(UNIFIED_PARTS),
     )
     return rows.select("scan_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("content"))
 

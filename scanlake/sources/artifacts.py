@@ -66,3 +66,8 @@ def parse_json(df: DataFrame, schema: str, content: str = "content", out: str =
         .withColumn(out, F.when(good, F.col("_parsed")))
         .drop("_parsed")
     )
+
+
+def non_empty_object(content: str | Column) -> Column:
+    """True for text that is a JSON object with at least one key; anything else cannot be used as a source."""
+    return F.coalesce(F.size(F.json_object_keys(content)) > 0, F.lit(False))

@@ -229,3 +229,27 @@ def test_tail_reads_nothing_twice(spark, tmp_path):
     spark.createDataFrame([(1, 1, "bb")], schema).coalesce(1).write.mode("append").parquet(source)
     rows = streaming.tail_log(streaming.read_table_stream(spark, source), root).collect()
     assert sorted((r.offset, r.bytes) for r in rows) == [(0, 1), (1, 2)]
+
+
+def test_has_tests_by_language(spark):
+    cases = {
+        "python": ({"a/b/test_x.py": True, "a/b/c/test_x.py": False, "tests/x": True, "a/tests/x": False}),
+        "java-maven": {"src/test/A.java": True, "a/b/XIT.java": True, "a/src/test/A.java": False},
+        "react": {"spec/a": True, "a/x.spec.ts": True, "node_modules/a.test.js": False},
+        "go": {"a/b_test.go": True, "test/x": False},
+        "dotnet": {"a/MyTest.csproj": True, "A.Tests/x.cs": True, "a/x.cs": False},
+        "other": {"test/x": True, "spec/x": False},
+    }
+    for language, paths_of in cases.items():
+        for i, (path, want) in enumerate(paths_of.items()):
+            df = spark.createDataFrame([("p", path)], "project string, path string")
+            languages = spark.createDataFrame([("p", language)], "project string, language string")
+            assert inventory.has_tests(df, languages).collect()[0].has_tests is want, (language, path)
+
+
+def test_usable_sources(spark):
+    from scanlake.sources.artifacts import non_empty_object
+
+    cases = {'{"a":1}': True, "{}": False, "{bad": False, "[]": False, "": False, '"x"': False}
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    assert {r.c: r.ok for r in df.select("c", non_empty_object("c").alias("ok")).collect()} == cases
