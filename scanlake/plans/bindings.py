@@ -111,35 +111,27 @@ def _pack(rows: DataFrame, keys: list[str], key: Column, items: dict[str, Column
 
 def vuln_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Scanner report files (scan_id, file, content). Results of the three kinds, the absent lists null."""
-    f = findings(spark, sf)
-
-    def items(kind: str, **fields: str) -> Column:
-        return F.when(
-            F.col("kind") == kind, F.struct("ord", *[F.col(src).alias(dst) for dst, src in fields.items()])
-        )
-
-    packed = _pack(
-        f,
-        ["scan_id", "file", "target"],
-        F.col("ord"),
-        {
-            "v": items("vuln", VulnerabilityID="id", PkgName="package", InstalledVersion="installed",
-                       FixedVersion="fixed", Severity="severity_raw", Title="title"),
-            "m": items("misconfig", ID="id", Type="package", Severity="severity_raw", Title="title",
-                       Resolution="title"),
-            "s": items("secret", RuleID="id", Category="package", Severity="severity_raw", Title="title",
-                       StartLine="line"),
-        },
-    )
+    item = F.struct("ord", "kind", "id", "package", "installed", "fixed", "severity_raw", "title", "line")
+    packed = _pack(findings(spark, sf), ["scan_id", "file", "target"], F.col("ord"), {"items": item})
 
-    def or_null(name: str) -> Column:
-        return F.when(F.size(name) > 0, F.transform(name, lambda x: x.dropFields("ord")))
+    def of_kind(kind: str, **fields: str) -> Column:
+        """The entries of one kind in the scanner's own field names; null where there are none."""
+        own = F.filter("items", lambda x: x["kind"] == kind)
+        shaped = F.transform(own, lambda x: F.struct(*[x[source].alias(name) for name, source in fields.items()]))
+        return F.when(F.exists("items", lambda x: x["kind"] == kind), shaped)
 
     result = F.struct(
         F.col("target").alias("Target"),
-        or_null("v").alias("Vulnerabilities"),
-        or_null("m").alias("Misconfigurations"),
-        or_null("s").alias("Secrets"),
+        of_kind(
+            "vuln", VulnerabilityID="id", PkgName="package", InstalledVersion="installed", FixedVersion="fixed",
+            Severity="severity_raw", Title="title",
+        ).alias("Vulnerabilities"),
+        of_kind(
+            "misconfig", ID="id", Type="package", Severity="severity_raw", Title="title", Resolution="title"
+        ).alias("Misconfigurations"),
+        of_kind(
+            "secret", RuleID="id", Category="package", Severity="severity_raw", Title="title", StartLine="line"
+        ).alias("Secrets"),
     )
     return packed.select(
         "scan_id",
