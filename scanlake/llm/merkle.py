@@ -120,9 +120,9 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     heads = done.where("head").selectExpr("slice as next_slice", "edge_text as after", "fingerprint as next_fingerprint")
     slices = staged(done.where("head").selectExpr("slice as v"), "slices")
-    top = slices.agg(F.max("v").alias("top"))
+    top = slices.agg(F.max("v")).first()[0]
     # after the last slice comes the first one again
-    ring = following(slices).crossJoin(F.broadcast(top)).selectExpr("v as slice", "coalesce(after, top) as next_slice")
+    ring = following(slices).select(F.col("v").alias("slice"), F.coalesce("after", F.lit(top).cast("long")).alias("next_slice"))
     edges = done.where("last").join(ring, "slice").join(heads.drop("fingerprint"), "next_slice").withColumn("edited", edited(F.col("edge_text"), F.col("after")))
     edges = edges.withColumns({"edited_fingerprint": fingerprint(F.col("edited")), "edited_sha256": F.sha2("edited", 256)}).withColumns(near)
     return done.where("not last").select(*out).unionByName(edges.select(*out))

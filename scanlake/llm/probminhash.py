@@ -10,10 +10,15 @@ which is the plain Jaccard similarity where no shingle repeats. A process ends a
 the text's latest register (early termination): beyond one arrival per shingle a text costs about SIZE ln SIZE arrivals.
 
 1. Texts with the same words are one node, so copies are never paired.
-2. ``BANDS`` bands of four registers make buckets. Each member is linked to its bucket's smallest id (a star, not all pairs).
+2. ``BANDS`` bands of four registers make buckets. A bucket is dealt out to small circles by the hash of id and bucket; the
+   pairs within a circle are candidates. A small bucket is one circle, and a member of large buckets meets others in each band.
 3. Candidate pairs whose estimate is at least ``threshold - SLACK`` are verified exactly on their texts.
-4. Components of verified pairs. Buckets that still hold several components give all their pairs across components to
-   step 3, so every pair of a bucket is either verified or already connected.
+4. Components of verified pairs. The members of large buckets that still hold several components are joined exactly. J is at
+   most the share of either text's weight that the two have in common, so with J >= threshold any shingles that make up more
+   than 1 - threshold of a text hold a common one. Each text is looked up by such a prefix of its rarest shingles; pairs of
+   different components that share one go to step 3, unless no shingle of either repeats and what follows the shared one is
+   too little for the Jaccard similarity. What is connected, most of a group of copies, is not paired again, and
+   a text whose own rare shingles outweigh the prefix meets nobody.
 
 Rows: texts without words are nodes by their exact text; texts of fewer than five words have one shingle of all words.
 A null text is empty. Rows that share a doc_id count as one document. Rows without doc_id get a null class. Ties go to the
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlake.llm.words import batch, mix, passes, shingles, staged, texts, words
@@ -34,8 +39,12 @@ from scanlake.llm.words import batch, mix, passes, shingles, staged, texts, word
 SHINGLE, THRESHOLD = 5, 0.8
 SIZE, ROWS = 96, 4
 BANDS = SIZE // ROWS
-#: Five standard errors of the estimate at the threshold.
-SLACK = 0.2
+#: Three standard errors of the estimate at the threshold.
+SLACK = 0.12
+#: Mean number of members of a circle; buckets of so many or fewer are one circle.
+CIRCLE = 6
+#: Numbers that ids are reduced to for dropping texts before the shuffle: a broadcast of at most so many whole numbers.
+REDUCED = 1 << 20
 
 _STEP = np.uint64(0xA0761D6478BD642F)
 _SKETCH = "doc_id long, k1 long, k2 long, n_words long, signature array<int>"
@@ -125,14 +134,46 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch({"a": part.column("a"), "b": part.column("b"), "similarity": [probability_jaccard(x, y) for x, y in zip(*sides)]}, schema)
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+    """doc_id, text of the given doc_ids, stored. Most other texts are dropped before the shuffle by reduced ids."""
+    wanted = staged(ids.select("doc_id").distinct(), f"ids-{label}")
+    reduced = lambda c: F.pmod(F.xxhash64(c), F.lit(REDUCED)).cast("int")
+    some = wanted.select(reduced("doc_id").alias("_reduced")).distinct()
+    near = docs.join(F.broadcast(some), reduced("doc_id") == F.col("_reduced"), "left_semi")
+    return staged(near.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"texts-{label}")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose exact similarity is at least ``threshold``. Texts of other documents are dropped first."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = staged(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts-of-pairs")
+    """The pairs (a, b) of doc_ids whose exact similarity is at least ``threshold``."""
+    own = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, "of-pairs")
     both = pairs.join(own.selectExpr("doc_id as a", "text as text_a"), "a").join(own.selectExpr("doc_id as b", "text as text_b"), "b")
     return both.mapInArrow(_alike, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("shingle", pa.int64()), ("share", pa.float64()), ("total", pa.int64()), ("plain", pa.bool_())])
+    for rows in batches:
+        ids = np.asarray(rows.column("doc_id"))
+        for low, high in passes(rows.column("text")):
+            doc, value, weight = elements(*shingles(words(rows.column("text").slice(low, high - low)), SHINGLE))
+            total, distinct = np.bincount(doc, weights=weight, minlength=1)[doc], np.bincount(doc, minlength=1)[doc]
+            yield batch({"doc_id": ids[low:high][doc], "shingle": value.view(np.int64), "share": weight / total, "total": total.astype(np.int64), "plain": total == distinct}, schema)
+
+
+def sharing_prefix(labelled: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, of all documents in ``labelled`` (doc_id, label) with different labels that can reach ``threshold``."""
+    held = texts_of(labelled, docs, "open").mapInArrow(_weighed, "doc_id long, shingle long, share double, total long, plain boolean")
+    held = staged(held, "shingles")
+    ranked = held.join(held.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
+    before = F.sum("share").over(Window.partitionBy("doc_id").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1))
+    prefix = ranked.withColumn("before", F.coalesce(before, F.lit(0.0))).where((F.col("before") <= 1 - threshold + 1e-9) & (F.col("n") > 1))
+    prefix = staged(prefix.join(labelled, "doc_id").selectExpr("doc_id as id", "shingle", "label", "total", "total * (1 - before) as left", "plain"), "prefixes")
+    one, two = (prefix.select([F.col(c).alias(f"{side}_{c}") for c in prefix.columns]) for side in "ab")
+    # common shingles of two sets are at least t / (1 + t) of both together, and none comes before the first shared one
+    enough = f"(not a_plain or not b_plain or least(a_left, b_left) >= {threshold / (1 + threshold)} * (a_total + b_total) - 1e-6)"
+    return one.join(two, F.expr(f"a_shingle = b_shingle and a_id < b_id and a_label <> b_label and {enough}")).selectExpr("a_id as a", "b_id as b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """doc_id, label (smallest id of its component), by turns of large and small stars until nothing changes.
 
@@ -167,29 +208,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     nodes = drawn.where("n_words > 0").join(groups, ["k1", "k2"]).where("doc_id = node").selectExpr("node as id", "signature").dropDuplicates(["id"])
     nodes = staged(nodes, "nodes")
     bands = [f"xxhash64({band}, {', '.join(f'signature[{band * ROWS + i}]' for i in range(ROWS))})" for band in range(BANDS)]
-    buckets = nodes.selectExpr("id", f"explode(array({', '.join(bands)})) as bucket")
+    buckets = nodes.selectExpr("id", f"posexplode(array({', '.join(bands)})) as (band, bucket)")
+    crowds = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = staged(buckets.join(crowds, "bucket"), "buckets")
 
+    # seven bits of each register are enough for the estimate
+    short = nodes.selectExpr("id", "transform(signature, x -> cast(x & 127 as tinyint)) as s")
     alike = f"aggregate(zip_with(sa, sb, (x, y) -> if(x = y, 1, 0)), 0, (n, x) -> n + x) >= {(threshold - SLACK) * SIZE}"
-    first = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = buckets.withColumnRenamed("id", "b").join(first, "bucket").where("a < b").select("a", "b").distinct()
+    circle = f"pmod(xxhash64(id, bucket), cast(ceil(n / {CIRCLE}) as bigint))"
+    dealt = crowded.selectExpr("id", "bucket", f"{circle} as circle")
+    met = dealt.withColumnRenamed("id", "a").join(dealt.withColumnRenamed("id", "b"), ["bucket", "circle"]).where("a < b").select("a", "b").distinct()
     likely = (
-        star.join(nodes.selectExpr("id as a", "signature as sa"), "a").join(nodes.selectExpr("id as b", "signature as sb"), "b")
+        met.join(short.selectExpr("id as a", "s as sa"), "a").join(short.selectExpr("id as b", "s as sb"), "b")
         .where(alike).select("a", "b")
     )
     tried = staged(likely, "pairs")
     links = staged(verify(tried, rows, threshold), "links")
     label = components(links)
 
-    # buckets that still hold several components: every pair across components
-    placed = buckets.join(label, buckets["id"] == label["doc_id"], "left").selectExpr("id", "bucket", "coalesce(label, id) as label")
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    open_ = staged(placed.join(mixed, "bucket").join(nodes, "id").select("id", "bucket", "label", "signature"), "open-buckets")
-    left = open_.selectExpr("id as a", "bucket", "label as la", "signature as sa")
-    right = open_.selectExpr("id as b", "bucket", "label as lb", "signature as sb")
-    across = left.join(right, (left["bucket"] == right["bucket"]) & F.expr("a < b") & F.expr("la <> lb") & F.expr(alike)).select("a", "b").distinct()
-    more = staged(verify(staged(across.join(tried, ["a", "b"], "left_anti"), "rest-pairs"), rows, threshold), "rest-links")
-    if not more.isEmpty():
-        label = components(links.unionByName(more))
+    # large buckets that still hold several components: an exact join across components
+    large = crowded.where(f"n > {CIRCLE}").join(label.withColumnsRenamed({"doc_id": "id"}), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = large.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    open_ = staged(large.join(mixed, "bucket").select(F.col("id").alias("doc_id"), "label").distinct(), "open")
+    rest = staged(sharing_prefix(open_, rows, threshold).join(tried, ["a", "b"], "left_anti"), "rest-pairs")
+    if not rest.isEmpty():
+        more = staged(verify(rest, rows, threshold), "rest-links")
+        if not more.isEmpty():
+            label = components(links.unionByName(more))
 
     return (
         drawn.join(groups, ["k1", "k2"], "left").join(label.withColumnRenamed("doc_id", "node"), "node", "left")
