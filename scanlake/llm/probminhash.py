@@ -42,7 +42,7 @@ BANDS = SIZE // ROWS
 #: Three standard errors of the estimate at the threshold.
 SLACK = 0.12
 #: Mean number of members of a circle; buckets of so many or fewer are one circle.
-CIRCLE = 6
+CIRCLE = 3
 #: Numbers that ids are reduced to for dropping texts before the shuffle: a broadcast of at most so many whole numbers.
 REDUCED = 1 << 20
 
