@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from scanlake.llm.words import texts
 
-REMEMBERED = 800_000
+REMEMBERED = 350_000
 
 _SPACE = "▁"
 _UNITS = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
@@ -82,7 +82,7 @@ class Pieces:
             now[k : k + 2] = [(i, (now[k][0], now[k + 1][0]), self.text[i])]
 
     def compatible(self, a: int, b: int) -> bool:
-        if len(self.tested) > 4 * REMEMBERED:
+        if len(self.tested) > REMEMBERED:
             self.tested.clear()
         apart = self.tested[a << 20 | b] = self._stay_apart(a, b)
         return apart
