@@ -6,7 +6,7 @@ goes to the other cells of its marginals in the next turn. A document is kept wi
 cell, decided by the hash of its id and text, so that the expected kept tokens are the raked weights.
 
 The corpus is read twice (sums, decisions) and only sums are shuffled, folded per task first; the turns run on the table of
-cells as aggregates and joins. Documents meet their cell's probability in a join that the planner broadcasts only if the
+cells as window sums. Documents meet their cell's probability in a join that the planner broadcasts only if the
 stored table of cells is smaller than spark.sql.autoBroadcastJoinThreshold.
 
 Targets: for each dimension the share of a value is in proportion to its tokens to the power of an exponent (1 keeps the mix,
@@ -18,13 +18,13 @@ tokens keep all their rows. Equal rows are decided alike. An empty table gives a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlake.llm.words import staged
 
 DIMENSIONS = ("source", "lang", "topic")
-RATE, TURNS, TOLERANCE = 0.85, 40, 1e-6
+RATE, TURNS, ROUND, TOLERANCE = 0.85, 24, 4, 1e-3
 EXPONENTS = {"source": 0.85, "lang": 0.9, "topic": 0.9}
 
 
@@ -60,25 +60,29 @@ def targets(cells: DataFrame, dimension: str, exponent: float) -> DataFrame:
 def rake(cells: DataFrame, shares: dict[str, DataFrame], rate: float = RATE, turns: int = TURNS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells with ``weight`` <= tokens, whose sums by dimension are share x rate x all tokens as far as tokens allow.
 
-    Turns end when no cell changes by more than ``tolerance`` of its weight. Given shares have to sum to 1 in each dimension;
-    values without a share get none.
+    Turns go in rounds of ``ROUND``, each one query of window sums over the table of cells, written to the shared folder. They
+    end when no cell moves by more than ``tolerance`` of its weight in a round. Given shares have to sum to 1 in each
+    dimension; values without a share get none.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    now = cells.withColumn("weight", F.col("tokens") * F.lit(rate))
-    shares = {d: staged(s.select("value", "share"), "shares") for d, s in shares.items()}
-    for _ in range(turns):
-        before = now.withColumn("last", F.col("weight"))
-        step = before
-        for dimension, share in shares.items():
-            sums = step.groupBy(F.col(dimension).alias("value")).agg(F.sum("weight").alias("sum")).where("sum > 0")
-            factor = sums.join(share, "value", "left").select(F.col("value").alias("_value"), (F.coalesce("share", F.lit(0.0)) * F.lit(rate * total) / F.col("sum")).alias("factor"))
-            step = step.join(factor, F.col(dimension) == F.col("_value"), "left").drop("_value").withColumn("weight", F.least(F.col("tokens").cast("double"), F.col("weight") * F.coalesce("factor", F.lit(1.0)))).drop("factor")
-        now = staged(step, "raked")
-        moved = now.agg(F.max(F.abs(F.col("weight") - F.col("last")) / F.greatest(F.col("last"), F.lit(1e-9)))).first()[0]
-        now = now.drop("last")
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    wanted = cells
+    for dimension, share in shares.items():
+        own = share.select(F.col("value").alias("_value"), F.col("share").alias(f"_{dimension}"))
+        wanted = wanted.join(own, F.col(dimension) == F.col("_value"), "left").drop("_value").fillna(0.0, [f"_{dimension}"])
+    now = staged(wanted.withColumn("weight", F.col("tokens") * F.lit(rate)), "raked")
+    for _ in range(-(-turns // ROUND)):
+        step = now.withColumn("_last", F.col("weight"))
+        for _ in range(ROUND):
+            for dimension in shares:
+                there = F.sum("weight").over(Window.partitionBy(dimension))
+                goal = F.col("weight") * F.col(f"_{dimension}") * F.lit(rate * total) / there
+                step = step.withColumn("weight", F.when(there > 0, F.least(F.col("tokens").cast("double"), goal)).otherwise(0.0))
+        step = staged(step, "raked")
+        moved = step.agg(F.max(F.abs(F.col("weight") - F.col("_last")) / F.greatest(F.col("_last"), F.lit(1e-9)))).first()[0]
+        now = step.drop("_last")
         if moved is None or moved <= tolerance:
             break
-    return now
+    return now.drop(*[f"_{d}" for d in shares])
 
 
 def chances(rows: DataFrame, rate: float = RATE, exponents: dict[str, float] | None = None) -> DataFrame:
