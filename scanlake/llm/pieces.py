@@ -10,7 +10,8 @@ before. Pieces of white space only share one score, so for them the pair is enco
 piece stand alone and become the ids of their UTF-8 bytes.
 
 No piece crosses the border between another character and a space, so texts are cut there, and the ids of a unit (spaces and
-the characters up to the next space) are remembered in each Python worker; the memory is emptied at ``REMEMBERED`` units.
+the characters up to the next space) are remembered in each Python worker: ``REMEMBERED`` new ones and as many before them;
+units that are met again pass over to the new ones.
 
 Rows: null is empty, and an empty text has no ids. Rows are worked on where they lie; equal texts have equal ids. Extra
 columns are ignored. A model of another type, or one that cuts or rewrites texts first, is refused.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from scanlake.llm.words import texts
 
-REMEMBERED = 350_000
+REMEMBERED = 150_000
 
 _SPACE = "▁"
 _UNITS = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
@@ -65,7 +66,9 @@ class Pieces:
         self.size = [len(t) for t in self.text]
         self.characters = {t for t in self.id if len(t) == 1}
         self.tested: dict[int, bool] = {}
+        self.tested_before: dict[int, bool] = {}
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def merged(self, text: str) -> list[tuple[int | None, tuple[int, int] | None]]:
         """Plain merging, best score first, then leftmost: (id, the two ids of the last merge) of what remains. For short texts."""
@@ -83,8 +86,11 @@ class Pieces:
 
     def compatible(self, a: int, b: int) -> bool:
         if len(self.tested) > REMEMBERED:
-            self.tested.clear()
-        apart = self.tested[a << 20 | b] = self._stay_apart(a, b)
+            self.tested, self.tested_before = {}, self.tested
+        apart = self.tested_before.get(a << 20 | b)
+        if apart is None:
+            apart = self._stay_apart(a, b)
+        self.tested[a << 20 | b] = apart
         return apart
 
     def _stay_apart(self, a: int, b: int) -> bool:
@@ -146,7 +152,7 @@ class Pieces:
         if not text:
             return []
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         spaced = _SPACE + text.replace(" ", _SPACE)
         if _SPACE * 2 in spaced or spaced[-1] == _SPACE:
             names = _UNITS.findall(spaced)
@@ -160,8 +166,10 @@ class Pieces:
                     name = names[k]
                     unit = known.get(name)
                     if unit is None:
-                        ids = self.unit(name)
-                        unit = ",".join(map(str, ids)), len(ids), self._decoded(ids)
+                        unit = self.older.get(name)
+                        if unit is None:
+                            ids = self.unit(name)
+                            unit = ",".join(map(str, ids)), len(ids), self._decoded(ids)
                         if len(name) <= 64:
                             known[name] = unit
                     found[k] = unit

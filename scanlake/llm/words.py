@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from scanlake.session import shared_dir
 
 #: Bytes of text that one numpy pass holds (about 60 bytes of arrays for each); a longer text is a pass of its own.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
