@@ -320,8 +320,8 @@ def modules_without(modules: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def flat_paths(owned: DataFrame) -> DataFrame:
-    """All paths over the modules of a project, each once, as sorted rows (a list could outgrow one task)."""
-    return owned.select("project", "path").distinct().sort("project", "path")
+    """All paths over the modules of a project, each once, as rows (a list could outgrow one task)."""
+    return owned.select("project", "path").distinct()
 
 
 def directory_tree(files: DataFrame) -> DataFrame:

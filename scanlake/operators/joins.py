@@ -25,8 +25,6 @@ PREFERRED_FILES = {
 PIPELINE_SUFFIXES = ("-security-scan-pipeline", "-ci-cd-pipeline", "-devsecops-pipeline")
 SEARCH_ORDER = ("security-scan-pipeline", "devsecops-pipeline", "ci-cd-pipeline")
 
-MAX_SCAN_ID = 80
-MIN_SCAN_ID = 3
 
 
 def scan_summary(scans: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
@@ -93,27 +91,23 @@ def source_precedence(sources: list[DataFrame]) -> DataFrame:
 def resolve_scan_dir(requests: DataFrame, folders: DataFrame, legacy: str) -> DataFrame:
     """(requested, folder): the exact name, else the greatest folder name that starts with it, else ``legacy``.
 
-    The prefix search is an equi-join: each folder name offers its prefixes, limited to the lengths that are
-    requested. Scan ids have 3 to 80 characters, so the broadcast table of lengths has at most 78 rows.
+    Exact names meet in an equi-join, whatever their length. What is left goes to the prefix search: each folder name offers
+    its prefixes of the lengths still asked for. Those lengths are one array, as long as the longest request at most; an
+    empty request has no prefix and answers ``legacy``.
     """
-    lengths = (
-        requests.where(F.length("requested").between(MIN_SCAN_ID, MAX_SCAN_ID))
-        .select(F.length("requested").alias("n"))
-        .distinct()
-    )
-    reach = F.least(F.length("folder"), F.lit(MAX_SCAN_ID))
+    names = folders.select(F.col("folder").alias("requested")).distinct().withColumn("exact", F.lit(True))
+    asked = requests.join(names, "requested", "left")
+    open_ = asked.where("exact is null and length(requested) > 0")
+    lengths = open_.agg(F.array_sort(F.collect_set(F.length("requested"))).alias("lengths"))
+    own = F.filter("lengths", lambda n: n < F.length("folder"))
     prefixes = (
-        folders.where(F.length("folder") >= MIN_SCAN_ID)
-        .select("folder", F.explode(F.sequence(F.lit(MIN_SCAN_ID), reach)).alias("n"))
-        .join(F.broadcast(lengths), "n", "left_semi")
-        .groupBy(F.left(F.col("folder"), F.col("n")).alias("requested"))
-        .agg(F.max("folder").alias("greatest"), F.bool_or(F.length("folder") == F.col("n")).alias("exact"))
+        folders.withColumn("lengths", lengths.scalar()).select("folder", F.explode(own).alias("n"))
+        .groupBy(F.left(F.col("folder"), F.col("n")).alias("requested")).agg(F.max("folder").alias("greatest"))
     )
+    found = asked.join(prefixes, "requested", "left")
     folder = F.when(F.col("exact"), F.col("requested")).otherwise(F.coalesce("greatest", F.lit(legacy)))
     how = F.when(F.col("exact"), "exact").when(F.col("greatest").isNotNull(), "prefix").otherwise("legacy")
-    return requests.join(prefixes, "requested", "left").select(
-        "requested", folder.alias("folder"), how.alias("how")
-    )
+    return found.select("requested", folder.alias("folder"), how.alias("how"))
 
 
 def _first_suffix(scan_id: Column) -> Column:

@@ -25,7 +25,7 @@ def sliced_window(
 
     ``order`` must be unique within a key and agree with ``slice_of``, a number; rows whose number falls in the
     same ``span`` share a slice. ``sums`` maps output names to summed expressions, ``previous`` maps output
-    names to columns. Rows without a key or an order number are left out. The slice ends are taken from the
+    names to columns. Rows without a key or an order number have no place: they stay, with null sums and previous values. The slice ends are taken from the
     windowed rows, and both sides of the join filter alike, so that one shuffle of a narrow input serves both.
     """
     sums, previous = sums or {}, previous or {}
@@ -51,8 +51,17 @@ def sliced_window(
         *[F.lag(column).over(across).alias(f"_up_{name}") for name, column in previous.items()],
     )
     first = F.col("_n") == 1
-    return rows.join(carried, [*keys, "_slice"]).select(
+    placed = rows.join(carried, [*keys, "_slice"]).select(
         *df.columns,
         *[(F.col(f"_in_{name}") + F.col(f"_up_{name}")).alias(name) for name in sums],
         *[F.when(first, F.col(f"_up_{name}")).otherwise(F.col(f"_lag_{name}")).alias(name) for name in previous],
     )
+    unplaced = df.where(~F.coalesce(_known(keys, slice_of), F.lit(False)))
+    return placed.unionByName(unplaced, allowMissingColumns=True)
+
+
+def _known(keys: list[str], slice_of: Column) -> Column:
+    known = slice_of.isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return known

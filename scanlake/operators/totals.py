@@ -161,6 +161,7 @@ def test_totals_report(junit: DataFrame, variant: str = "pytest") -> DataFrame:
         F.sum(passed).alias("test_passed"),
         F.sum("failures").alias("test_failed"),
         F.sum(errors).alias("test_errors"),
+        (F.sum("errors") > 0).alias("any_error"),
     )
 
 
@@ -196,15 +197,19 @@ def check_tally(counts: DataFrame) -> DataFrame:
 
 
 def report_sections(facts: DataFrame, coverage_threshold: float = 70.0) -> DataFrame:
-    """One row per scan and report section; a null counter means the scan has no such report."""
+    """One row per scan and report section; a null counter means the scan has no such report.
+
+    ``any_error`` of the facts, if there, fails the unit tests also where a counting policy leaves errors out of its sums.
+    """
     c = F.col
+    erred = F.coalesce(c("any_error"), F.lit(False)) if "any_error" in facts.columns else F.lit(False)
     skipped = F.lit("SKIPPED")
 
     def verdict(present: Column, good: Column) -> Column:
         return F.when(~present, skipped).when(good, F.lit("PASS")).otherwise(F.lit("FAIL"))
 
     statuses = {
-        "unit_tests": verdict(c("test_total").isNotNull(), (c("test_failed") == 0) & (c("test_errors") == 0)),
+        "unit_tests": verdict(c("test_total").isNotNull(), (c("test_failed") == 0) & (c("test_errors") == 0) & ~erred),
         "coverage": verdict(c("coverage_pct").isNotNull(), c("coverage_pct") >= coverage_threshold),
         "sonarqube": F.coalesce(c("quality_gate"), skipped),
         "trivy": verdict(c("critical").isNotNull(), c("critical") == 0),

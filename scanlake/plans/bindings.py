@@ -8,35 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 FILE_SPAN = 8192
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table; its schema is read from a footer once per session of use, not per query."""
-    path = f"{sf}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
-
-
-_SPLITS: dict[str, int] = {}
-
-
-def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table for heavy per-row work. With fewer splits than cores its rows are dealt out over all cores first.
-
-    A large table has more splits than cores and passes through without a shuffle.
-    """
-    df = table(spark, sf, name)
-    path, cores = f"{sf}/{name}.parquet", spark.sparkContext.defaultParallelism
-    if path not in _SPLITS:
-        _SPLITS[path] = df.rdd.getNumPartitions()
-    return df if _SPLITS[path] >= cores else df.repartition(cores)
+    """A driver table."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 # --- B1: findings from orders ------------------------------------------------------------------
@@ -236,7 +214,7 @@ builds as (
 
 def build_documents(spark: SparkSession, sf: str) -> DataFrame:
     """One CI document per event; SCAN_ID is given twice, in two actions, and the second one holds."""
-    e = event_rows(spread_table(spark, sf, "events"))
+    e = event_rows(table(spark, sf, "events"))
 
     def param(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("name"), value.alias("value"))
@@ -272,7 +250,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     """One file per document; names rotate, folders follow the language, projects the source."""
     name = f"elt(cast(doc_id % {len(FILE_NAMES)} + 1 as int), {_quoted(FILE_NAMES)})"
     folder = "case lang when 'en' then '' when 'fr' then 'backend/' when 'de' then 'web/tests/' else 'web/node_modules/lib/' end"
-    return spread_table(spark, sf, "documents").selectExpr(
+    return table(spark, sf, "documents").selectExpr(
         "source as project", f"concat({folder}, {name}) as path", f"{name} as name", "doc_id", "lang", "text as content",
         "cast(octet_length(text) as bigint) as length",
     )

@@ -122,7 +122,7 @@ def redact_env(spark, sf):
 
 @query("redact_values", "P11", "select doc_id, regexp_replace(text, '=.*', '=<REDACTED>', 'g') as content from documents where contains(text, '=')")
 def redact_values(spark, sf):
-    docs = b.spread_table(spark, sf, "documents").where(F.col("text").contains("="))
+    docs = b.table(spark, sf, "documents").where(F.col("text").contains("="))
     return docs.select("doc_id", text.redact_values("text").alias("content"))
 
 
@@ -158,7 +158,7 @@ PAGE_RULES = (
     union all select page_id, 'INFO', 'no doctype' from pages where not regexp_matches(string_split(html, chr(10))[1], '^<!DOCTYPE')""",
 )
 def apply_rules(spark, sf):
-    return rules.apply_rules(b.spread_table(spark, sf, "pages"), PAGE_RULES, "html", ("page_id",))
+    return rules.apply_rules(b.table(spark, sf, "pages"), PAGE_RULES, "html", ("page_id",))
 
 
 def kind_files(spark, sf):
@@ -176,7 +176,7 @@ def kind_files(spark, sf):
     )
     heads = {"dockerfile": dockerfile, "shell": shell, "manifest": manifest, "compose": compose}
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), h.alias("head")) for k, h in heads.items()])
-    rows = b.spread_table(spark, sf, "documents").select("doc_id", "text", F.inline(pairs))
+    rows = b.table(spark, sf, "documents").select("doc_id", "text", F.inline(pairs))
     return rows.select("doc_id", "kind", F.concat("head", "text").alias("content"))
 
 
@@ -284,7 +284,7 @@ def license_files(spark, sf):
     select license, count(*) as n from l where license <> '' group by license""",
 )
 def license_text(spark, sf):
-    rows = b.spread_table(spark, sf, "documents").select(rules.license_text("text").alias("license"))
+    rows = b.table(spark, sf, "documents").select(rules.license_text("text").alias("license"))
     return rows.where("license is not null").groupBy("license").agg(F.count("*").alias("n"))
 
 
@@ -307,11 +307,11 @@ def hardcoded_ips(spark, sf):
 @query(
     "leading_hardcoded_ips",
     "W9 T5",
-    f"with {IP_SQL} select project, path, line_no from ips qualify row_number() over (partition by project order by path, line_no) <= 2",
+    f"with {IP_SQL} select project, path, line_no from ips qualify row_number() over (partition by project order by path, line_no) <= 50",
 )
 def leading_ips(spark, sf):
     """The first hits of each project, as in a report that shows only so many."""
-    rows = ranking.first_per_key(rules.hardcoded_ips(source_files(spark, sf)), ["project"], ["path", "line_no"], 2)
+    rows = ranking.first_per_key(rules.hardcoded_ips(source_files(spark, sf)), ["project"], ["path", "line_no"], 50)
     return rows.select("project", "path", "line_no")
 
 
@@ -354,7 +354,7 @@ PHASE_SQL = f"{b.CHUNKS_SQL}, phases as (select build, \"offset\", {_phase_sql()
 
 
 def phase_chunks(spark, sf):
-    chunks = b.chunk_rows(b.spread_table(spark, sf, "conversations"))
+    chunks = b.chunk_rows(b.table(spark, sf, "conversations"))
     return chunks.select("build", "offset", rules.detect_phase("text").alias("phase"))
 
 
@@ -369,7 +369,7 @@ def detect_phase(spark, sf):
     f"select phase, count(*) as n from (select {_phase_sql()} as phase from documents) group by phase",
 )
 def detect_phase_documents(spark, sf):
-    rows = b.spread_table(spark, sf, "documents").select(rules.detect_phase("text").alias("phase"))
+    rows = b.table(spark, sf, "documents").select(rules.detect_phase("text").alias("phase"))
     return rows.groupBy("phase").agg(F.count("*").alias("n"))
 
 

@@ -262,7 +262,7 @@ for _variant, _passed, _errors in (
           cast(sum(failures) as bigint) as test_failed, cast(sum({_errors}) as bigint) as test_errors from suites group by scan_id""",
     )
     def report_tests(spark, sf, variant=_variant):
-        return totals.test_totals_report(suites(spark, sf), variant)
+        return totals.test_totals_report(suites(spark, sf), variant).drop("any_error")
 
 
 def adapter_coverage(spark, sf):

@@ -87,7 +87,8 @@ def stream_stale_agents(spark, sf):
 @query(
     "active_agents",
     "ST6",
-    f"""with {b.EVENTS_SQL}, a as (select job as pool, sum(case event_type when 'purchase' then -1 else 1 end) as active from builds group by job)
+    f"""with {b.EVENTS_SQL}, l as (select job as pool, user_id, arg_max(event_type = 'purchase', (ts, event_type = 'purchase')) as gone from builds group by job, user_id),
+    a as (select pool, count(*) filter (not gone) as active from l group by pool)
     select pool, cast(active as bigint) as active, cast(active >= 10 as varchar) as at_limit from a""",
 )
 def active_agents(spark, sf):

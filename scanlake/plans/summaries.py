@@ -177,12 +177,12 @@ def suppress(spark, sf):
     "W1",
     f"""with {b.FINDINGS_SQL}, r as (
       select scan_id, id, severity, row_number() over (partition by scan_id order by case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 when 'LOW' then 3 else 4 end, ord) as rank,
-        greatest(count(*) over (partition by scan_id) - 5, 0) as more from leveled)
-    select * from r where rank <= 5""",
+        greatest(count(*) over (partition by scan_id) - 50, 0) as more from leveled)
+    select * from r where rank <= 50""",
 )
 def top(spark, sf):
     rows = b.findings(spark, sf).withColumn("severity", normalize_severity("severity_raw"))
-    return ranking.top_findings(rows, n=5).select(
+    return ranking.top_findings(rows, n=50).select(
         "scan_id", "id", "severity", F.col("rank").cast("bigint").alias("rank"), F.col("more").cast("bigint").alias("more")
     )
 
@@ -233,10 +233,10 @@ def merge(spark, sf):
     "top_issues",
     "W2",
     f"""with {MERGED_SQL} select scan_id, row_number() over (partition by scan_id order by section, ord) as number, severity, title from issues
-    qualify row_number() over (partition by scan_id order by section, ord) <= 5""",
+    qualify row_number() over (partition by scan_id order by section, ord) <= 50""",
 )
 def top_issues(spark, sf):
-    rows = ranking.top_issues(merged(spark, sf), 5)
+    rows = ranking.top_issues(merged(spark, sf), 50)
     return rows.select("scan_id", F.col("number").cast("bigint").alias("number"), "severity", "title")
 
 
@@ -312,7 +312,7 @@ def unified_rows(spark, sf):
     )
     parts = {
         "totals": total, "tools": tools,
-        "tests": totals.test_totals_report(counting.suites(spark, sf)),
+        "tests": totals.test_totals_report(counting.suites(spark, sf)).drop("any_error"),
         "coverage": totals.coverage_overall(counting.adapter_coverage(spark, sf)),
     }
     rows = joins.scan_summary(counting.scans_with_modes(spark, sf), parts)

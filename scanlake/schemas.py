@@ -7,7 +7,7 @@ _VULN = (
     "Severity:string,Title:string,Description:string"
 )
 _MISCONF = "ID:string,Type:string,Severity:string,Title:string,Resolution:string"
-_SECRET = "RuleID:string,Category:string,Severity:string,Title:string,StartLine:int"
+_SECRET = "RuleID:string,Category:string,Severity:string,Title:string,StartLine:string"
 
 VULN_REPORT = (
     f"Results array<struct<Target:string,Vulnerabilities:array<struct<{_VULN}>>,"
@@ -36,7 +36,7 @@ QUALITY_ISSUES = (
     "issues array<struct<severity:string,type:string,message:string,component:string,rule:string>>"
 )
 SHELL_LINT = "array<struct<level:string>>"
-DOCKER_LINT = "array<struct<level:string,code:string,message:string,file:string,line:int>>"
+DOCKER_LINT = "array<struct<level:string,code:string,message:string,file:string,line:string>>"
 MATCH_REPORT = "matches array<struct<vulnerability:struct<severity:string>>>"
 PY_LINT = "results array<struct<issue_severity:string>>"
 JS_LINT = "array<struct<errorCount:int,warningCount:int>>"
@@ -44,9 +44,14 @@ ISTANBUL = "total struct<lines:struct<pct:double>>"
 GO_TEST_EVENT = "Action string, Test string"
 
 _CASE = "_classname:string,_name:string,failure:array<struct<_message:string>>"
+# A schema cannot contain itself, so suites nest to a fixed depth below the root.
+SUITE_DEPTH = 8
+_SUITE = f"struct<testcase:array<struct<{_CASE}>>>"
+for _ in range(SUITE_DEPTH - 1):
+    _SUITE = f"struct<testcase:array<struct<{_CASE}>>,testsuite:array<{_SUITE}>>"
 JUNIT = (
     "_tests string, _failures string, _errors string, _skipped string, _time string, "
-    f"testcase array<struct<{_CASE}>>, testsuite array<struct<testcase:array<struct<{_CASE}>>>>"
+    f"testcase array<struct<{_CASE}>>, testsuite array<{_SUITE}>"
 )
 COBERTURA = (
     "`_line-rate` string, `_branch-rate` string, `_lines-valid` string, `_lines-covered` string, "

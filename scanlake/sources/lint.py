@@ -42,7 +42,7 @@ def hadolint_items(df: DataFrame) -> DataFrame:
     )
     return each(df, ["scan_id", "file"], items, "i", "pos").select(
         "scan_id", "file", "pos", "i.level", "i.code", "i.message",
-        F.col("i.file").alias("dockerfile"), F.col("i.line").alias("line"),
+        F.col("i.file").alias("dockerfile"), F.col("i.line").try_cast("double").try_cast("int").alias("line"),
     )
 
 

@@ -78,7 +78,7 @@ def flatten_secrets(reports: DataFrame) -> DataFrame:
         F.lit("").alias("fixed"),
         F.coalesce(x["Title"], F.lit("")).alias("title"),
         F.coalesce("target", F.lit("")).alias("target"),
-        x["StartLine"].alias("line"),
+        x["StartLine"].try_cast("double").try_cast("int").alias("line"),
         "result_no",
         "finding_no",
     )

@@ -20,11 +20,17 @@ def _int(col: Column) -> Column:
 
 
 def read_junit(df: DataFrame) -> DataFrame:
-    """Counters of the root element per file, and ``cases``: the test cases at any suite level."""
+    """Counters of the root element per file, and ``cases``: the test cases of suites down to ``SUITE_DEPTH`` levels."""
     doc = df.withColumn("doc", _xml(schemas.JUNIT))
-    nested = F.flatten(
-        F.transform(F.coalesce("doc.testsuite", F.array()), lambda s: F.coalesce(s["testcase"], F.array()))
-    )
+
+    def inside(suites: Column, depth: int) -> Column:
+        def cases(s: Column) -> Column:
+            own = F.coalesce(s["testcase"], F.array())
+            return F.concat(own, inside(s["testsuite"], depth - 1)) if depth > 1 else own
+
+        return F.flatten(F.transform(F.coalesce(suites, F.array()), cases))
+
+    nested = inside(F.col("doc.testsuite"), schemas.SUITE_DEPTH)
     return doc.select(
         "scan_id",
         "file",
@@ -79,20 +85,20 @@ def package_rates(cobertura: DataFrame) -> DataFrame:
 
 
 def read_jacoco(df: DataFrame, mode: str = "last") -> DataFrame:
-    """LINE coverage from the counter tags, wherever they are nested and however their attributes are ordered.
+    """LINE coverage from the counter tags, wherever they are nested and however their attributes are ordered, quoted and spaced.
 
     ``first``: the first counter of the file; ``last``: the last one, which is the report total;
     ``sum``: all counters added, nested levels included.
     """
     tags = F.filter(
         F.regexp_extract_all("content", F.lit(r"<counter\s[^>]*>"), F.lit(0)),
-        lambda t: t.rlike(r'\stype="LINE"'),
+        lambda t: t.rlike(r"""\stype\s*=\s*["']LINE["']"""),
     )
     counters = F.transform(
         tags,
         lambda t: F.struct(
-            _int(F.regexp_extract(t, r'\smissed="(\d+)"', 1)).alias("missed"),
-            _int(F.regexp_extract(t, r'\scovered="(\d+)"', 1)).alias("covered"),
+            _int(F.regexp_extract(t, r"""\smissed\s*=\s*["'](\d+)["']""", 1)).alias("missed"),
+            _int(F.regexp_extract(t, r"""\scovered\s*=\s*["'](\d+)["']""", 1)).alias("covered"),
         ),
     )
     rows = df.select("scan_id", "file", counters.alias("counters"))
@@ -127,7 +133,7 @@ def read_lcov(df: DataFrame) -> DataFrame:
 def lcov_from_lines(lines: DataFrame) -> DataFrame:
     """The same from splittable line rows (scan_id, rel_path, line), for files too large for one row."""
     tag = F.substring("line", 1, 3)
-    value = F.substring(F.col("line"), 4, 20).try_cast("bigint")
+    value = F.trim(F.substring("line", 4, 2147483647)).try_cast("bigint")
     sums = lines.where(tag.isin("LF:", "LH:")).groupBy("scan_id", "rel_path").agg(
         F.sum(F.when(tag == "LF:", value)).alias("lines_found"),
         F.sum(F.when(tag == "LH:", value)).alias("lines_hit"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +70,14 @@ def run_complete(stream: DataFrame, root: str) -> DataFrame:
     )
     query.awaitTermination()
     spark = stream.sparkSession
-    if not written:
+    if written:
+        return spark.read.schema(stream.schema).parquet(f"{root}/out/batch={written[-1]}")
+    try:  # nothing new since a restart: the last result is still the one that holds
+        before = spark.read.parquet(f"{root}/out")
+    except AnalysisException:
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{root}/out/batch={written[-1]}")
+    last = before.agg(F.max("batch")).first()[0]
+    return spark.read.schema(stream.schema).parquet(f"{root}/out/batch={last}")
 
 
 def tail_log(chunks: DataFrame, root: str) -> DataFrame:
@@ -129,10 +135,13 @@ def stream_phase_log(records: DataFrame, root: str) -> DataFrame:
     return run_complete(totals, root)
 
 
-def await_terminal(builds: DataFrame, root: str, delay: str = "10 minutes") -> DataFrame:
-    """Each build once, when it is first seen finished (``building`` false)."""
-    done = builds.where(~F.col("building")).withWatermark("ts", delay)
-    return run_append(done.dropDuplicatesWithinWatermark(["job", "number"]), root)
+def await_terminal(builds: DataFrame, root: str) -> DataFrame:
+    """Each build once, when it is first seen finished (``building`` false), however long after its start that is.
+
+    The state holds one key for each finished build; nothing is dropped as late.
+    """
+    done = builds.where(~F.col("building"))
+    return run_append(done.dropDuplicates(["job", "number"]), root)
 
 
 def stale_agents(events: DataFrame, root: str, ttl_seconds: int = AGENT_TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
@@ -144,7 +153,7 @@ def stale_agents(events: DataFrame, root: str, ttl_seconds: int = AGENT_TTL_SECO
     lives = (
         events.withWatermark("ts", delay)
         .groupBy("agent", F.session_window("ts", f"{ttl_seconds} seconds").alias("life"))
-        .agg(F.max("ts").alias("last_seen"), F.max_by("action", "ts").alias("last_action"))
+        .agg(F.max("ts").alias("last_seen"), F.max_by("action", F.struct("ts", "action")).alias("last_action"))
     )
     ended = lives.where("last_action = 'create'").select("agent", "last_seen", F.col("life.end").alias("expired"))
     # Sessions are merged inside each input task first, so a busy agent does not send all its events to one task.
@@ -153,11 +162,15 @@ def stale_agents(events: DataFrame, root: str, ttl_seconds: int = AGENT_TTL_SECO
 
 
 def active_agents(events: DataFrame, root: str, limit: int) -> DataFrame:
-    """Agents alive per pool against the limit; a sum of +1 and -1, so hot pools combine map-side."""
-    change = F.when(F.col("action") == "create", 1).otherwise(-1)
-    gauge = events.groupBy("pool").agg(F.sum(change).alias("active"))
-    gauge = gauge.withColumn("at_limit", F.col("active") >= limit)
-    return run_complete(gauge, root)
+    """Agents alive per pool against the limit: those whose last event, in its pool, is a creation.
+
+    The stream keeps one row for each agent of a pool; the count over pools is a batch aggregate of its last result. At equal
+    times a destruction comes last.
+    """
+    last = F.max_by("action", F.struct("ts", "action"))
+    agents = run_complete(events.groupBy("pool", "agent").agg(last.alias("action")), root)
+    gauge = agents.groupBy("pool").agg(F.count_if(F.col("action") == "create").alias("active"))
+    return gauge.withColumn("at_limit", F.col("active") >= limit)
 
 
 def windowed_findings(findings: DataFrame, root: str, length: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:

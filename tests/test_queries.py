@@ -7,9 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check_oracle import rows_of
-from scanlake.plans.registry import COVERS
-
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+from scanlake.plans.catalogue import COVERS, ORACLES, QUERIES
 
 
 def test_every_query_has_a_check():
