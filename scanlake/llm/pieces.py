@@ -23,10 +23,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scanlake.llm.words import texts
+from scanlake.llm.words import passes, texts
 
 REMEMBERED = 150_000
 
@@ -234,8 +235,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for rows in batches:
-            ids = [model.encode(t.as_py()) for t in rows.column("text")]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for low, high in passes(rows.column("text")):  # ids of about a megabyte of text at a time
+                part = rows.slice(low, high - low)
+                ids = [np.array(model.encode(t.as_py()), np.int32) for t in part.column("text")]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
 
     return texts(docs, id_col, text_col).mapInArrow(encoded, "doc_id long, ids array<int>")
 
