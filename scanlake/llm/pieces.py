@@ -148,6 +148,9 @@ class Pieces:
             self._run(text[low:], out)
         return out
 
+    def forget(self) -> None:
+        self.known, self.older, self.tested, self.tested_before = {}, {}, {}, {}
+
     def units(self, text: str) -> list[tuple[str, int, str]]:
         """(ids as text, their number, decoded text) of each unit of a text, the first with the space that encoding adds."""
         if not text:
@@ -241,6 +244,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
+        model.forget()  # the worker goes on with other operators
 
     return texts(docs, id_col, text_col).mapInArrow(encoded, "doc_id long, ids array<int>")
 
