@@ -58,7 +58,7 @@ FALLBACK_ORDER = (
 CI_ORDER = tuple(
     (lang, (*markers, "nuxt.config.ts") if lang == "vue" else markers) for lang, markers in PYTHON_FIRST_ORDER
 )
-# name: (order, words in package.json that refine nodejs, depth of .csproj files, default)
+# Fixed values; name: (order, words in package.json that refine nodejs, depth of .csproj files, default)
 LANGUAGE_VARIANTS = {
     "module": (MODULE_ORDER, (("react", ('"react"', '"react-dom"')), ("vue", ('"vue"',))), 1, None),
     "python_first": (PYTHON_FIRST_ORDER, (("react", ('"react"',)),), 2, "nodejs"),
@@ -88,15 +88,28 @@ def _any(flag: Column) -> Column:
     return F.coalesce(F.bool_or(flag), F.lit(False))
 
 
+def with_package_words(files: DataFrame, words: dict[str, Column]) -> DataFrame:
+    """(project, path) of all files, and package.json files once more with what their text says.
+
+    Texts are read in the second branch only, behind a filter on the name. Flags are or-ed later, so a second look
+    at a file changes nothing.
+    """
+    plain = files.select("project", "path", *[F.lit(False).alias(name) for name in words])
+    named = files.where(base_name("path") == "package.json")
+    said = named.select("project", "path", *[F.coalesce(hit, F.lit(False)).alias(name) for name, hit in words.items()])
+    return plain.unionByName(said)
+
+
 def detect_adapters(files: DataFrame) -> DataFrame:
     """(project, adapter, signals): adapters whose signals fire, several per project if need be."""
     path = F.col("path")
+    rows = with_package_words(files, {"says_react": F.lower("content").contains("react")})
     root_file = {name: _any(path == name) for names in SIGNALS.values() for name in names}
-    react = _any((path == "package.json") & F.lower("content").contains("react"))
+    react = _any((path == "package.json") & F.col("says_react"))
     c_source = _any(path.rlike(r"\.(c|cpp|cc)$"))
     kotlin_source = _any(path.endswith(".kt"))
     html = _any(path.endswith(".html"))
-    flags = files.groupBy("project").agg(
+    flags = rows.groupBy("project").agg(
         F.struct(*[flag.alias(f"f{i}") for i, flag in enumerate(root_file.values())]).alias("root"),
         react.alias("react"),
         c_source.alias("c_source"),
@@ -128,19 +141,27 @@ def supported_adapters(detected: Column) -> Column:
     return F.array_intersect(F.array(*[F.lit(name) for name in ADAPTERS]), detected)
 
 
-def _language(files: DataFrame, keys: list[str], variant: str, path: str) -> DataFrame:
+def _refining_words(files: DataFrame, variant: str) -> DataFrame:
+    """All paths, and whether package files say the words that refine the variant's nodejs."""
+    says = {}
+    for lang, words in LANGUAGE_VARIANTS[variant][1]:
+        hit = F.lit(False)
+        for word in words:
+            hit = hit | F.col("content").contains(word)
+        says[f"says_{lang}"] = hit
+    return with_package_words(files, says)
+
+
+def _language(rows: DataFrame, keys: list[str], variant: str, path: str) -> DataFrame:
     """One language per group from the marker files that lie directly in it; ``path`` is relative to the group."""
     order, refinements, csproj_depth, default = LANGUAGE_VARIANTS[variant]
     name, keep = base_name(path), ~F.col(path).contains("/")
     near = F.size(F.split(path, "/")) <= csproj_depth
     flags = {lang: _any(keep & name.isin(*markers)) for lang, markers in order}
-    for lang, words in refinements:
-        has = F.lit(False)
-        for word in words:
-            has = has | F.col("content").contains(word)
-        flags[f"as_{lang}"] = _any(keep & (name == "package.json") & has)
+    for lang, _words in refinements:
+        flags[f"as_{lang}"] = _any(keep & (name == "package.json") & F.col(f"says_{lang}"))
     flags["dotnet"] = _any(near & name.endswith(".csproj"))
-    grouped = files.groupBy(*keys).agg(*[flag.alias(f"_{label}") for label, flag in flags.items()])
+    grouped = rows.groupBy(*keys).agg(*[flag.alias(f"_{label}") for label, flag in flags.items()])
     expr = None
     for lang, _ in order:
         result = F.lit(lang)
@@ -158,7 +179,7 @@ def _language(files: DataFrame, keys: list[str], variant: str, path: str) -> Dat
 
 def detect_language(files: DataFrame, variant: str = "module") -> DataFrame:
     """(project, language) from the files in the project root."""
-    return _language(files, ["project"], variant, "path")
+    return _language(_refining_words(files, variant), ["project"], variant, "path")
 
 
 def with_modules(files: DataFrame) -> DataFrame:
@@ -177,7 +198,7 @@ def with_modules(files: DataFrame) -> DataFrame:
 
 def discover_modules(files: DataFrame) -> DataFrame:
     """(project, module, language) for the root and each top directory that shows a language."""
-    found = _language(with_modules(files), ["project", "module"], "module", "inner")
+    found = _language(with_modules(_refining_words(files, "module")), ["project", "module"], "module", "inner")
     return found.where(F.col("language").isNotNull())
 
 

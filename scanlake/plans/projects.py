@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scanlake.operators import inventory, ranking
 from scanlake.plans import bindings as b
 from scanlake.plans.registry import query
+from scanlake.session import staged
 
 MODULES_SQL = f"""{b.FILES_SQL},
 homes as (
@@ -83,8 +84,9 @@ def modules(spark, sf):
 
 
 def modules_of(spark, sf):
+    """Files without texts, and the modules, found once however often a query looks at them."""
     table = files(spark, sf)
-    return table.drop("content"), inventory.discover_modules(table)
+    return table.drop("content"), staged(inventory.discover_modules(table), "modules")
 
 
 VISIBLE_SQL = f"""{FILES_SQL}, visible as (

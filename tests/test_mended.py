@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from scanlake import schemas, streaming
-from scanlake.operators import joins, skew, totals
+from scanlake.operators import inventory, joins, skew, totals
 from scanlake.sources import scanners
 from scanlake.sources import tests_coverage as tc
 from scanlake.sources.artifacts import parse_json
@@ -73,3 +73,18 @@ def test_a_build_that_ends_late_is_seen(spark, tmp_path):
         spark.createDataFrame([("j", k % 2, ts, building, "OK")], "job string, number long, ts string, building boolean, result string").withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     assert [r["number"] for r in streaming.await_terminal(stream, str(tmp_path / "out")).collect()] == [0]
+
+
+def test_modules_are_found_without_the_texts_of_other_files(spark, tmp_path):
+    rows = [("p", "web/package.json", '{"vue": 1}'), ("p", "web/a.py", "x"), ("p", "package.json", '{"react": 1}'), ("q", "go.mod", None), ("q", "lib/package.json", None)]
+    spark.createDataFrame(rows, "project string, path string, content string").write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    got = {(r["project"], r["module"]): r["language"] for r in inventory.discover_modules(files).collect()}
+    assert got == {("p", "root"): "react", ("p", "web"): "vue", ("q", "root"): "go", ("q", "lib"): "nodejs"}
+    adapters = {(r["project"], r["adapter"]): r["signals"] for r in inventory.detect_adapters(files).collect()}
+    assert adapters == {("p", "node-react"): ["package.json", "react-dependency"]}
+    for found in (inventory.discover_modules(files), inventory.detect_adapters(files), inventory.detect_language(files, "ci")):
+        plan = found._jdf.queryExecution().explainString(found.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        reads = ["content" in line for line in plan.splitlines() if line.startswith("ReadSchema")]
+        assert sorted(reads) == [False, True], plan
+        assert "package.json" in plan[plan.index("Filter"):]
