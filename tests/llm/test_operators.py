@@ -169,6 +169,24 @@ def test_near_duplicates(spark, odd):
     assert one.columns == odd.columns and sorted(x["doc_id"] or -1 for x in one.collect()) == [-1, 1, 4, 6, 7, 8, 9]
 
 
+def test_exact_join_loses_no_pair(spark):
+    """All texts stand alone, so every pair that reaches the threshold has to come out of the prefix join."""
+    r = random.Random(9)
+    base = [[f"w{r.randrange(900)}" for _ in range(n)] for n in (6, 40, 150, 400)]
+    rows = []
+    for own in base:
+        for edits in (0, 1, 1, 2, 3, 5, 8):
+            copy = list(own)
+            for k in r.sample(range(len(own)), min(edits, len(own))):
+                copy[k] = f"e{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(zip(*[w.split()[k:] for k in range(5)])) for _, w in rows]
+    want = {(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = {tuple(x) for x in probminhash.sharing_prefix(docs.selectExpr("doc_id", "doc_id as label"), docs, 0.8).collect()}
+    assert len(want) > 10 and want <= got
+
+
 def test_probability_jaccard():
     r = np.random.default_rng(1)
     for _ in range(200):
