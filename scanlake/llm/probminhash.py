@@ -16,9 +16,11 @@ the text's latest register (early termination): beyond one arrival per shingle a
 4. Components of verified pairs. The members of large buckets that still hold several components are joined exactly. J is at
    most the share of either text's weight that the two have in common, so with J >= threshold any shingles that make up more
    than 1 - threshold of a text hold a common one. Each text is looked up by such a prefix of its rarest shingles; pairs of
-   different components that share one go to step 3, unless no shingle of either repeats and what follows the shared one, or
-   what their shingles can have in common by counts over ``CELLS`` cells, is too little for the Jaccard similarity. What is connected, most of a group of copies, is not paired again, and
-   a text whose own rare shingles outweigh the prefix meets nobody.
+   different components that share one go to step 3, unless no shingle of either repeats and what follows the shared one is
+   too little for the Jaccard similarity, or their odd sketches differ in too many bits. An odd sketch holds the parity of the
+   number of shingles in each of 64 x ``PARITIES`` cells; two of them never differ in more bits than the texts do in shingles.
+   What is connected, most of a group of copies, is not paired again, and a text whose own rare shingles outweigh the prefix
+   meets nobody.
 
 Rows: texts without words are nodes by their exact text; texts of fewer than five words have one shingle of all words.
 A null text is empty. Rows that share a doc_id count as one document. Rows without doc_id get a null class. Ties go to the
@@ -43,8 +45,8 @@ BANDS = SIZE // ROWS
 SLACK = 0.12
 #: Mean number of members of a circle; buckets of so many or fewer are one circle.
 CIRCLE = 3
-#: Cells of shingles whose counts bound what two texts have in common: at most the sum of the smaller counts.
-CELLS = 64
+#: Words of 64 bits of an odd sketch.
+PARITIES = 16
 #: Numbers that ids are reduced to for dropping texts before the shuffle: a broadcast of at most so many whole numbers.
 REDUCED = 1 << 20
 
@@ -169,15 +171,19 @@ def sharing_prefix(labelled: DataFrame, docs: DataFrame, threshold: float) -> Da
     ranked = held.join(held.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
     before = F.sum("share").over(Window.partitionBy("doc_id").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1))
     prefix = ranked.withColumn("before", F.coalesce(before, F.lit(0.0))).where((F.col("before") <= 1 - threshold + 1e-9) & (F.col("n") > 1))
-    cells = held.groupBy("doc_id").agg(F.array(*[F.expr(f"cast(count_if(pmod(shingle, {CELLS}) = {k}) as int)") for k in range(CELLS)]).alias("cells"))
-    prefix = prefix.join(labelled, "doc_id").join(cells, "doc_id")
-    prefix = staged(prefix.selectExpr("doc_id as id", "shingle", "label", "total", "total * (1 - before) as left", "plain", "cells"), "prefixes")
+    cell = f"pmod(shingle, {64 * PARITIES})"
+    parity = [f"bit_xor(if({cell} div 64 = {k}, shiftleft(1L, cast({cell} % 64 as int)), 0L))" for k in range(PARITIES)]
+    odd = held.where("plain").groupBy("doc_id").agg(F.expr(f"array({', '.join(parity)})").alias("odd"))
+    prefix = prefix.join(labelled, "doc_id").join(odd, "doc_id", "left")
+    prefix = staged(prefix.selectExpr("doc_id as id", "shingle", "label", "total", "total * (1 - before) as left", "plain", "odd"), "prefixes")
     one, two = (prefix.select([F.col(c).alias(f"{side}_{c}") for c in prefix.columns]) for side in "ab")
     # common shingles of two sets are at least t / (1 + t) of both together, and none comes before the first shared one
-    needed = f"{threshold / (1 + threshold)} * (a_total + b_total) - 1e-6"
-    common = "aggregate(zip_with(a_cells, b_cells, (x, y) -> least(x, y)), 0, (n, x) -> n + x)"
-    enough = f"(not a_plain or not b_plain or (least(a_left, b_left) >= {needed} and {common} >= {needed}))"
-    return one.join(two, F.expr(f"a_shingle = b_shingle and a_id < b_id and a_label <> b_label and {enough}")).selectExpr("a_id as a", "b_id as b").distinct()
+    enough = f"least(a_left, b_left) >= {threshold / (1 + threshold)} * (a_total + b_total) - 1e-6"
+    # the rest of both together, at most (1 - t) / (1 + t), is where they differ
+    differ = " + ".join(f"bit_count(a_odd[{k}] ^ b_odd[{k}])" for k in range(PARITIES))
+    close = f"{differ} <= {(1 - threshold) / (1 + threshold)} * (a_total + b_total) + 1e-6"
+    able = f"(not a_plain or not b_plain or ({enough} and {close}))"
+    return one.join(two, F.expr(f"a_shingle = b_shingle and a_id < b_id and a_label <> b_label and {able}")).selectExpr("a_id as a", "b_id as b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
