@@ -16,9 +16,11 @@ the text's latest register (early termination): beyond one arrival per shingle a
 4. Components of verified pairs. The members of large buckets that still hold several components are joined exactly. J is at
    most the share of either text's weight that the two have in common, so with J >= threshold any shingles that make up more
    than 1 - threshold of a text hold a common one. Each text is looked up by such a prefix of its rarest shingles; pairs of
-   different components that share one go to step 3, unless no shingle of either repeats and what follows the shared one is
-   too little for the Jaccard similarity, or their odd sketches differ in too many bits. An odd sketch holds the parity of the
-   number of shingles in each of 64 x ``PARITIES`` cells; two of them never differ in more bits than the texts do in shingles.
+   different components that share one go to step 3, unless too many shingles are in one of them only. Each term of J is at
+   most max(a(d), b(d)) / M, M the sum of all such maxima, so J <= 1 - U / M with U the weight in one text only; and as the
+   share in common is at least J, M <= |a| + |b| - threshold * min(|a|, |b|) where J >= threshold. U is at least the number of
+   bits in which the odd sketches of both differ: the parities of the number of distinct shingles in 64 x ``PARITIES`` cells.
+   Where no shingle of either repeats, the bounds of the Jaccard similarity and what follows the shared shingle count too.
    What is connected, most of a group of copies, is not paired again, and a text whose own rare shingles outweigh the prefix
    meets nobody.
 
@@ -173,16 +175,16 @@ def sharing_prefix(labelled: DataFrame, docs: DataFrame, threshold: float) -> Da
     prefix = ranked.withColumn("before", F.coalesce(before, F.lit(0.0))).where((F.col("before") <= 1 - threshold + 1e-9) & (F.col("n") > 1))
     cell = f"pmod(shingle, {64 * PARITIES})"
     parity = [f"bit_xor(if({cell} div 64 = {k}, shiftleft(1L, cast({cell} % 64 as int)), 0L))" for k in range(PARITIES)]
-    odd = held.where("plain").groupBy("doc_id").agg(F.expr(f"array({', '.join(parity)})").alias("odd"))
-    prefix = prefix.join(labelled, "doc_id").join(odd, "doc_id", "left")
+    odd = held.groupBy("doc_id").agg(F.expr(f"array({', '.join(parity)})").alias("odd"))
+    prefix = prefix.join(labelled, "doc_id").join(odd, "doc_id")
     prefix = staged(prefix.selectExpr("doc_id as id", "shingle", "label", "total", "total * (1 - before) as left", "plain", "odd"), "prefixes")
     one, two = (prefix.select([F.col(c).alias(f"{side}_{c}") for c in prefix.columns]) for side in "ab")
     # common shingles of two sets are at least t / (1 + t) of both together, and none comes before the first shared one
     enough = f"least(a_left, b_left) >= {threshold / (1 + threshold)} * (a_total + b_total) - 1e-6"
-    # the rest of both together, at most (1 - t) / (1 + t), is where they differ
     differ = " + ".join(f"bit_count(a_odd[{k}] ^ b_odd[{k}])" for k in range(PARITIES))
-    close = f"{differ} <= {(1 - threshold) / (1 + threshold)} * (a_total + b_total) + 1e-6"
-    able = f"(not a_plain or not b_plain or ({enough} and {close}))"
+    sets = f"{enough} and {differ} <= {(1 - threshold) / (1 + threshold)} * (a_total + b_total) + 1e-6"
+    weighted = f"{differ} <= {1 - threshold} * (a_total + b_total - {threshold} * least(a_total, b_total)) + 1e-6"
+    able = f"if(a_plain and b_plain, {sets}, {weighted})"
     return one.join(two, F.expr(f"a_shingle = b_shingle and a_id < b_id and a_label <> b_label and {able}")).selectExpr("a_id as a", "b_id as b").distinct()
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,25 @@ def test_exact_join_loses_no_pair(spark):
     assert len(want) > 10 and want <= got
 
 
+def test_exact_join_loses_no_pair_of_texts_with_repeats(spark):
+    r = random.Random(4)
+    rows = []
+    for n in (30, 120, 300):
+        own, line = [f"w{r.randrange(900)}" for _ in range(n)], [f"r{k}" for k in range(9)]
+        for edits in (0, 1, 2, 3, 4, 6, 9):
+            copy = list(own)
+            for k in r.sample(range(n), edits):
+                copy[k] = f"e{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy + line * r.randrange(1, 5))))
+        rows.append((len(rows), " ".join(own + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    doc, value, weight = probminhash.elements(*probminhash.shingles(probminhash.words(pa.array([w for _, w in rows])), 5))
+    held = [(value[doc == i], weight[doc == i]) for i in range(len(rows))]
+    want = {(a, b) for b in range(len(rows)) for a in range(b) if probminhash.probability_jaccard(held[a], held[b]) >= 0.8}
+    got = {tuple(x) for x in probminhash.sharing_prefix(docs.selectExpr("doc_id", "doc_id as label"), docs, 0.8).collect()}
+    assert len(want) > 10 and want <= got
+
+
 def test_probability_jaccard():
     r = np.random.default_rng(1)
     for _ in range(200):
