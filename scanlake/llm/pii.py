@@ -6,8 +6,10 @@ five characters or more that holds a digit. They form a bipartite graph of patte
 
 Spark scores the graph by turns. A pattern's confidence is the mean score of its distinct instances, shrunk by
 ``PRIOR`` instances of score 0, so a rare pattern is not trusted; it counts only with ``SUPPORT`` distinct seeds or found
-instances or more. An instance's score is 1 for a seed, and otherwise one minus the product of (1 - confidence) over its
-patterns. After ``TURNS`` turns, slots of instances that reach ``ACCEPT`` become spans of kind ``id``.
+instances or more, so a pattern of found instances only takes part from the turn on in which enough of them are accepted.
+An instance's score is 1 for a seed, and otherwise one minus the product of (1 - confidence) over its patterns. Scores only
+rise from turn to turn. The turns end when no instance is accepted any more and no score rises by more than ``STILL``; slots of
+instances that reach ``ACCEPT`` become spans of kind ``id``.
 
 The texts are read once. What is stored is one row of slots per document that has any; every step of the graph is an aggregate
 or an equi-join on hashes, folded before it is shuffled, so a pattern that a third of the corpus shares is one row per task.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from scanlake.llm.words import batch, staged, texts
 
 KINDS = ("email", "ip", "card", "phone", "id")
-TURNS, SUPPORT, PRIOR, ACCEPT = 3, 5, 3.0, 0.5
+SUPPORT, PRIOR, ACCEPT, STILL = 5, 3.0, 0.5, 1e-3
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -154,27 +156,30 @@ def graph(found: DataFrame) -> DataFrame:
     edges = slot.select(
         F.explode("slot.patterns").alias("words"), F.xxhash64("slot.kind", F.lower("slot.text")).alias("instance"), (F.col("slot.kind") < 4).alias("seed"),
     ).select(F.xxhash64("words").alias("pattern"), "instance", "seed").distinct()
-    enough = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.max("seed").alias("seeded")).where((F.col("n") >= SUPPORT) & F.col("seeded"))
+    enough = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
     return staged(edges.join(enough.select("pattern"), "pattern", "left_semi"), "pattern-graph")
 
 
-def bootstrap(edges: DataFrame, turns: int = TURNS) -> tuple[DataFrame, DataFrame]:
-    """(pattern, confidence, support) and (instance, score) after the turns."""
-    scores = edges.select("instance", F.col("seed").cast("double").alias("score")).distinct()
-    confidence = None
-    for _ in range(turns):
+def bootstrap(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern, confidence, support) and (instance, score) after the last turn."""
+    scores = edges.select("instance", "seed", F.col("seed").cast("double").alias("score")).distinct()
+    while True:
         confidence = (
-            edges.join(scores, "instance").groupBy("pattern")
+            edges.join(scores.select("instance", "score"), "instance").groupBy("pattern")
             .agg((F.sum("score") / (F.count("*") + PRIOR)).alias("confidence"), F.sum((F.col("score") >= ACCEPT).cast("long")).alias("support"))
             .where(F.col("support") >= SUPPORT)
         )
-        scores = staged(
-            edges.join(confidence, "pattern", "left").groupBy("instance")
-            .agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.coalesce("confidence", F.lit(0.0)))).alias("doubt"))
-            .selectExpr("instance", "if(seed, 1D, 1 - exp(doubt)) as score"),
+        doubt = edges.join(confidence, "pattern").groupBy("instance").agg(F.sum(F.log1p(-F.col("confidence"))).alias("doubt"))
+        # the score of the turn before stays beside the new one until it is known what changed
+        turn = staged(
+            scores.withColumnRenamed("score", "old").join(doubt, "instance", "left")
+            .selectExpr("instance", "seed", "old", "if(seed, 1D, 1 - exp(coalesce(doubt, 0D))) as score"),
             "instances",
         )
-    return confidence, scores
+        scores = turn.select("instance", "seed", "score")
+        grown, rise = turn.agg(F.count_if((F.col("score") >= ACCEPT) & (F.col("old") < ACCEPT)), F.max(F.col("score") - F.col("old"))).first()
+        if not grown and (rise or 0.0) <= STILL:
+            return confidence, scores.select("instance", "score")
 
 
 def discovered(found: DataFrame, scores: DataFrame) -> DataFrame:

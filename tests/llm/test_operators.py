@@ -98,6 +98,18 @@ def test_personal_data(spark, odd, sf):
     assert by_id(clean, "text")[50] == "please write to [ID] for help now" and clean.columns == ["doc_id", "text"]
 
 
+def test_identifiers_found_by_contexts_of_found_ones(spark):
+    """QX-10 stands in no context of a seed, ZT-7 only in one of identifiers that are found like QX-10."""
+    texts = [f"please write to u{k}@mail.example.org for help now" for k in range(12)]
+    texts += [f"please write to QX-{k}00 for help now" for k in range(1, 10)] + [f"that the badge QX-{k}00 expired last week" for k in range(1, 10)]
+    second = [f"QY-{k}00" for k in range(1, 7)]
+    texts += [f"that the badge {x} expired last week" for x in second] + [f"our door {x} stays shut" for x in second]
+    texts += ["that the badge QX-1000 expired last week", "our door ZT-700 stays shut", "we sold 12345 of them"]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    ids = {texts[r["doc_id"]][s["start"] : s["end"]] for r in found.collect() for s in r["spans"] if s["kind"] == 4}
+    assert ids == {f"QX-{k}00" for k in range(1, 11)} | set(second) | {"ZT-700"}
+
+
 def test_merkle_trees(spark, odd, sf):
     docs = read(spark, sf, "documents")
     text = dict(docs.select("doc_id", "text").collect())
