@@ -3,8 +3,10 @@
 The automaton holds all token runs of all templates. A file is streamed through it: at each token it gives the length of
 the longest run that ends there and occurs in some template (matching statistics), and the state names the templates and
 places where. Runs that cannot be extended and are ``MIN_RUN`` tokens or longer are chained per template, in order of
-place, into spans that cover it; small gaps are allowed, so edits and names in between do not break a span. A phrase is
-found where the longest run's suffix is the whole phrase, read from the suffix links.
+place, into spans that cover it; small gaps are allowed, so edits and names in between do not break a span. Half a body names
+its licence, half a notice does not: a template of up to ``SHORT`` tokens needs one run with the words of ``NAMED`` and no
+word of another licence right behind them, or, where none are listed, near-full coverage. A phrase is found where the
+longest run's suffix is the whole phrase, read from the suffix links.
 
 Only places where two neighbouring tokens are neighbours in some template are streamed; elsewhere every run is shorter than
 two tokens. Those places come from the numpy table of word hashes; texts are read whole.
@@ -16,7 +18,7 @@ it lies. Extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from scanlake.llm.words import passes, texts, words
 
 MIN_RUN, MAX_GAP, MIN_COVER = 3, 12, 0.5
+SHORT, SHORT_COVER = 20, 0.9
 
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -64,6 +67,16 @@ TEMPLATES = {
         purpose, commercial or non-commercial, and by any means.""",
 }
 
+_OTHER_CC = {"nc", "nd", "sa", "non", "no", "share", "noncommercial", "noderivatives", "noderivs", "sharealike"}
+#: Words that name the licence of a short template, and words that make it another one as the first or second behind.
+NAMED = {
+    "mit-notice": ("mit license", set()),
+    "apache-2.0-notice": ("apache license", {"1"}),
+    "gpl-notice": ("gnu general public license", set()),
+    "cc-by-nc": ("cc by nc", _OTHER_CC),
+    "cc-by-notice": ("creative commons attribution", _OTHER_CC),
+}
+
 SCHEMA = (
     "doc_id long, n_words long, phrases array<struct<label: string, first: long>>, "
     "spans array<struct<label: string, first: long, last: long, matched: long, coverage: double>>"
@@ -139,6 +152,14 @@ class Scanner:
         names = sorted({w for r in runs for w in r})
         number = {w: n for n, w in enumerate(names)}
         self.size = [len(r) for r in runs]
+        #: (first, last place of the naming words, words of other licences) of short templates that have them
+        self.named: dict[int, tuple[int, int, set[str]]] = {}
+        for n, label in self.label.items():
+            name, others = NAMED.get(label, ("", set()))
+            own = tokens(name)
+            at = next((k for k in range(self.size[n]) if own and runs[n][k : k + len(own)] == own), None)
+            if self.size[n] <= SHORT and at is not None:
+                self.named[n] = at, at + len(own) - 1, others
         coded = [[number[w] for w in r] for r in runs]
         self.pairs = np.unique([a * len(names) + b for r in coded for a, b in zip(r, r[1:])])
         hashes = words(pa.array([" ".join(names)])).hash
@@ -176,7 +197,17 @@ class Scanner:
             if length > 1:
                 phrases.extend((n, first + k + 1 - self.phrase[n][1]) for n in self._ended(state, length))
 
-    def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, float]]:
+    def _names(self, template: int, first: int, length: int, end: int, word: Callable[[int], str]) -> bool:
+        """Whether the run that ends at place ``end`` holds the naming words, and none of another licence follows."""
+        if template not in self.named:
+            return False
+        low, high, others = self.named[template]
+        if not end - length + 1 <= low <= high <= end:
+            return False
+        last = first + length - 1 - (end - high)
+        return not others or not {word(last + 1), word(last + 2)} & others
+
+    def chain(self, matches: list[tuple[int, int, int]], word: Callable[[int], str]) -> list[tuple[str, int, int, int, float]]:
         """Spans (label, first, last, matched, coverage) of each template: runs in order in the file and in the template.
 
         For each template a run joins the open chain if it comes later in both and at most MAX_GAP (file) later; else a new
@@ -198,13 +229,15 @@ class Scanner:
                     end = min((p for p in places if p - fresh >= chain[3]), default=None)
                     if fresh > 0 and end is not None:
                         chain[1], chain[2], chain[3] = first + length - 1, chain[2] + fresh, end
+                        chain[4] = chain[4] or self._names(template, first, length, end, word)
                         grown = True
                         break
                 if not grown:
-                    open_.append([first, first + length - 1, length, min(places)])
+                    open_.append([first, first + length - 1, length, min(places), self._names(template, first, length, min(places), word)])
             kept: list[tuple[int, int, int]] = []
-            for low, high, matched, _ in sorted(open_, key=lambda c: (-c[2], c[0])):
-                if matched >= MIN_COVER * size and all(high < a or low > b for a, b, _ in kept):
+            least = SHORT_COVER if size <= SHORT and template not in self.named else MIN_COVER
+            for low, high, matched, _, names in sorted(open_, key=lambda c: (-c[2], c[0])):
+                if matched >= least * size and (names or template not in self.named) and all(high < a or low > b for a, b, _ in kept):
                     kept.append((low, high, matched))
             spans += [(label, low, high, matched, min(1.0, matched / size)) for low, high, matched in kept]
         return sorted(spans, key=lambda s: (s[1], s[2], s[0]))
@@ -230,7 +263,8 @@ class Scanner:
                 own = [bytes(found.data[found.start[k] : found.end[k]]).lower().decode() for k in range(a, b)]
                 run = [int(t) if self.names[t] == w else -2 for t, w in zip(token[a:b], own)]
                 self.stream(run, a - int(found.first[doc]), phrases, matches)
-            yield int(n), [(self.phrase[p][0], first) for p, first in sorted(phrases, key=lambda x: (x[1], x[0]))], self.chain(matches) if matches else []
+            word = lambda k, low=int(found.first[doc]), n=int(n): bytes(found.data[found.start[low + k] : found.end[low + k]]).lower().decode() if k < n else ""
+            yield int(n), [(self.phrase[p][0], first) for p, first in sorted(phrases, key=lambda x: (x[1], x[0]))], self.chain(matches, word) if matches else []
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

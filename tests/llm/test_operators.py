@@ -50,6 +50,28 @@ def test_words_and_licences(spark, odd, sf):
     assert [s["label"] for s in span] == ["mit"] and span[0]["coverage"] > 0.95
 
 
+def test_short_notices_need_their_own_words(spark):
+    cases = {
+        "the album was released under the name of a friend": [],
+        "this work is licensed under the MIT License": ["mit-notice"],
+        "licensed under CC BY 4.0": [],
+        "licensed under CC BY-NC 4.0": ["cc-by-nc"],
+        "licensed under CC BY-NC 3.0": ["cc-by-nc"],
+        "licensed under CC BY-NC-SA 4.0": [],
+        "this work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": [],
+        "this work is licensed under a Creative Commons Attribution 4.0 International License": ["cc-by-notice"],
+        "this work is licensed under the GNU Lesser General Public License, version 3": [],
+        "the library is licensed under the GNU General Public License": ["gpl-notice"],
+        "licensed under the Apache License, Version 1.1": [],
+        "licensed under the Apache License 2.0": ["apache-2.0-notice"],
+        "released under the MIT License": ["mit-notice"],
+    }
+    found = licences.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"))
+    assert by_id(found.selectExpr("doc_id", "spans.label as labels"), "labels") == dict(enumerate(cases.values()))
+    own = licences.scan(spark.createDataFrame([(1, "sold as seen in the shop"), (2, "sold as seen without any warranty")], "doc_id long, text string"), {"own": "sold as seen without any warranty"})
+    assert by_id(own.selectExpr("doc_id", "spans.label as labels"), "labels") == {1: [], 2: ["own"]}
+
+
 def test_encoding_is_that_of_the_library(spark, odd, sf):
     import sentencepiece
 
