@@ -12,7 +12,8 @@ the text's latest register (early termination): beyond one arrival per shingle a
 1. Texts with the same words are one node, so copies are never paired.
 2. ``BANDS`` bands of four registers make buckets. A bucket is dealt out to small circles by the hash of id and bucket; the
    pairs within a circle are candidates. A small bucket is one circle, and a member of large buckets meets others in each band.
-3. Candidate pairs whose estimate is at least ``threshold - SLACK`` are verified exactly on their texts.
+3. Candidate pairs that the bounds of step 4 do not rule out are verified exactly on their texts. Of pairs that met in larger
+   buckets only, those whose estimate is below ``threshold - SLACK`` are left to step 4.
 4. Components of verified pairs. The members of large buckets that still hold several components are joined exactly. J is at
    most the share of either text's weight that the two have in common, so with J >= threshold any shingles that make up more
    than 1 - threshold of a text hold a common one. Each text is looked up by such a prefix of its rarest shingles; pairs of
@@ -53,7 +54,7 @@ PARITIES = 16
 REDUCED = 1 << 20
 
 _STEP = np.uint64(0xA0761D6478BD642F)
-_SKETCH = "doc_id long, k1 long, k2 long, n_words long, signature array<int>"
+_SKETCH = "doc_id long, k1 long, k2 long, n_words long, signature array<int>, total long, plain boolean, odd array<long>"
 
 
 def elements(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,6 +85,22 @@ def signatures(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, texts_: i
     return (kept & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).reshape(texts_, size)
 
 
+def odd_sketches(doc: np.ndarray, value: np.ndarray, texts_: int) -> np.ndarray:
+    """(texts, PARITIES) words of 64 bits: whether the number of distinct shingles in a cell (the hash's low bits) is odd."""
+    cell = value & np.uint64(64 * PARITIES - 1)
+    bits = np.zeros(texts_ * PARITIES, np.uint64)
+    np.bitwise_xor.at(bits, doc * PARITIES + (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+    return bits.view(np.int64).reshape(texts_, PARITIES)
+
+
+def possible(threshold: float, sets: str = "true") -> str:
+    """SQL: the odd sketches do not rule out that a and b reach the threshold; ``sets`` is asked too where no shingle repeats."""
+    differ = " + ".join(f"bit_count(a_odd[{k}] ^ b_odd[{k}])" for k in range(PARITIES))
+    sets = f"{sets} and {differ} <= {(1 - threshold) / (1 + threshold)} * (a_total + b_total) + 1e-6"
+    weighted = f"{differ} <= {1 - threshold} * (a_total + b_total - {threshold} * least(a_total, b_total)) + 1e-6"
+    return f"if(a_plain and b_plain, {sets}, {weighted})"
+
+
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Exact J of two (sorted shingles, weights)."""
     (va, wa), (vb, wb) = a, b
@@ -105,13 +122,16 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("signature", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("signature", pa.list_(pa.int32())), ("total", pa.int64()), ("plain", pa.bool_()), ("odd", pa.list_(pa.int64()))])
     for rows in batches:
         for low, high in passes(rows.column("text")):
             part = rows.slice(low, high - low)
             found = words(part.column("text"))
             n = np.diff(found.first)
-            registers = signatures(*elements(*shingles(found, SHINGLE)), high - low)
+            doc, value, weight = elements(*shingles(found, SHINGLE))
+            registers, odd = signatures(doc, value, weight, high - low), odd_sketches(doc, value, high - low)
+            whole = np.bincount(doc, weights=weight, minlength=high - low).astype(np.int64)
+            plain = whole == np.bincount(doc, minlength=high - low)
             # two sums over (word, place) name the sequence of words; texts without words are named by their own hash
             place = np.arange(len(found.doc), dtype=np.uint64) - found.first[found.doc].astype(np.uint64)
             keys = []
@@ -119,7 +139,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 value = mix(mix(place + np.uint64(salt)) ^ (found.hash + np.uint64(salt)))
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
                 keys.append(np.where(n > 0, (total[found.first[1:]] - total[found.first[:-1]]).view(np.int64), np.asarray(part.column("plain")) ^ (salt & 0xFFFF)))
-            yield batch({"doc_id": part.column("doc_id"), "k1": keys[0], "k2": keys[1], "n_words": n, "signature": pa.FixedSizeListArray.from_arrays(pa.array(registers.ravel()), SIZE).cast(pa.list_(pa.int32()))}, schema)
+            yield batch({"doc_id": part.column("doc_id"), "k1": keys[0], "k2": keys[1], "n_words": n, "signature": pa.FixedSizeListArray.from_arrays(pa.array(registers.ravel()), SIZE).cast(pa.list_(pa.int32())), "total": whole, "plain": plain, "odd": pa.FixedSizeListArray.from_arrays(pa.array(odd.ravel()), PARITIES).cast(pa.list_(pa.int64()))}, schema)
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,10 +201,7 @@ def sharing_prefix(labelled: DataFrame, docs: DataFrame, threshold: float) -> Da
     one, two = (prefix.select([F.col(c).alias(f"{side}_{c}") for c in prefix.columns]) for side in "ab")
     # common shingles of two sets are at least t / (1 + t) of both together, and none comes before the first shared one
     enough = f"least(a_left, b_left) >= {threshold / (1 + threshold)} * (a_total + b_total) - 1e-6"
-    differ = " + ".join(f"bit_count(a_odd[{k}] ^ b_odd[{k}])" for k in range(PARITIES))
-    sets = f"{enough} and {differ} <= {(1 - threshold) / (1 + threshold)} * (a_total + b_total) + 1e-6"
-    weighted = f"{differ} <= {1 - threshold} * (a_total + b_total - {threshold} * least(a_total, b_total)) + 1e-6"
-    able = f"if(a_plain and b_plain, {sets}, {weighted})"
+    able = possible(threshold, enough)
     return one.join(two, F.expr(f"a_shingle = b_shingle and a_id < b_id and a_label <> b_label and {able}")).selectExpr("a_id as a", "b_id as b").distinct()
 
 
@@ -219,7 +236,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     drawn = staged(sketch(rows), "sketch")
     groups = drawn.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     groups = staged(groups, "groups")
-    nodes = drawn.where("n_words > 0").join(groups, ["k1", "k2"]).where("doc_id = node").selectExpr("node as id", "signature").dropDuplicates(["id"])
+    nodes = drawn.where("n_words > 0").join(groups, ["k1", "k2"]).where("doc_id = node").selectExpr("node as id", "signature", "total", "plain", "odd").dropDuplicates(["id"])
     nodes = staged(nodes, "nodes")
     bands = [f"xxhash64({band}, {', '.join(f'signature[{band * ROWS + i}]' for i in range(ROWS))})" for band in range(BANDS)]
     buckets = nodes.selectExpr("id", f"posexplode(array({', '.join(bands)})) as (band, bucket)")
@@ -227,15 +244,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     crowded = staged(buckets.join(crowds, "bucket"), "buckets")
 
     # seven bits of each register are enough for the estimate
-    short = nodes.selectExpr("id", "transform(signature, x -> cast(x & 127 as tinyint)) as s")
-    alike = f"aggregate(zip_with(sa, sb, (x, y) -> if(x = y, 1, 0)), 0, (n, x) -> n + x) >= {(threshold - SLACK) * SIZE}"
+    short = nodes.selectExpr("id", "transform(signature, x -> cast(x & 127 as tinyint)) as s", "total", "plain", "odd")
+    one, two = (short.select([F.col(c).alias(side if c == "id" else f"{side}_{c}") for c in short.columns]) for side in "ab")
+    alike = f"aggregate(zip_with(a_s, b_s, (x, y) -> if(x = y, 1, 0)), 0, (n, x) -> n + x) >= {(threshold - SLACK) * SIZE}"
     circle = f"pmod(xxhash64(id, bucket), cast(ceil(n / {CIRCLE}) as bigint))"
-    dealt = crowded.selectExpr("id", "bucket", f"{circle} as circle")
-    met = dealt.withColumnRenamed("id", "a").join(dealt.withColumnRenamed("id", "b"), ["bucket", "circle"]).where("a < b").select("a", "b").distinct()
-    likely = (
-        met.join(short.selectExpr("id as a", "s as sa"), "a").join(short.selectExpr("id as b", "s as sb"), "b")
-        .where(alike).select("a", "b")
-    )
+    dealt = crowded.selectExpr("id", "bucket", f"{circle} as circle", f"n <= {CIRCLE} as whole")
+    met = dealt.withColumnRenamed("id", "a").join(dealt.selectExpr("id as b", "bucket", "circle"), ["bucket", "circle"]).where("a < b")
+    met = met.groupBy("a", "b").agg(F.max("whole").alias("whole"))
+    # no later step looks at a pair that met in a whole bucket, so only a bound may drop it
+    likely = met.join(one, "a").join(two, "b").where(f"({possible(threshold)}) and (whole or {alike})").select("a", "b")
     tried = staged(likely, "pairs")
     links = staged(verify(tried, rows, threshold), "links")
     label = components(links)

@@ -204,6 +204,33 @@ def test_near_duplicates(spark, odd):
     assert one.columns == odd.columns and sorted(x["doc_id"] or -1 for x in one.collect()) == [-1, 1, 4, 6, 7, 8, 9]
 
 
+def test_links_with_a_low_estimate_are_kept(spark):
+    """Pairs that reach the threshold and meet in a band, though fewer of their registers are equal than the estimate asks for."""
+    r, rows = random.Random(8), []
+    for _ in range(6000):
+        own = [f"w{r.randrange(10**6)}" for _ in range(40)]
+        rows += [own, [f"v{r.randrange(10**6)}" for _ in range(4)] + own[4:]]  # 36 shingles each, 32 in common
+    found = probminhash.shingles(probminhash.words(pa.array([" ".join(w) for w in rows])), 5)
+    drawn = probminhash.signatures(*probminhash.elements(*found), len(rows))
+    same = drawn[0::2] == drawn[1::2]
+    met = same.reshape(len(same), probminhash.BANDS, probminhash.ROWS).all(axis=2).any(axis=1)
+    low = np.flatnonzero(met & (((drawn[0::2] ^ drawn[1::2]) & 127 == 0).sum(axis=1) < (0.8 - probminhash.SLACK) * probminhash.SIZE))
+    assert len(low)
+    texts = [(2 * k + side, " ".join(rows[2 * int(p) + side])) for k, p in enumerate(low) for side in (0, 1)]
+    classes = by_id(probminhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")), "class_id")
+    assert classes == {i: i - i % 2 for i, _ in texts}
+
+
+def test_odd_sketches_are_those_of_the_exact_join(spark):
+    rows = [(1, "a b c d e f g"), (2, "x " * 30 + "y z"), (3, "one"), (4, "")]
+    held = {r["doc_id"]: r for r in probminhash.sketch(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        doc, value, weight = probminhash.elements(*probminhash.shingles(probminhash.words(pa.array([text])), 5))
+        bits = {c for c in range(64 * probminhash.PARITIES) if sum(int(v) % (64 * probminhash.PARITIES) == c for v in value) % 2}
+        assert {64 * k + b for k, x in enumerate(held[i]["odd"]) for b in range(64) if x >> b & 1} == bits
+        assert (held[i]["total"], held[i]["plain"]) == (weight.sum(), bool((weight == 1).all()))
+
+
 def test_exact_join_loses_no_pair(spark):
     """All texts stand alone, so every pair that reaches the threshold has to come out of the prefix join."""
     r = random.Random(9)
