@@ -96,10 +96,11 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     deal = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     size = F.size("v").alias("dim")
-    # repeated ids and repeated vectors are dealt by row, so no block grows with them
+    # rows of the table with repeated ids and vectors are dealt one by one, so no block grows with them
     spread = F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.lit(row_blocks)).cast("int")
     table = good.select("id", "v", size, spread.alias("rows_block"), every(query_blocks).alias("query_block"))
-    asked = good.where("asks").select("id", "v", size, deal(query_blocks).alias("query_block"), every(row_blocks).alias("rows_block"))
+    # one row of each id asks, the one with the smallest vector: answers of several would share the k ranks of the id
+    asked = good.where("asks").groupBy("id").agg(F.min("v").alias("v")).select("id", "v", size, deal(query_blocks).alias("query_block"), every(row_blocks).alias("rows_block"))
 
     def answered(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]

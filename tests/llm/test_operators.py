@@ -382,3 +382,13 @@ def test_pipeline_stages(spark, sf):
         assert kept.columns == columns and kept.count() <= before.count()
     final = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
     assert final.count() == kept.count()
+
+
+def test_repeated_query_rows_ask_once(spark):
+    r = np.random.default_rng(3)
+    base = r.normal(size=16)
+    rows = [(0, base.tolist())] * 5 + [(k, (base + 0.05 * k * r.normal(size=16)).tolist()) for k in range(1, 9)]
+    schema = "vec_id long, embedding array<double>"
+    got = {n: collide.nearest(spark.createDataFrame(rows[n:], schema), F.col("vec_id") == 0).orderBy("rank").collect() for n in (0, 4)}
+    assert len({x["vec_id"] for x in got[0]}) == 5 and [x["rank"] for x in got[0]] == [1, 2, 3, 4, 5]
+    assert [(x["vec_id"], round(x["score"], 9)) for x in got[0]] == [(x["vec_id"], round(x["score"], 9)) for x in got[4]]
