@@ -17,6 +17,7 @@ it lies. Extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -234,11 +235,13 @@ class Scanner:
                         break
                 if not grown:
                     open_.append([first, first + length - 1, length, min(places), self._names(template, first, length, min(places), word)])
-            kept: list[tuple[int, int, int]] = []
+            kept: list[tuple[int, int, int]] = []  # disjoint, by place
             least = SHORT_COVER if size <= SHORT and template not in self.named else MIN_COVER
             for low, high, matched, _, names in sorted(open_, key=lambda c: (-c[2], c[0])):
-                if matched >= least * size and (names or template not in self.named) and all(high < a or low > b for a, b, _ in kept):
-                    kept.append((low, high, matched))
+                if matched >= least * size and (names or template not in self.named):
+                    place = bisect.bisect_left(kept, (low,))
+                    if (not place or kept[place - 1][1] < low) and (place == len(kept) or high < kept[place][0]):
+                        kept.insert(place, (low, high, matched))
             spans += [(label, low, high, matched, min(1.0, matched / size)) for low, high, matched in kept]
         return sorted(spans, key=lambda s: (s[1], s[2], s[0]))
 

@@ -21,20 +21,76 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from scanlake.llm.words import passes, texts
 
 REMEMBERED = 150_000
+#: Bytes of text whose units are looked at together (a longer text is looked at alone).
+PASS_BYTES = 4 << 20
 
 _SPACE = "▁"
 _UNITS = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
 
 
+def split(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Units of all texts without the space that each begins with (the first one's is added), and the bounds of each text's.
+
+    Texts with single spaces between other characters are cut by Arrow; the rest by the pattern of a unit.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_string()).fill_null("")
+    plain = pc.and_not(pc.not_equal(column, ""), pc.match_substring_regex(column, f"^ | $|  |\n$|{_SPACE}"))
+    plain = np.asarray(plain.cast(pa.uint8()))
+    parts, count = [], np.zeros(len(column) + 1, np.int64)
+    edge = [0, *(np.flatnonzero(np.diff(plain)) + 1).tolist(), len(column)] if len(column) else []
+    for low, high in zip(edge, edge[1:]):
+        rows = column.slice(low, high - low)
+        if plain[low]:
+            cut = pc.split_pattern(rows, " ")
+            count[low + 1 : high + 1] = np.asarray(pc.list_value_length(cut))
+            parts.append(cut.flatten())
+        else:
+            names = [[u[1:] for u in _UNITS.findall(_SPACE + t.replace(" ", _SPACE))] if t else [] for t in rows.to_pylist()]
+            count[low + 1 : high + 1] = [len(n) for n in names]
+            parts.append(pa.array([u for n in names for u in n], pa.large_string()))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.large_string()), np.cumsum(count)
+
+
+@dataclass
+class Coded:
+    """unit: place in ``table`` of each unit of all texts; bounds: of each text's units; table: ids of the different units."""
+
+    unit: np.ndarray
+    bounds: np.ndarray
+    table: list[list[int]]
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the bounds of each text's."""
+        size = np.fromiter(map(len, self.table), np.int64, len(self.table))
+        flat = np.fromiter(chain.from_iterable(self.table), np.int32, int(size.sum()))
+        length = size[self.unit]
+        ends = np.concatenate(([0], np.cumsum(length)))
+        place = np.arange(ends[-1]) - np.repeat(ends[:-1], length) + np.repeat((np.cumsum(size) - size)[self.unit], length)
+        return flat[place], ends[self.bounds]
+
+    def joined(self, text: Callable[[list[int]], str]) -> list[memoryview]:
+        """UTF-8 of each text's units one after the other, each as ``text`` writes its ids."""
+        unit = pa.array([text(ids) for ids in self.table], pa.large_string()).take(pa.array(self.unit))
+        _, ends, data = unit.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(unit) + 1] if len(unit) else np.zeros(1, np.int64)
+        ends, data = ends[self.bounds].tolist(), memoryview(data) if data else memoryview(b"")
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 class Pieces:
     """A vocabulary with its automaton, derivations and pair tests."""
 
@@ -65,11 +121,12 @@ class Pieces:
         self.automaton.make_automaton()
         self.blank = {i for i in plain if not self.text[i].strip(_SPACE)}
         self.size = [len(t) for t in self.text]
+        self.plain = [t.replace(_SPACE, " ") if i in self.rank else "" for i, t in enumerate(self.text)]
         self.characters = {t for t in self.id if len(t) == 1}
         self.tested: dict[int, bool] = {}
         self.tested_before: dict[int, bool] = {}
-        self.known: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def merged(self, text: str) -> list[tuple[int | None, tuple[int, int] | None]]:
         """Plain merging, best score first, then leftmost: (id, the two ids of the last merge) of what remains. For short texts."""
@@ -151,40 +208,31 @@ class Pieces:
     def forget(self) -> None:
         self.known, self.older, self.tested, self.tested_before = {}, {}, {}, {}
 
-    def units(self, text: str) -> list[tuple[str, int, str]]:
-        """(ids as text, their number, decoded text) of each unit of a text, the first with the space that encoding adds."""
-        if not text:
-            return []
+    def coded(self, column: pa.Array) -> Coded:
+        """The units of all texts of a column; each different unit is encoded once."""
+        unit, bounds = split(column)
+        found = unit.dictionary_encode()
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        spaced = _SPACE + text.replace(" ", _SPACE)
-        if _SPACE * 2 in spaced or spaced[-1] == _SPACE:
-            names = _UNITS.findall(spaced)
-        else:
-            names = [_SPACE + w for w in spaced[1:].split(_SPACE)]
-        known = self.known
-        found = list(map(known.get, names))
-        if None in found:
-            for k, unit in enumerate(found):
-                if unit is None:
-                    name = names[k]
-                    unit = known.get(name)
-                    if unit is None:
-                        unit = self.older.get(name)
-                        if unit is None:
-                            ids = self.unit(name)
-                            unit = ",".join(map(str, ids)), len(ids), self._decoded(ids)
-                        if len(name) <= 64:
-                            known[name] = unit
-                    found[k] = unit
-        return found
+        out, known = [], self.known
+        for name in found.dictionary.to_pylist():
+            ids = known.get(name)
+            if ids is None:
+                ids = self.older.get(name)
+                if ids is None:
+                    ids = self.unit(_SPACE + name)
+                if len(name) <= 64:
+                    known[name] = ids
+            out.append(ids)
+        return Coded(np.asarray(found.indices), bounds, out)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for unit in self.units(text) for i in unit[0].split(",")]
+        ids, _ = self.coded(pa.array([text], pa.string())).ids()
+        return ids.tolist()
 
     def _decoded(self, ids: list[int]) -> str:
-        if not any(i in self.value for i in ids):
-            return "".join([self.text[i] for i in ids if i in self.rank]).replace(_SPACE, " ")
+        if self.value.keys().isdisjoint(ids):
+            return "".join([self.plain[i] for i in ids])
         out, raw = [], b""
         for i in ids:
             if i in self.value:
@@ -238,11 +286,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for rows in batches:
-            for low, high in passes(rows.column("text")):  # ids of about a megabyte of text at a time
+            for low, high in passes(rows.column("text"), PASS_BYTES):
                 part = rows.slice(low, high - low)
-                ids = [np.array(model.encode(t.as_py()), np.int32) for t in part.column("text")]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                ids, bounds = model.coded(part.column("text")).ids()
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
         model.forget()  # the worker goes on with other operators
 
@@ -265,15 +312,17 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for rows in batches:
-            n, coded, plain = [], [], []
-            for text in rows.column("text"):
-                units = model.units(text.as_py())
-                n.append(sum([u[1] for u in units]))
-                coded.append(sha(",".join([u[0] for u in units])))
-                back = "".join([u[2] for u in units])
-                plain.append(sha(back[1:] if back.startswith(" ") else back))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded), pa.array(plain)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for low, high in passes(rows.column("text"), PASS_BYTES):
+                part = rows.slice(low, high - low)
+                coded = model.coded(part.column("text"))
+                _, bounds = coded.ids()
+                numbers = coded.joined(lambda ids: ",".join(map(str, ids)) + ",")
+                plain = coded.joined(model._decoded)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id"), pa.array(np.diff(bounds)), pa.array([sha(t[:-1]) for t in numbers]), pa.array([sha(t[1:] if t[:1] == b" " else t) for t in plain]),
+                ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        model.forget()
 
     return texts(docs, id_col, text_col).mapInArrow(digested, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

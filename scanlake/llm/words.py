@@ -130,9 +130,10 @@ def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     value = np.zeros(n, np.uint64)
     count = np.diff(found.first)
     rest = np.repeat(found.first[1:], count) - np.arange(n)  # words from here to the end of the text
-    for k in range(size):
+    for k in range(size):  # the hash of a short text is the same in a pass of its own, where n is below size
         value *= np.uint64(_BASE)
-        value[: n - k] += np.where(rest[: n - k] > k, found.hash[k:], np.uint64(0))
+        if k < n:
+            value[: n - k] += np.where(rest[: n - k] > k, found.hash[k:], np.uint64(0))
     short = count[found.doc] < size
     keep = (rest >= size) | (short & (np.arange(n) == found.first[found.doc]))
     return found.doc[keep], mix(value[keep])
