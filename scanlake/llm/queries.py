@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm import chat, collide, importance, licences, merkle, pieces, pii, probminhash, raking, toxicity
+from scanlake.llm import chat, collide, divergence, importance, licences, merkle, pieces, pii, probminhash, raking, resampling, toxicity
 from scanlake.llm.words import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,80 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.mix(read(spark, sf_dir, "documents"))
+
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@_query
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn towards the texts of ``benchmark``."""
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+# CRC-32 byte by byte, by a table that is made from the polynomial; each different word once
+ORACLES["op11_resampling"] = rf"""
+with crc_table as (
+    select list(c order by n) as crcs from (
+        select n, list_reduce(list_prepend(n, range(8)), lambda c, i: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) t(n))),
+words as (
+    select 'd' as side, k, unnest(regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word
+    from (select row_number() over () as k, text from documents)
+    union all
+    select 'b', 0, unnest(regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) from benchmark),
+bucket_of as (
+    select word, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::bigint)),
+        lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket
+    from (select distinct word from words), crc_table),
+placed as (select side, k, bucket from words join bucket_of using (word)),
+tallies as (
+    select b.bucket, coalesce(s, 0) as s, coalesce(t, 0) as t from (select unnest(range(10000)) as bucket) b
+    left join (select bucket, count(*) as s from placed where side = 'd' group by 1) using (bucket)
+    left join (select bucket, count(*) as t from placed where side = 'b' group by 1) using (bucket)),
+gains as (
+    select bucket, floor(1000 * ln((t + 1)::double * ((select sum(s) from tallies) + 10000) / ((s + 1)::double * ((select sum(t) from tallies) + 10000))))::bigint as gain
+    from tallies),
+weighed as (
+    select k, count(*) as n, floor(sum(gain)::double / count(*))::bigint as weight from placed join gains using (bucket) where side = 'd' group by 1),
+scored as (
+    select d.k, doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+    from (select row_number() over () as k, doc_id from documents) d left join weighed using (k)),
+able as (select k, row_number() over (order by score desc, doc_id nulls last, n_features) as place, count(*) over () as able_n from scored where n_features >= 20)
+select doc_id::bigint as doc_id, n_features::bigint as n_features, weight, score, case when place <= 10 * able_n // 100 then place end as rank
+from scored left join able using (k)
+"""
+
+
+@_query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_divergence"] = rf"""
+with docs as (select row_number() over () as k, {_FOLDED} as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+found as (select k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term, count(*) as all_n from found group by 1, 2 having count(distinct k) >= 30),
+sizes as (select lang, count(*) as v, sum(all_n) as all_total from kept group by 1),
+groups as (select distinct lang, source from docs),
+counted as (select lang, source, term, count(*) as n from found semi join kept using (lang, term) group by 1, 2, 3),
+cells as (
+    select g.lang, g.source, k.term, k.all_n, coalesce(n, 0) as n, sum(coalesce(n, 0)) over (partition by g.lang, g.source) as total
+    from groups g join kept k using (lang) left join counted using (lang, source, term)),
+shares as (
+    select lang, source, term, n, (1 + (1000000000::hugeint * (n + 5)) // (total + 5 * v))::bigint as p, (1 + (1000000000::hugeint * (all_n + 5)) // (all_total + 5 * v))::bigint as q
+    from cells join sizes using (lang)),
+pairs as (
+    select a.lang, a.source, b.source as item, coalesce(sum(abs(x.p - y.p)), 0)::bigint as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join shares x on x.lang = a.lang and x.source = a.source
+    left join shares y on y.lang = b.lang and y.source = b.source and y.term = x.term
+    group by 1, 2, 3),
+ranked as (
+    select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+    union all
+    select * from (
+        select lang, source, 'term' as part, term as item, (p - q)::bigint as value, row_number() over (partition by lang, source order by p - q desc, term) as rank
+        from shares where n > 0 and p > q) where rank <= 50)
+select lang, source, part, item, value, rank::int as rank from ranked
+"""

@@ -26,8 +26,13 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_WORD = np.zeros(256, dtype=bool)
-_WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
+#: Bytes of words, of words without digits, and of what stands between white space of ASCII.
+WORD = np.zeros(256, dtype=bool)
+WORD[48:58] = WORD[97:123] = WORD[128:] = True
+LETTERS = WORD.copy()
+LETTERS[48:58] = False
+SOLID = np.ones(256, dtype=bool)
+SOLID[[9, 10, 11, 12, 13, 32]] = False
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -91,25 +96,48 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(column: pa.Array, hashes: bool = True) -> Words:
+@dataclass
+class Runs:
+    """Maximal runs of certain bytes: start, end in ``data``; doc: row of the column; first: index of each row's first run, and the total."""
+
+    data: np.ndarray
+    offsets: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    doc: np.ndarray
+    first: np.ndarray
+    inside: np.ndarray
+
+    def strings(self) -> pa.Array:
+        """The runs as Arrow strings."""
+        ends = np.concatenate(([0], np.cumsum(self.end - self.start)))
+        return pa.LargeStringArray.from_buffers(len(self.start), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(self.data[self.inside]))
+
+
+def runs(column: pa.Array, table: np.ndarray, fold: bool = True) -> Runs:
+    """Runs of the bytes that ``table`` marks, in lower case for A-Z if ``fold``. Characters of several bytes must be marked whole."""
     data, offsets = bytes_of(column)
-    low = _FOLD[data]
-    inside = _WORD[low]
+    data = _FOLD[data] if fold else data
+    inside = table[data]
     before, after = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
     before[1:] = inside
     after[: len(data)] = inside
-    before[offsets] = False  # a word ends with its text
+    before[offsets] = False  # a run ends with its text
     after[offsets] = False
     start = np.flatnonzero(inside & ~before[:-1])
     end = np.flatnonzero(inside & ~after[1:]) + 1
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    hashed = total = np.zeros(0, np.uint64)
-    if hashes:
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data))[: len(data)], out=total[1:], dtype=np.uint64)
-        hashed = mix((total[end] - total[start]) * _power(_INVERSE, len(data))[start])
-    return Words(data, offsets, start, end, hashed, doc, first, total)
+    return Runs(data, offsets, start, end, doc, first, inside)
+
+
+def words(column: pa.Array) -> Words:
+    found = runs(column, WORD)
+    start, end, data = found.start, found.end, bytes_of(column)[0]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((found.data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data))[: len(data)], out=total[1:], dtype=np.uint64)
+    hashed = mix((total[end] - total[start]) * _power(_INVERSE, len(data))[start])
+    return Words(data, found.offsets, start, end, hashed, found.doc, found.first, total)
 
 
 def passes(column: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
@@ -152,7 +180,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Written to the shared folder and read back: cuts lineage, and a lost executor costs no repetition of what came before."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.staged_in = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the folder of a staged table that nothing reads any more."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_in)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
