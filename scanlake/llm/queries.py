@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm import chat, collide, divergence, importance, licences, merkle, pieces, pii, probminhash, raking, resampling, toxicity
+from scanlake.llm import chat, collide, divergence, idfiles, importance, licences, merkle, pieces, pii, probminhash, raking, resampling, toxicity
 from scanlake.llm.words import read
+from scanlake.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +177,11 @@ ranked as (
         from shares where n > 0 and p > q) where rank <= 50)
 select lang, source, part, item, value, rank::int as rank from ranked
 """
+
+
+@_query
+def op13_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the ids of all documents are written to the shared folder, and what is returned is read from them."""
+    out = shared_dir(spark, "token-ids")
+    idfiles.write(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), out)
+    return idfiles.digests(spark, out)
