@@ -8,15 +8,15 @@ as they are) to any file system, with its own commit of finished tasks:
     index    a frame of five arrays of 64-bit integers (doc_id, null flag, offset, length, number of ids), one entry for each document
     trailer  the index line's offset and length, 16 hexadecimal digits each
 
-The dictionary is trained on the serialized ids of at most ``SAMPLE_ROWS`` documents, those with the smallest hash of id and text, and of
+The dictionary is trained on the serialized ids of at most ``SAMPLE_ROWS`` documents, those with the smallest hash of the id, and of
 each at most ``SAMPLE_IDS`` ids; it only makes files smaller, ids are exact with any. It lies beside the files and is named by its hash: files are
 refused with another one. Single documents are read by the index: only the files whose range holds an id are opened, and only its frame is unpacked.
 
 Documents are encoded once, where they lie, into frames; rows are then dealt to files by ranges of (doc_id, hash of text, row), so repeated
 ids may span files, and each task writes one file of about ``FILE_BYTES`` and holds one index in memory.
 
-Units between white space are encoded apart, each different one of a pass once, by the tokenizers library; the tokenizer must drop white
-space, which is tested. Special tokens' strings in a text are what the library makes of them.
+Texts are cut where the tokenizer cuts them anyway, and each different unit of a pass is encoded once by the tokenizers library (see
+``Encoder``). Special tokens' strings in a text are what the library makes of them.
 
 Rows: null and empty texts have the end id only. A null doc_id comes first. Rows with the same doc_id are ordered by the hash of their text, equal rows as they
 come. An empty table gives files without documents. Extra columns are ignored. A very long text is one frame.
@@ -28,6 +28,7 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
+from dataclasses import replace
 from itertools import chain
 
 import numpy as np
@@ -37,50 +38,141 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm.words import SOLID, batch, discard, passes, runs, staged, texts
+from scanlake.llm.words import SOLID, Runs, batch, discard, passes, runs, staged, texts
 from scanlake.operators.skew import sliced_window
 
 FORMAT = "token-ids-1"
 SAMPLE_ROWS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 2_000, 4_000, 112_640, 3
 FILE_BYTES = 32 << 20
 PASS_BYTES = 4 << 20
-REMEMBERED = 150_000
+#: A Python worker forgets the units it met when they are more than so many, or they and their ids more than so many bytes.
+REMEMBERED, REMEMBERED_BYTES = 600_000, 32 << 20
+
+_WHOLE, _LETTER, _DIGIT, _REST = 0, 1, 2, 3
+#: Whether a text is cut between two kinds of bytes: digits stand alone, letters and the rest in runs.
+_CUT = np.array([[False] * 4, [False, False, True, True], [False, True, True, True], [False, True, True, False]]).ravel()
 
 
 class Encoder:
-    """Ids by a tokenizer of the tokenizers library that drops white space."""
+    """Ids by a tokenizer of the tokenizers library that drops white space and cuts ASCII texts between letters, digits and the rest.
+
+    Units are what stands between such borders. Next to an apostrophe, a character beyond ASCII, a control character or one that
+    occurs in an added token nothing is cut, so contractions, combining marks and added tokens stay whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        whole, parts = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in (" a's\t\r\nÉ 9  <|x|>\f\v", "a's"))
-        if whole != parts + list(chain.from_iterable(self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("É", "9", "<|x|>"))):
-            raise ValueError("only tokenizers that drop white space")
-        self.known: dict[str, np.ndarray] = {}
-        self.older: dict[str, np.ndarray] = {}
+        alone = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        kind = np.full(256, _WHOLE, np.uint8)
+        kind[33:127], kind[48:58], kind[65:91], kind[97:123] = _REST, _DIGIT, _LETTER, _LETTER
+        kind[[ord("'"), *(ord(c) for t in added for c in t if c.isascii() and not c.isalnum())]] = _WHOLE
+        self.kind = kind
+        ids = {chr(c): alone(chr(c)) for c in range(33, 127)}
+        pairs = [(a, b) for a in ids for b in ids if _CUT[kind[ord(a)] * 4 + kind[ord(b)]]]
+        whole, parts = alone(" a's\t\r\nÉ 9  <|x|>\f\v"), [alone(t) for t in ("a's", "É", "9", "<|x|>")]
+        if whole != list(chain.from_iterable(parts)) or any(alone(a + b) != ids[a] + ids[b] for a, b in pairs) or any(len(self.units(pa.array([t])).start) > 1 for t in added):
+            raise ValueError("only tokenizers that drop white space and cut between letters, digits and other characters")
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.apart = "".join(chr(c) for c in range(33, 127) if kind[c] == _WHOLE)
+        self.memory = Memory()
+
+    def units(self, column: pa.Array) -> Runs:
+        found = runs(column, SOLID, fold=False)
+        kind = self.kind[found.data]
+        cut = _CUT[kind[:-1] * 4 + kind[1:]] & found.inside[:-1] & found.inside[1:]
+        border = found.offsets[1:-1]
+        cut[border[(border > 0) & (border <= len(cut))] - 1] = False  # is a border already
+        at = np.flatnonzero(cut) + 1
+        start, end = np.sort(np.concatenate((found.start, at))), np.sort(np.concatenate((found.end, at)))
+        return replace(found, start=start, end=end, first=np.searchsorted(start, found.offsets))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of each text's."""
-        found = runs(column, SOLID, fold=False)
+        found = self.units(column)
         unit = found.strings().dictionary_encode()
         names = unit.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        table = [known.get(name) or older.get(name) for name in names]
-        new = [k for k, ids in enumerate(table) if ids is None]
-        for k, coded in zip(new, self.tokenizer.encode_batch_fast([names[k] for k in new], add_special_tokens=False)):
-            table[k] = coded.ids
-        known.update((name, ids) for name, ids in zip(names, table) if len(name) <= 64)
-        size = np.fromiter(map(len, table), np.int64, len(table))
-        flat = np.fromiter(chain.from_iterable(table), np.uint32, int(size.sum()))
-        code = np.asarray(unit.indices)
-        length = size[code]
+        if len(self.memory.slots) > REMEMBERED or self.memory.size > REMEMBERED_BYTES:
+            self.memory = Memory()
+        slots = np.fromiter(map(self.memory.slots.__getitem__, names), np.int64, len(names))
+        self._learn(self.memory.slots.unmet())
+        slot = slots[np.asarray(unit.indices)]
+        length = self.memory.length[slot]
         ends = np.concatenate(([0], np.cumsum(length)))
-        place = np.arange(ends[-1]) - np.repeat(ends[:-1], length) + np.repeat((np.cumsum(size) - size)[code], length)
-        return flat[place], ends[found.first]
+        place = np.arange(ends[-1]) - np.repeat(ends[:-1] - self.memory.start[slot], length)
+        return self.memory.ids[place], ends[found.first]
+
+    def _learn(self, names: list[str]) -> None:
+        """Ids of units that were not met before, in the order of their slots.
+
+        Units that are one word for the tokenizer are encoded 64 at a time with blanks between them: each ends with a token that
+        ends a word. Where the ends are not as many as the units, and for all other units, each is encoded by itself.
+        """
+        one = [k for k, n in enumerate(names) if n.isalpha() or (n.isascii() and n.isprintable() and not any(c in n for c in self.apart))] if self.ends.any() else []
+        alone = set(range(len(names))) - set(one)
+        order, ids, length = [], [], []
+        groups = [one[k : k + 64] for k in range(0, len(one), 64)]
+        for low in range(0, len(groups), 256):
+            part = groups[low : low + 256]
+            for group, coded in zip(part, self.tokenizer.encode_batch_fast([" ".join([names[k] for k in g]) for g in part], add_special_tokens=False)):
+                own = np.array(coded.ids, np.uint32)
+                cut = np.flatnonzero(self.ends[own]) + 1
+                if len(cut) == len(group) and cut[-1] == len(own):
+                    order.extend(group)
+                    ids.append(own)
+                    length.append(np.diff(cut, prepend=0))
+                else:
+                    alone.update(group)
+        rest = sorted(alone)
+        for low in range(0, len(rest), 4096):
+            part = rest[low : low + 4096]
+            own = [c.ids for c in self.tokenizer.encode_batch_fast([names[k] for k in part], add_special_tokens=False)]
+            order.extend(part)
+            ids.append(np.fromiter(chain.from_iterable(own), np.uint32))
+            length.append(np.fromiter(map(len, own), np.int64, len(own)))
+        if order:
+            self.memory.add(np.array(order), np.concatenate(ids), np.concatenate(length), sum(map(len, names)))
+
+
+class _Slots(dict):
+    """Numbers of names in the order in which they are first asked for."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, name: str) -> int:
+        self[name] = slot = len(self)
+        self.new.append(name)
+        return slot
+
+    def unmet(self) -> list[str]:
+        """Names first asked for since the last call."""
+        new, self.new = self.new, []
+        return new
+
+
+class Memory:
+    """Ids of the units met so far: one array of ids, with start and length for each slot."""
+
+    def __init__(self):
+        self.slots = _Slots()
+        self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.size = 0
+
+    def add(self, order: np.ndarray, ids: np.ndarray, length: np.ndarray, size: int) -> None:
+        """Ids of the newest slots, one after the other in ``order``; size: characters of their units."""
+        low, n = len(self.start), len(order)
+        self.start, self.length = (np.concatenate((old, np.zeros(n, np.int64))) for old in (self.start, self.length))
+        self.start[low + order] = len(self.ids) + np.cumsum(length) - length
+        self.length[low + order] = length
+        self.ids = np.concatenate((self.ids, ids))
+        self.size += ids.nbytes + size
 
 
 _encoders: dict[str, Encoder] = {}
@@ -111,14 +203,14 @@ def train(docs: DataFrame, path: str, end: int, sample_rows: int = SAMPLE_ROWS,
     import zstandard
 
     width = encoder(path).width
-    chosen = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("hash")).distinct().orderBy("hash", "doc_id").limit(sample_rows)
-    rows = docs.withColumn("hash", F.xxhash64("doc_id", "text")).join(F.broadcast(chosen.select("hash")), "hash", "left_semi")
+    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["doc_id"])
 
     def first(batches):
-        for part, coded, _ in _serialized(batches, path, end):
-            yield batch({"ids": [c[: width * SAMPLE_IDS] for c in coded], "hash": part.column("hash")}, pa.schema([("ids", pa.binary()), ("hash", pa.int64())]))
+        for _, coded, _ in _serialized(batches, path, end):
+            yield batch({"ids": [c[: width * SAMPLE_IDS] for c in coded]}, pa.schema([("ids", pa.binary())]))
 
-    found = rows.dropDuplicates(["hash"]).mapInArrow(first, "ids binary, hash long").orderBy("hash").limit(sample_rows).toPandas()
+    found = rows.mapInArrow(first, "ids binary").toPandas()
     samples = [bytes(x) for x in found["ids"] if len(x) >= 8]
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 10), samples).as_bytes()
