@@ -97,23 +97,26 @@ class Encoder:
         """All ids, and the bounds of each text's."""
         found = self.units(column)
         unit = found.strings().dictionary_encode()
-        names = unit.dictionary.to_pylist()
-        if len(self.memory.slots) > REMEMBERED or self.memory.size > REMEMBERED_BYTES:
+        if len(self.memory.names) > REMEMBERED or self.memory.names.nbytes + self.memory.ids.nbytes > REMEMBERED_BYTES:
             self.memory = Memory()
-        slots = np.fromiter(map(self.memory.slots.__getitem__, names), np.int64, len(names))
-        self._learn(self.memory.slots.unmet())
+        known = pc.index_in(unit.dictionary, value_set=self.memory.names)
+        new = known.is_null()
+        slots = np.asarray(known.fill_null(0)).astype(np.int64)
+        slots[np.asarray(new)] = len(self.memory.names) + np.arange(known.null_count)
+        self._learn(unit.dictionary.filter(new))
         slot = slots[np.asarray(unit.indices)]
         length = self.memory.length[slot]
         ends = np.concatenate(([0], np.cumsum(length)))
         place = np.arange(ends[-1]) - np.repeat(ends[:-1] - self.memory.start[slot], length)
         return self.memory.ids[place], ends[found.first]
 
-    def _learn(self, names: list[str]) -> None:
+    def _learn(self, units: pa.Array) -> None:
         """Ids of units that were not met before, in the order of their slots.
 
         Units that are one word for the tokenizer are encoded 64 at a time with blanks between them: each ends with a token that
         ends a word. Where the ends are not as many as the units, and for all other units, each is encoded by itself.
         """
+        names = units.to_pylist()
         one = [k for k, n in enumerate(names) if n.isalpha() or (n.isascii() and n.isprintable() and not any(c in n for c in self.apart))] if self.ends.any() else []
         alone = set(range(len(names))) - set(one)
         order, ids, length = [], [], []
@@ -137,42 +140,24 @@ class Encoder:
             ids.append(np.fromiter(chain.from_iterable(own), np.uint32))
             length.append(np.fromiter(map(len, own), np.int64, len(own)))
         if order:
-            self.memory.add(np.array(order), np.concatenate(ids), np.concatenate(length), sum(map(len, names)))
-
-
-class _Slots(dict):
-    """Numbers of names in the order in which they are first asked for."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, name: str) -> int:
-        self[name] = slot = len(self)
-        self.new.append(name)
-        return slot
-
-    def unmet(self) -> list[str]:
-        """Names first asked for since the last call."""
-        new, self.new = self.new, []
-        return new
+            self.memory.add(units, np.array(order), np.concatenate(ids), np.concatenate(length))
 
 
 class Memory:
-    """Ids of the units met so far: one array of ids, with start and length for each slot."""
+    """The units met so far, each with a slot: start and length in one array of ids."""
 
     def __init__(self):
-        self.slots = _Slots()
+        self.names = pa.array([], pa.large_string())
         self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.size = 0
 
-    def add(self, order: np.ndarray, ids: np.ndarray, length: np.ndarray, size: int) -> None:
-        """Ids of the newest slots, one after the other in ``order``; size: characters of their units."""
-        low, n = len(self.start), len(order)
-        self.start, self.length = (np.concatenate((old, np.zeros(n, np.int64))) for old in (self.start, self.length))
+    def add(self, names: pa.Array, order: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """``ids`` of new units lie one after the other in ``order``."""
+        low = len(self.names)
+        self.names = pa.concat_arrays([self.names, names])
+        self.start, self.length = (np.concatenate((old, np.zeros(len(order), np.int64))) for old in (self.start, self.length))
         self.start[low + order] = len(self.ids) + np.cumsum(length) - length
         self.length[low + order] = length
         self.ids = np.concatenate((self.ids, ids))
-        self.size += ids.nbytes + size
 
 
 _encoders: dict[str, Encoder] = {}
