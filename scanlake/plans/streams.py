@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanlake import streaming
+from scanlake import sinks, streaming
 from scanlake.operators.builds import MAX_AGENTS
 from scanlake.plans import bindings as b
 from scanlake.plans import content
@@ -30,6 +30,23 @@ def tail_log(spark, sf):
     return rows.groupBy("build").agg(F.count("*").alias("chunks"), F.sum("bytes").alias("bytes"))
 
 
+@query(
+    "tail_files",
+    "ST1",
+    f"""with {b.CHUNKS_SQL} select build % 8 as log, cast(sum(strlen(text) + 1) as bigint) as bytes, cast(sum(strlen(text) - strlen(replace(text, chr(10), '')) + 1) as bigint) as lines from chunks group by 1""",
+)
+def tail_files(spark, sf):
+    """Console logs as files, one folder for each of eight agents, read by byte ranges."""
+    logs = b.chunk_rows(b.table(spark, sf, "conversations")).select((F.col("build") % 8).alias("log"), F.coalesce("text", F.lit("")).alias("value"))
+    folder = shared_dir(spark, "console")
+    sinks.write_documents(logs, folder, "logs", "log")
+    rows = streaming.tail_files(spark, f"{folder}/logs", shared_dir(spark, "tail-files"), suffix=".txt", range_bytes=65536, block_bytes=4096)
+    text = F.col("text")
+    return rows.groupBy(F.regexp_extract("file", r"log=(\d+)/", 1).cast("bigint").alias("log")).agg(
+        F.sum(F.octet_length(text)).cast("bigint").alias("bytes"), F.sum(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint").alias("lines")
+    )
+
+
 @query(
     "stream_phase_changes",
     "ST2",

@@ -5,10 +5,20 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What the streams rely on: keyed state on disk, and sessions merged inside each input task first, so that a busy key does not
+#: send all its events to one task.
+STREAM_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
+
+
 def build_session(app: str = "scanlake", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the engine relies on.
 
@@ -23,6 +33,7 @@ def build_session(app: str = "scanlake", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        **STREAM_SETTINGS,
         **conf,
     }
     for key, value in settings.items():
@@ -49,3 +60,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Python workers find this package in the folder the driver took it from, unless a path is set (on clusters: --py-files)."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+    return spark

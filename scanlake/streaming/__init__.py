@@ -10,19 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlake.operators.builds import AGENT_TTL_SECONDS
-from scanlake.operators.ranking import phase_changes
-from scanlake.operators.rules import detect_phase
+from scanlake.session import STREAM_SETTINGS
+from scanlake.sources.tail import LogTail
+from scanlake.streaming import keyed
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A session setting for the time a stream starts and runs."""
-    before = spark.conf.get(key)
-    spark.conf.set(key, value)
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """``STREAM_SETTINGS`` for the time a stream starts and runs, in sessions that were not built with them."""
+    before = {key: spark.conf.get(key, None) for key in STREAM_SETTINGS}
+    changed = {key: value for key, value in STREAM_SETTINGS.items() if before[key] != value}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key in changed:
+            spark.conf.unset(key) if before[key] is None else spark.conf.set(key, before[key])
 
 
 def read_table_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -38,15 +42,16 @@ def read_table_stream(spark: SparkSession, path: str, files_per_trigger: int | N
 
 def run_append(stream: DataFrame, root: str) -> DataFrame:
     """Process what is available into an exactly-once Parquet sink and return the sink as a table."""
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{root}/out")
-    )
-    query.awaitTermination()
     spark = stream.sparkSession
+    with _settings(spark):
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{root}/out")
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
@@ -86,45 +91,20 @@ def tail_log(chunks: DataFrame, root: str) -> DataFrame:
     return run_append(sized, root)
 
 
-def stream_phase_changes(chunks: DataFrame, root: str) -> DataFrame:
-    """Phase changes per build over a stream of chunks (build, offset, text).
+def read_growing_logs(spark: SparkSession, folder: str, **options: object) -> DataFrame:
+    """Blocks of whole lines (file, offset, text) appended to the files of a folder, as a stream."""
+    spark.dataSource.register(LogTail)
+    return spark.readStream.format("log-tail").options(path=folder, **options).load()
 
-    Each micro-batch runs the batch operator, which splits hot builds, over its chunks and the last known phase
-    of the builds it touches. State is one row per build; batch n reads state n-1 and writes state n, so running
-    a batch again gives the same files.
-    """
-    spark = chunks.sparkSession
-    state_schema = "build bigint, offset bigint, phase string"
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        detected = batch.select(
-            F.col("build").cast("bigint"), F.col("offset").cast("bigint"), detect_phase("text").alias("phase")
-        ).where("phase is not null").persist()
-        if batch_id > 0:
-            state = spark.read.schema(state_schema).parquet(f"{root}/state/batch={batch_id - 1}")
-        else:
-            state = spark.createDataFrame([], state_schema)
-        touched = state.join(detected.select("build").distinct(), "build", "left_semi")
-        marked = phase_changes(
-            touched.withColumn("known", F.lit(True)).unionByName(detected.withColumn("known", F.lit(False)))
-        )
-        marked.where(~F.col("known")).select("build", "offset", "phase").write.mode("overwrite").parquet(
-            f"{root}/out/batch={batch_id}"
-        )
-        last = state.unionByName(detected).groupBy("build").agg(
-            F.max_by(F.struct("offset", "phase"), "offset").alias("s")
-        )
-        last.select("build", "s.offset", "s.phase").write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
-        detected.unpersist()
 
-    query = (
-        chunks.writeStream.foreachBatch(step)
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(state_schema).option("recursiveFileLookup", "true").parquet(f"{root}/out")
+def tail_files(spark: SparkSession, folder: str, root: str, **options: object) -> DataFrame:
+    """All blocks read so far; called again with the same ``root`` it goes on where the files ended before."""
+    return run_append(read_growing_logs(spark, folder, **options), root)
+
+
+def stream_phase_changes(chunks: DataFrame, root: str, keep_ms: int = keyed.DAY_MS) -> DataFrame:
+    """Phase changes per build over a stream of chunks (build, offset, text); see ``keyed.phase_changes``."""
+    return run_append(keyed.phase_changes(chunks, keep_ms), root)
 
 
 def stream_phase_log(records: DataFrame, root: str) -> DataFrame:
@@ -135,13 +115,9 @@ def stream_phase_log(records: DataFrame, root: str) -> DataFrame:
     return run_complete(totals, root)
 
 
-def await_terminal(builds: DataFrame, root: str) -> DataFrame:
-    """Each build once, when it is first seen finished (``building`` false), however long after its start that is.
-
-    The state holds one key for each finished build; nothing is dropped as late.
-    """
-    done = builds.where(~F.col("building"))
-    return run_append(done.dropDuplicates(["job", "number"]), root)
+def await_terminal(builds: DataFrame, root: str, remember: str = "7 days") -> DataFrame:
+    """Each build once, when it is first seen finished; see ``keyed.finished_builds``."""
+    return run_append(keyed.finished_builds(builds, "ts", remember), root)
 
 
 def stale_agents(events: DataFrame, root: str, ttl_seconds: int = AGENT_TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
@@ -156,20 +132,17 @@ def stale_agents(events: DataFrame, root: str, ttl_seconds: int = AGENT_TTL_SECO
         .agg(F.max("ts").alias("last_seen"), F.max_by("action", F.struct("ts", "action")).alias("last_action"))
     )
     ended = lives.where("last_action = 'create'").select("agent", "last_seen", F.col("life.end").alias("expired"))
-    # Sessions are merged inside each input task first, so a busy agent does not send all its events to one task.
-    with _setting(events.sparkSession, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"):
-        return run_append(ended, root)
+    return run_append(ended, root)
 
 
 def active_agents(events: DataFrame, root: str, limit: int) -> DataFrame:
     """Agents alive per pool against the limit: those whose last event, in its pool, is a creation.
 
-    The stream keeps one row for each agent of a pool; the count over pools is a batch aggregate of its last result. At equal
-    times a destruction comes last.
+    The stream appends changes (``keyed.agent_changes``); the gauge is their sum, so neither a batch nor the state grows with agents
+    that are gone.
     """
-    last = F.max_by("action", F.struct("ts", "action"))
-    agents = run_complete(events.groupBy("pool", "agent").agg(last.alias("action")), root)
-    gauge = agents.groupBy("pool").agg(F.count_if(F.col("action") == "create").alias("active"))
+    changes = run_append(keyed.agent_changes(events), root)
+    gauge = changes.groupBy("pool").agg(F.sum("change").cast("bigint").alias("active"))
     return gauge.withColumn("at_limit", F.col("active") >= limit)
 
 
