@@ -21,6 +21,8 @@ PREFERRED_FILES = {
     ),
     "quality_gate": ("sonarqube-quality-gate.json", "sonarqube/quality-gate.json"),
 }
+# Families of reports with any number of files in a scan's own folder: file name's start -> report type's start.
+REPORT_FAMILIES = {"registry-scan-": "registry:"}
 # Pipelines, in the order a scan id is looked up in them.
 PIPELINE_SUFFIXES = ("-security-scan-pipeline", "-ci-cd-pipeline", "-devsecops-pipeline")
 SEARCH_ORDER = ("security-scan-pipeline", "devsecops-pipeline", "ci-cd-pipeline")
@@ -53,22 +55,25 @@ def scan_totals(by_type: DataFrame) -> DataFrame:
     )
 
 
-def pick_first_present(files: DataFrame, preferred: dict[str, tuple[str, ...]] = PREFERRED_FILES) -> DataFrame:
-    """(scan_id, kind, file): the first preferred name that exists, readable or not.
+def report_kind(file: Column, preferred: dict[str, tuple[str, ...]] = PREFERRED_FILES) -> Column:
+    """struct<kind, rank> of a file below its scan's folder, null for others.
 
-    The name table is a literal of a few dozen entries, so it becomes a lookup expression, not a join.
+    The table of names is a literal of a few dozen entries, so it is a lookup expression, not a join. Of a family each file is a
+    kind of its own, named by what its name holds besides the family's.
     """
     pairs = [(name, kind, rank) for kind, names in preferred.items() for rank, name in enumerate(names)]
-    table = F.create_map(
-        *[
-            part
-            for name, kind, rank in pairs
-            for part in (F.lit(name), F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank")))
-        ]
-    )
-    known = files.where(F.col("file").isin(*[name for name, _, _ in pairs])).withColumn(
-        "p", F.try_element_at(table, F.col("file"))
-    )
+    table = F.create_map(*[x for name, kind, rank in pairs for x in (F.lit(name), F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank")))])
+    found = F.when(file.isin(*[name for name, _, _ in pairs]), F.try_element_at(table, file))
+    for start, prefix in REPORT_FAMILIES.items():
+        stem = F.regexp_replace(file, r"\.json$", "")
+        own = F.struct(F.concat(F.lit(prefix), F.replace(stem, F.lit(start), F.lit(""))).alias("kind"), F.lit(0).alias("rank"))
+        found = found.when(file.startswith(start) & file.endswith(".json") & ~file.contains("/"), own)
+    return found
+
+
+def pick_first_present(files: DataFrame, preferred: dict[str, tuple[str, ...]] = PREFERRED_FILES) -> DataFrame:
+    """(scan_id, kind, file): the first preferred name that exists, readable or not; of families every file."""
+    known = files.withColumn("p", report_kind(F.col("file"), preferred)).where("p is not null")
     return known.groupBy("scan_id", F.col("p.kind").alias("kind")).agg(
         F.min_by("file", "p.rank").alias("file")
     )

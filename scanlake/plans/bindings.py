@@ -365,3 +365,72 @@ counts as (
 
 def sql_pct(num: str, den: str) -> str:
     return f"cast(format('{{:.1f}}', ({num}) / ({den}) * 100.0) as double)"
+
+
+# --- Report folders: every kind of file that a scan's summary reads ------------------------------
+
+
+def report_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """(scan_id, file, content) of all customers' scans.
+
+    The first key range of a report type has the type's own name, further ranges are reports of registry images. By the customer's
+    number a scan also has a pipeline summary (1 of 10; one more is cut off), a local report, linter lists, a gate file, one or two
+    component inventories (the preferred one broken at times) and a quality gate.
+    """
+    part = F.regexp_extract("file", r"-(\d+)\.json$", 1)
+    base = F.regexp_replace("file", r"-\d+\.json$", "")
+    reports = vuln_reports(spark, sf).select(
+        "scan_id", F.when(part == "0", F.concat(base, F.lit(".json"))).otherwise(F.concat(F.lit("registry-scan-"), base, F.lit("-"), part, F.lit(".json"))).alias("file"), "content"
+    )
+    secrets = findings(spark, sf).where(f"kind = 'secret' and ord < {FILE_SPAN}").groupBy("scan_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    secrets = secrets.select("scan_id", F.lit("secret-scan.json").alias("file"), F.to_json(F.struct(F.array(F.struct(F.transform("ids", lambda i: F.struct(i.alias("RuleID"))).alias("Secrets"))).alias("Results"))).alias("content"))
+    k = F.col("c_custkey")
+    doc = F.struct
+
+    def counters(**numbers) -> Column:
+        return doc(*[v.cast("bigint").alias(n) for n, v in numbers.items()])
+
+    summary = F.to_json(doc(
+        (k % 20 == 1).alias("gate_passed"), counters(critical=k, high=k + 1).alias("totals"),
+        doc(counters(critical=k, high=k + 1).alias("SAST"), counters(found=k).alias("Secret Detection")).alias("findings_by_scan"), F.lit(7).alias("secrets_found"),
+    ))
+    local = F.to_json(doc(doc(
+        doc(F.when(k % 4 == 2, "PASS").otherwise("DEGRADED").alias("status")).alias("gate_verdict"), F.create_map(F.lit("HIGH"), k).alias("severity_totals"),
+        F.create_map(F.lit("sonar-scanner"), doc((k % 4 == 2).alias("available"))).alias("tool_status"),
+    ).alias("summary"), F.create_map(F.lit("trivy-fs"), F.create_map(F.lit("LOW"), k)).alias("findings_by_tool")))
+    inventory = F.to_json(doc(F.transform(F.sequence(F.lit(1), F.col("c_nationkey") + 1), lambda n: doc(n.cast("string").alias("type"))).alias("components")))
+    lint = F.to_json(F.transform(F.sequence(F.lit(1), k % 3), lambda n: doc(n.alias("line"))))
+    other = {
+        "scan-summary.json": F.when(k % 10 == 1, summary).when(k % 10 == 2, F.expr("'{'")),
+        "final-report.json": F.when((k % 10).isin(2, 3), local).when(k % 10 == 4, F.expr("'{}'")),
+        "shellcheck.json": F.when(k % 4 == 1, F.when(k % 3 == 0, "[]").otherwise(lint)),
+        "sbom/trivy-cyclonedx-full.json": F.when(k % 7 == 3, "broken"),
+        "sbom-trivy-cyclonedx.json": F.when(k % 7 < 5, inventory),
+        "sonarqube/quality-gate.json": F.when(k % 2 == 0, F.to_json(doc(doc(F.lit("ok").alias("status")).alias("projectStatus")))).otherwise('{"status": ""}'),
+        "gate-results.txt": F.when(k % 5 == 0, "A=1\nGATE_STATUS = fail").when(k % 5 == 1, "GATE_STATUS=FAIL\nGATE_STATUS=PASS").when(k % 5 == 2, "the check failed").when(k % 5 == 3, "fine"),
+        "notes.json": F.lit("{}"),
+    }
+    rows = table(spark, sf, "customer").select(
+        F.concat(F.lit("scan-"), k.cast("string")).alias("scan_id"), F.inline(F.array(*[doc(F.lit(name).alias("file"), text.alias("content")) for name, text in other.items()]))
+    )
+    return reports.unionByName(secrets).unionByName(rows.where("content is not null"))
+
+
+REPORT_FOLDERS_SQL = f"""
+customers as (select c_custkey as k, c_nationkey, 'scan-' || c_custkey as scan_id from customer),
+typed as (
+  select scan_id, case when ord // {FILE_SPAN} = 0 then report else 'registry:' || replace(file, '.json', '') || '-' || (ord // {FILE_SPAN}) end as report, kind, severity from leveled),
+by_type as (
+  select scan_id, report, count(*) filter (kind <> 'secret' and severity = 'CRITICAL') as critical, count(*) filter (kind <> 'secret' and severity = 'HIGH') as high,
+    count(*) filter (kind <> 'secret' and severity = 'MEDIUM') as medium, count(*) filter (kind <> 'secret' and severity = 'LOW') as low,
+    count(*) filter (kind <> 'secret' and severity = 'UNKNOWN') as unknown from typed group by 1, 2
+  union all select scan_id, 'shellcheck', 0, 0, 0, k % 3, 0 from customers where k % 4 = 1 and k % 3 > 0),
+raw as (
+  select scan_id, sum(critical)::bigint as critical, sum(high)::bigint as high, sum(medium)::bigint as medium, sum(low)::bigint as low, sum(unknown)::bigint as unknown,
+    string_agg(report || ':' || critical || '/' || high || '/' || medium || '/' || low || '/' || unknown, ',' order by report) as types from by_type group by 1),
+found_secrets as (select scan_id, count(*) as secrets from findings where kind = 'secret' and ord < {FILE_SPAN} group by 1),
+whole as (
+  select c.scan_id, k, case when k % 10 = 1 then 'summary' when k % 10 in (2, 3) then 'unified' else 'raw' end as source, coalesce(critical, 0) as critical, coalesce(high, 0) as high, coalesce(medium, 0) as medium,
+    coalesce(low, 0) as low, coalesce(unknown, 0) as unknown, coalesce(types, '') as types, coalesce(secrets, 0) as secrets, case when k % 7 in (0, 1, 2, 4) then c_nationkey + 1 end as components
+  from customers c left join raw using (scan_id) left join found_secrets using (scan_id))
+"""

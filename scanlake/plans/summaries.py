@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scanlake import sinks
 from scanlake.functions.severity import normalize_severity
-from scanlake.operators import gates, inventory, joins, ranking, totals
+from scanlake.operators import gates, inventory, joins, ranking, summaries, totals
 from scanlake.plans import bindings as b
 from scanlake.plans import counting, ingest, verdicts
 from scanlake.plans.registry import query
@@ -123,6 +123,38 @@ def precedence(spark, sf):
     return joins.source_precedence(sources).select("scan_id", "source", "critical", "secrets")
 
 
+@query(
+    "scan_summary_from_files",
+    "J1 J2 J3 A2 A4 A6 A23 G7",
+    f"""with {b.FINDINGS_SQL}, {b.REPORT_FOLDERS_SQL}
+    select scan_id, source, case source when 'summary' then k when 'unified' then 0 else critical end::bigint as critical, case source when 'summary' then k + 1 when 'unified' then k else high end::bigint as high,
+      case source when 'raw' then medium else 0 end::bigint as medium, case source when 'raw' then low else 0 end::bigint as low, case source when 'raw' then unknown else 0 end::bigint as unknown,
+      case source when 'summary' then 'SAST:' || k || '/' || (k + 1) || '/0/0/0' when 'unified' then 'trivy-fs:0/0/0/' || k || '/0' else types end as types,
+      case source when 'summary' then 7 when 'raw' then secrets end::bigint as secrets, case when source = 'raw' then components end::bigint as sbom_component_count,
+      case source when 'unified' then case when k % 4 = 2 then 'AVAILABLE' else 'UNAVAILABLE' end when 'raw' then case when k % 2 = 0 then 'OK' end end as quality_gate,
+      cast(case source when 'summary' then k % 20 = 1 when 'unified' then k % 4 = 2 else case k % 5 when 0 then false when 1 then true when 2 then false when 3 then true else critical = 0 end end as varchar) as gate_passed
+    from whole""",
+)
+def summary_from_files(spark, sf):
+    """From report folders to summaries in one chain; each file is parsed once."""
+    rows = summaries.scan_summary_from_files(b.report_folders(spark, sf))
+    return rows.select(
+        "scan_id", "source", *COUNTS, F.coalesce(show_types(), F.lit("")).alias("types"), "secrets", "sbom_component_count", "quality_gate",
+        F.col("gate_passed").cast("string").alias("gate_passed"),
+    )
+
+
+@query(
+    "registry_report_types",
+    "J1 J2",
+    f"""with {b.FINDINGS_SQL}, {b.REPORT_FOLDERS_SQL}
+    select scan_id, report, critical::bigint as critical, high::bigint as high, medium::bigint as medium, low::bigint as low, unknown::bigint as unknown from by_type""",
+)
+def registry_types(spark, sf):
+    """Finding types as rows: the fixed ones, and one for each registry image."""
+    return summaries.report_types(summaries.file_facts(b.report_folders(spark, sf))).select("scan_id", "report", *COUNTS)
+
+
 @query(
     "resolve_scan_dir",
     "J4",

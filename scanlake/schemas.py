@@ -43,16 +43,8 @@ JS_LINT = "array<struct<errorCount:int,warningCount:int>>"
 ISTANBUL = "total struct<lines:struct<pct:double>>"
 GO_TEST_EVENT = "Action string, Test string"
 
-_CASE = "_classname:string,_name:string,failure:array<struct<_message:string>>"
-# A schema cannot contain itself, so suites nest to a fixed depth below the root.
-SUITE_DEPTH = 8
-_SUITE = f"struct<testcase:array<struct<{_CASE}>>>"
-for _ in range(SUITE_DEPTH - 1):
-    _SUITE = f"struct<testcase:array<struct<{_CASE}>>,testsuite:array<{_SUITE}>>"
-JUNIT = (
-    "_tests string, _failures string, _errors string, _skipped string, _time string, "
-    f"testcase array<struct<{_CASE}>>, testsuite array<{_SUITE}>"
-)
+JUNIT = "_tests string, _failures string, _errors string, _skipped string, _time string, _broken string"
+JUNIT_CASE = "_classname string, _name string, failure array<struct<_message:string>>"
 COBERTURA = (
     "`_line-rate` string, `_branch-rate` string, `_lines-valid` string, `_lines-covered` string, "
     "packages struct<package:array<struct<_name:string,`_line-rate`:string>>>"

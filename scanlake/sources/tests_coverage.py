@@ -19,18 +19,21 @@ def _int(col: Column) -> Column:
     return F.coalesce(col.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def read_junit(df: DataFrame) -> DataFrame:
-    """Counters of the root element per file, and ``cases``: the test cases of suites down to ``SUITE_DEPTH`` levels."""
-    doc = df.withColumn("doc", _xml(schemas.JUNIT))
+#: What may hold text that looks like a tag but is none, and a whole test case (cases do not hold cases).
+_HIDDEN = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>"
+_CASE = r"""(?s)(<testcase(?=[\s/>])(?:[^<>"']++|"[^"]*+"|'[^']*+')*+(?:(?<=/)>|>.*?</testcase\s*>))"""
 
-    def inside(suites: Column, depth: int) -> Column:
-        def cases(s: Column) -> Column:
-            own = F.coalesce(s["testcase"], F.array())
-            return F.concat(own, inside(s["testsuite"], depth - 1)) if depth > 1 else own
 
-        return F.flatten(F.transform(F.coalesce(suites, F.array()), cases))
+def read_junit(df: DataFrame) -> DataFrame:
+    """Counters of the root element per file, and ``cases``: its test cases at any depth, in document order.
 
-    nested = inside(F.col("doc.testsuite"), schemas.SUITE_DEPTH)
+    Cases are cut out of the text by their own tags, so no schema has to tell how deep suites nest. A file that is no well-formed XML
+    has null counters and no cases.
+    """
+    doc = df.withColumn("doc", F.from_xml(F.col("content"), schemas.JUNIT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    whole = F.regexp_extract_all(F.regexp_replace("content", _HIDDEN, ""), F.lit(_CASE))
+    parsed = F.transform(whole, lambda text: F.from_xml(text, schemas.JUNIT_CASE, {"mode": "PERMISSIVE"}))
+    none = F.array().cast(f"array<struct<{schemas.JUNIT_CASE}>>")
     return doc.select(
         "scan_id",
         "file",
@@ -39,7 +42,7 @@ def read_junit(df: DataFrame) -> DataFrame:
         _int(F.col("doc._errors")).alias("errors"),
         _int(F.col("doc._skipped")).alias("skipped"),
         F.col("doc._time").try_cast("double").alias("time_s"),
-        F.concat(F.coalesce("doc.testcase", F.array()), nested).alias("cases"),
+        F.when(F.col("doc").isNotNull() & F.col("doc._broken").isNull(), F.coalesce(parsed, none)).otherwise(none).alias("cases"),
     )
 
 

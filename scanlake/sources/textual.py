@@ -72,40 +72,47 @@ def parse_agent_list(df: DataFrame) -> DataFrame:
     )
 
 
-def read_scan_summary(df: DataFrame) -> DataFrame:
-    """Pipeline summaries written earlier, re-read as a source."""
-    doc = df.withColumn("doc", F.from_json("content", schemas.SCAN_SUMMARY, {"mode": "PERMISSIVE"}))
-    t = "doc.totals."
+def scan_summary_fields(doc: Column) -> list[Column]:
+    """Fields of a parsed pipeline summary."""
     # Entries without a critical counter (secret detection) are not finding types.
-    types = F.map_filter("doc.findings_by_scan", lambda _, v: v["critical"].isNotNull())
-    return doc.select(
-        "scan_id",
-        F.coalesce("doc.gate_passed", F.lit(True)).alias("gate_passed"),
-        *[F.coalesce(t + level, F.lit(0)).alias(level) for level in _LEVELS],
+    types = F.map_filter(doc["findings_by_scan"], lambda _, v: v["critical"].isNotNull())
+    return [
+        F.coalesce(doc["gate_passed"], F.lit(True)).alias("gate_passed"),
+        *[F.coalesce(doc["totals"][level], F.lit(0)).alias(level) for level in _LEVELS],
         types.alias("findings_by_type"),
-        F.col("doc.sbom_component_count").alias("sbom_component_count"),
-        F.coalesce("doc.secrets_found", F.lit(0)).alias("secrets_found"),
-        F.col("doc.sonarqube_quality_gate").alias("quality_gate"),
-    )
-
-
-def read_unified_report(df: DataFrame) -> DataFrame:
-    """Local-scan reports written earlier, re-read as a source."""
-    doc = df.withColumn("doc", F.from_json("content", schemas.UNIFIED_REPORT, {"mode": "PERMISSIVE"}))
-    severity = F.col("doc.summary.severity_totals")
-    tool = F.try_element_at("doc.summary.tool_status", F.lit("sonar-scanner"))
-    return doc.select(
-        "scan_id",
-        F.coalesce(F.col("doc.summary.gate_verdict.status") == "PASS", F.lit(False)).alias("gate_passed"),
+        doc["sbom_component_count"].alias("sbom_component_count"),
+        F.coalesce(doc["secrets_found"], F.lit(0)).alias("secrets_found"),
+        doc["sonarqube_quality_gate"].alias("quality_gate"),
+    ]
+
+
+def unified_report_fields(doc: Column) -> list[Column]:
+    """Fields of a parsed local-scan report."""
+    severity = doc["summary"]["severity_totals"]
+    tool = F.try_element_at(doc["summary"]["tool_status"], F.lit("sonar-scanner"))
+    return [
+        F.coalesce(doc["summary"]["gate_verdict"]["status"] == "PASS", F.lit(False)).alias("gate_passed"),
         *[
             F.coalesce(F.try_element_at(severity, F.lit(level.upper())), F.lit(0)).alias(level)
             for level in _LEVELS
         ],
-        F.col("doc.findings_by_tool").alias("findings_by_type"),
+        doc["findings_by_tool"].alias("findings_by_type"),
         F.lit(None).cast("bigint").alias("sbom_component_count"),
         F.lit(None).cast("bigint").alias("secrets_found"),
         F.when(tool["available"], "AVAILABLE").when(tool.isNotNull(), "UNAVAILABLE").alias("quality_gate"),
-    )
+    ]
+
+
+def read_scan_summary(df: DataFrame) -> DataFrame:
+    """Pipeline summaries written earlier, re-read as a source."""
+    doc = df.withColumn("doc", F.from_json("content", schemas.SCAN_SUMMARY, {"mode": "PERMISSIVE"}))
+    return doc.select("scan_id", *scan_summary_fields(F.col("doc")))
+
+
+def read_unified_report(df: DataFrame) -> DataFrame:
+    """Local-scan reports written earlier, re-read as a source."""
+    doc = df.withColumn("doc", F.from_json("content", schemas.UNIFIED_REPORT, {"mode": "PERMISSIVE"}))
+    return doc.select("scan_id", *unified_report_fields(F.col("doc")))
 
 
 _LEVELS = ("critical", "high", "medium", "low", "unknown")
