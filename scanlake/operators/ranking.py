@@ -151,3 +151,18 @@ def primary_language(modules: DataFrame, projects: DataFrame, default: str = "py
     return projects.join(best, "project", "left").select(
         "project", F.coalesce("language", F.lit(default)).alias("language")
     )
+
+
+def scan_sessions(events: DataFrame, gap_seconds: int, span_seconds: float = 86_400.0) -> DataFrame:
+    """(user, start_us, end_us, scans): runs of a user's scans with less than ``gap_seconds`` between two of them.
+
+    ``events`` is (user, us, id) with ``us`` in microseconds. Gaps are looked at inside slices of time and across their ends, so a user
+    with most of the scans is spread over many tasks.
+    """
+    place = F.col("us") / 1_000_000
+    gaps = sliced_window(events, ["user"], ["us", "id"], place, span_seconds, previous={"before": "us"})
+    fresh = F.coalesce((F.col("us") - F.col("before") >= gap_seconds * 1_000_000).cast("bigint"), F.lit(1))
+    numbered = sliced_window(gaps.withColumn("fresh", fresh), ["user"], ["us", "id"], place, span_seconds, sums={"session": F.col("fresh")})
+    return numbered.where("session is not null").groupBy("user", "session").agg(
+        F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("scans")
+    ).drop("session")

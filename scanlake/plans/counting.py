@@ -10,6 +10,7 @@ from scanlake.operators.ranking import first_per_key
 from scanlake.plans import bindings as b
 from scanlake.plans import ingest
 from scanlake.plans.registry import query
+from scanlake.session import staged
 from scanlake.sources import components, lint, scanners, tests_coverage as tc
 
 COUNTS = ("critical", "high", "medium", "low", "unknown")
@@ -439,3 +440,31 @@ def metrics(spark, sf):
 def facets(spark, sf):
     rows = b.findings(spark, sf).select(normalize_severity("severity_raw").alias("severity"), F.col("kind").alias("type"))
     return totals.facet_counts(rows)
+
+
+@query(
+    "sbom_distinct_components",
+    "A8",
+    f"""with {b.COMPONENTS_SQL}, c as (select *, 'pkg:generic/' || name || '@' || version as purl from components)
+    select scan_id, count(*) as components, count(distinct purl) as distinct_components from c group by scan_id""",
+)
+def sbom_distinct(spark, sf):
+    rows = totals.distinct_components(components.read_sbom(b.sbom_files(spark, sf)))
+    return rows.select("scan_id", "components", "distinct_components")
+
+
+@query(
+    "sbom_distinct_windows",
+    "A8",
+    f"""with {b.COMPONENTS_SQL}, c as (select *, 'pkg:generic/' || name || '@' || version as purl, cast(substr(scan_id, 5) as bigint) % 16 as part16 from components)
+    select part16, count(distinct scan_id) as scans, count(distinct purl) as exact_components, 'true' as close from c group by 1""",
+)
+def sbom_windows(spark, sf):
+    """Sixteen groups of inventories merged from stored sketches, within five standard deviations of the exact count."""
+    found = components.read_sbom(b.sbom_files(spark, sf))
+    part = (F.substring("scan_id", 5, 20).cast("bigint") % 16).alias("part16")
+    sketches = staged(totals.distinct_components(found), "component-sketches")
+    merged = totals.merged_components(sketches.select(part, "sketch"), "part16")
+    exact = found.groupBy(part).agg(F.countDistinct("purl").alias("exact_components"))
+    close = F.abs(F.col("distinct_estimate") - F.col("exact_components")) <= F.col("exact_components") * (5 * 1.04 / 2 ** (totals.SKETCH_BITS / 2))
+    return merged.join(exact, "part16").select("part16", "scans", "exact_components", close.cast("string").alias("close"))

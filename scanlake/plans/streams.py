@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanlake import sinks, streaming
+from scanlake.operators import ranking
 from scanlake.operators.builds import MAX_AGENTS
 from scanlake.plans import bindings as b
 from scanlake.plans import content
@@ -144,3 +145,28 @@ def windowed(spark, sf):
 def sliding(spark, sf):
     rows = streaming.windowed_findings(finding_stream(spark, sf), shared_dir(spark, "sliding"), "1 hour", "30 minutes")
     return rows.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH:mm"))
+
+
+SESSIONS_SQL = f"""{b.EVENTS_SQL}, u as (select case when number % 3 = 0 then -1 else user_id end as person, ts, number from builds),
+gaps as (select *, case when ts - lag(ts) over w < interval '900 seconds' then 0 else 1 end as fresh from u window w as (partition by person order by ts, number)),
+numbered as (select *, sum(fresh) over (partition by person order by ts, number rows unbounded preceding) as session from gaps),
+sessions as (select person as "user", epoch_us(min(ts)) as start_us, epoch_us(max(ts)) as end_us, count(*) as scans, max(ts) as last from numbered group by person, session)"""
+
+
+def scans_of_users(events):
+    """A third of all scans belong to one user."""
+    return events.select(F.when(F.col("number") % 3 == 0, -1).otherwise(F.col("user_id")).cast("bigint").alias("user"), "ts", F.unix_micros("ts").alias("us"), F.col("number").alias("id"))
+
+
+@query("scan_sessions", "ST8", f'with {SESSIONS_SQL} select "user", start_us, end_us, scans from sessions')
+def sessions(spark, sf):
+    return ranking.scan_sessions(scans_of_users(b.events(spark, sf)), 900)
+
+
+@query(
+    "stream_scan_sessions",
+    "ST8",
+    f"""with {SESSIONS_SQL} select "user", start_us, end_us, scans from sessions where last + interval '900 seconds' <= (select max(ts) - interval '10 minutes' from builds)""",
+)
+def stream_sessions(spark, sf):
+    return streaming.scan_sessions(scans_of_users(event_stream(spark, sf)), shared_dir(spark, "sessions"), 900)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scanlake import sinks
 from scanlake.functions.severity import normalize_severity
+from scanlake.operators.dedupe import dedupe_findings
 from scanlake.operators import gates, inventory, joins, ranking, summaries, totals
 from scanlake.plans import bindings as b
 from scanlake.plans import counting, ingest, verdicts
@@ -446,18 +447,52 @@ def export_visible(spark, sf):
 @query(
     "write_finding_facts",
     "K6",
-    f"with {b.FINDINGS_SQL} select year(day)::bigint as year, kind, count(*) as n, count(distinct scan_id) as scans from findings group by all",
+    f"""with {b.FINDINGS_SQL} select strftime(day, '%Y-%m-%d') as day, kind, count(*) as n, count(distinct scan_id) as scans from findings group by all""",
 )
 def write_facts(spark, sf):
-    facts = b.findings(spark, sf).withColumn("day", F.date_trunc("year", "day").cast("date"))
     root = shared_dir(spark, "facts")
-    sinks.write_facts(facts, f"{root}/findings")
-    back = spark.read.parquet(f"{root}/findings")
-    return back.groupBy(F.year("day").cast("bigint").alias("year"), "kind").agg(
+    facts = b.findings(spark, sf)
+    sinks.write_facts(facts, f"{root}/findings", tasks=spark.sparkContext.defaultParallelism)
+    back = spark.read.schema(facts.schema).parquet(f"{root}/findings")
+    return back.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "kind").agg(
         F.count("*").alias("n"), F.countDistinct("scan_id").alias("scans")
     )
 
 
+def tool_reports(spark, sf):
+    """Findings of two scanners: the second one names those of the first kind by advisory, not by CVE."""
+    place = F.floor(F.col("ord") / 8).cast("bigint").cast("string")
+    own = b.findings(spark, sf).select("scan_id", "target", "package", F.lit("1.0").alias("installed"), F.concat(F.lit("CVE-"), place).alias("id"), "severity_raw", "tool", "kind", place.alias("place"))
+    second = own.where("kind = 'vuln'").withColumns({"id": F.concat(F.lit("GHSA-"), F.col("place")), "tool": F.lit("grype"), "severity_raw": F.lit("MEDIUM")})
+    return own.unionByName(second)
+
+
+def advisory_aliases(spark, sf):
+    """CVE and advisory of a number are the same; every second pair of numbers is tied by one more name."""
+    numbers = b.findings(spark, sf).select(F.floor(F.col("ord") / 8).cast("bigint").alias("k")).distinct()
+    name = lambda start, n: F.concat(F.lit(start), n.cast("string"))
+    k = F.col("k")
+    first = numbers.select(name("CVE-", k).alias("id"), name("GHSA-", k).alias("alias"))
+    tied = numbers.where(F.floor(k / 2) % 2 == 0).select(name("PYSEC-", F.floor(k / 2)).alias("id"), name("GHSA-", k).alias("alias"))
+    return first.unionByName(tied)
+
+
+@query(
+    "dedupe_findings",
+    "D5",
+    f"""with {b.FINDINGS_SQL}, names as (select distinct ord // 8 as k from findings),
+    identity as (select k, case when (k // 2) % 2 = 0 then min('CVE-' || k) over (partition by k // 2) else 'CVE-' || k end as identity from names),
+    reports as (
+      select scan_id, target, package, ord // 8 as k, case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 when 'LOW' then 3 else 4 end as rank, tool from leveled
+      union all select scan_id, target, package, ord // 8, 2, 'grype' from leveled where kind = 'vuln')
+    select scan_id, target, package, identity, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'UNKNOWN'][min(rank) + 1] as severity, string_agg(distinct tool, ',' order by tool) as tools, count(*) as reports
+    from reports join identity using (k) group by 1, 2, 3, 4""",
+)
+def dedupe(spark, sf):
+    rows = dedupe_findings(tool_reports(spark, sf), advisory_aliases(spark, sf))
+    return rows.select("scan_id", "target", "package", "identity", "severity", F.array_join("tools", ",").alias("tools"), "reports")
+
+
 @query(
     "supported_adapters",
     "D4",

@@ -153,3 +153,11 @@ def windowed_findings(findings: DataFrame, root: str, length: str = "1 hour", sl
         findings.withWatermark("ts", delay).groupBy(window.alias("w"), "severity").agg(F.count("*").alias("n"))
     )
     return run_append(counts.select(F.col("w.start").alias("bucket"), "severity", "n"), root)
+
+
+def scan_sessions(events: DataFrame, root: str, gap_seconds: int, delay: str = "10 minutes") -> DataFrame:
+    """(user, start_us, end_us, scans): sessions of (user, ts) that ended before the watermark; the twin of ``ranking.scan_sessions``."""
+    sessions = events.withWatermark("ts", delay).groupBy("user", F.session_window("ts", f"{gap_seconds} seconds").alias("life")).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("scans")
+    )
+    return run_append(sessions.select("user", F.unix_micros("first").alias("start_us"), F.unix_micros("last").alias("end_us"), "scans"), root)
