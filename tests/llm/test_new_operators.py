@@ -1,0 +1,206 @@
+"""Resampling, divergence and id files against brute force, and on odd rows; long and short texts in passes of their own."""
+
+import hashlib
+import math
+import random
+import re
+import time
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from scanlake.llm import divergence, idfiles, licences, pii, probminhash, queries, radix, resampling
+from scanlake.llm.words import read, shingles, words
+from scanlake.session import shared_dir
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, place int, term string, block int, row int, hash int, frame int, key0 int"
+
+
+def fold(text):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(text))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in all columns, empty, long and repeated texts and rows, ids that repeat, columns with names the operators use."""
+    r = random.Random(3)
+    prose = " ".join(r.choice("alpha Beta gamma délta epsilon 7zeta eta-theta iota's kappa".split()) for _ in range(60))
+    rows = [(1, prose), (2, prose), (3, prose + " end"), (3, prose), (3, prose), (4, ""), (5, None), (None, prose), (None, "one"), (6, "x" * 200_000 + " y " * 50_000), (7, "\x01 <|endoftext|> é é İ 12.5 'sun's")]
+    rows = [(i, t, None if k % 4 == 3 else ("en", "", "fr")[k % 3], None if k == 5 else f"s{k % 5}", None, 1, "q", 2, 3, 4, 5, 6) for k, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+def resampled(docs, targets, least=20):
+    s, t = np.zeros(10_000), np.zeros(10_000)
+    bucket = lambda text: [zlib.crc32(w.encode()) % 10_000 for w in words_of(text)]
+    for _, text in docs:
+        np.add.at(s, bucket(text), 1)
+    for text in targets:
+        np.add.at(t, bucket(text), 1)
+    gain = [math.floor(1000 * math.log((t[k] + 1) * (s.sum() + 10_000) / ((s[k] + 1) * (t.sum() + 10_000)))) for k in range(10_000)]
+    rows = []
+    for i, text in docs:
+        own = bucket(text)
+        weight = sum(gain[k] for k in own) // len(own) if own else 0
+        h = int(hashlib.sha256(f"2024:{'null' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append([i, len(own), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    able = sorted((x for x in rows if x[1] >= least), key=lambda x: (-x[3], x[0] is None, x[0] or 0, x[1]))
+    for k, x in enumerate(able[: 10 * len(able) // 100]):
+        x[4] = k + 1
+    return sorted(map(tuple, rows), key=str)
+
+
+def test_resampling(spark, odd, sf):
+    got = sorted((tuple(r) for r in queries.op11_resampling(spark, sf).collect()), key=str)
+    docs = [tuple(r) for r in read(spark, sf, "documents").select("doc_id", "text").collect()]
+    targets = [r["text"] for r in read(spark, sf, "benchmark").collect()]
+    assert got == resampled(docs, targets)
+    target = spark.createDataFrame([("alpha beta",), (None,)], "text string")
+    many = odd
+    for k in range(3):
+        many = many.unionByName(many)
+    rows = [tuple(r) for r in many.select("doc_id", "text").collect()]
+    assert sorted((tuple(r) for r in resampling.resample(many, target).collect()), key=str) == resampled(rows, ["alpha beta"])
+    assert resampling.resample(odd.where("false"), target).count() == 0
+    assert {r["weight"] for r in resampling.resample(odd.where("doc_id = 4"), target.where("false")).collect()} == {0}
+
+
+def test_runs_of_words_are_hashed_as_zlib_does():
+    r = random.Random(1)
+    texts = ["".join(r.choice("aZb 9é.日\x7f-") for _ in range(r.randint(0, 60))) for _ in range(300)] + ["", "x" * 500 + " a", "é" * 40, None]
+    doc, bucket, _ = resampling.features(pa.array(texts), 3)
+    for k, text in enumerate(texts):
+        w = words_of(text)
+        assert sorted(bucket[doc == k].tolist()) == sorted(zlib.crc32(" ".join(w[i : i + n]).encode()) % 10_000 for n in (1, 2, 3) for i in range(len(w) - n + 1))
+
+
+def test_radix_sort(spark):
+    r = random.Random(2)
+    rows = [(r.choice([None, -5, 0, 3, 2**62, -(2**63), 2**63 - 1, 7]), r.choice([None, 1, 2]), k) for k in range(3000)]
+    names = ["block", "digit", "id"]
+    df = spark.createDataFrame(rows, "block long, digit int, id long").repartition(5)
+    for keys in ([("block", True), ("digit", False), ("id", False)], [("digit", True), ("id", True)], [("id", False)]):
+        at = lambda row: tuple((row[names.index(n)] is None, 0 if row[names.index(n)] is None else (-1 if down else 1) * row[names.index(n)]) for n, down in keys)  # noqa: E731, B023
+        got = sorted((x["p"], tuple(x)[:3]) for x in radix.ranked(df, keys, "p").collect())
+        assert [p for p, _ in got] == list(range(3000)) and [x for _, x in got] == sorted(rows, key=at)
+    same = radix.ranked(spark.createDataFrame([(1,)] * 5, "a int"), [("a", True)])
+    assert [x["place"] for x in same.orderBy("place").collect()] == [0, 1, 2, 3, 4]
+    assert radix.ranked(spark.createDataFrame([], "a int"), [("a", True)]).count() == 0
+
+
+def audited(docs, least, top):
+    from collections import Counter, defaultdict
+
+    own, held = defaultdict(Counter), Counter()
+    for text, lang, source in docs:
+        found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", fold(text))
+        own[lang or "", source or ""].update(found)
+        held.update((lang or "", w) for w in set(found))
+    out = []
+    for lang in {k[0] for k in own}:
+        kept = sorted(w for (g, w), n in held.items() if g == lang and n >= least)
+        groups = {s: own[g, s] for g, s in own if g == lang}
+        whole = Counter()
+        for c in groups.values():
+            whole.update(c)
+
+        def p(c):
+            n = sum(c[w] for w in kept)
+            return {w: 1 + 10**9 * (c[w] + 5) // (n + 5 * len(kept)) for w in kept}  # noqa: B023
+
+        shares, q = {s: p(c) for s, c in groups.items()}, p(whole)
+        for s, own_p in shares.items():
+            pairs = [(sum(abs(own_p[w] - shares[o][w]) for w in kept), o) for o in shares if o != s]
+            out += [(lang, s, "pair", o, v, k + 1) for k, (v, o) in enumerate(sorted(pairs, key=lambda x: (-x[0], x[1].encode())))]
+            lifts = [(own_p[w] - q[w], w) for w in kept if groups[s][w] and own_p[w] > q[w]]
+            out += [(lang, s, "term", w, v, k + 1) for k, (v, w) in enumerate(sorted(lifts, key=lambda x: (-x[0], x[1].encode()))[:top])]
+    return sorted(out)
+
+
+def test_divergence(spark, odd, sf, monkeypatch):
+    docs = read(spark, sf, "documents")
+    rows = [tuple(r) for r in docs.select("text", "lang", "source").collect()]
+    columns = ["lang", "source", "part", "item", "value", "rank"]
+    assert sorted(tuple(r) for r in queries.op12_divergence(spark, sf).select(columns).collect()) == audited(rows, 30, 50)
+    monkeypatch.setattr(divergence, "GROUPS", 3)  # many cells: 7 group blocks, and term blocks of 20
+    monkeypatch.setattr(divergence, "TERMS", 20)
+    assert sorted(tuple(r) for r in divergence.audit(docs, 10, 5, 7).select(columns).collect()) == audited(rows, 10, 7)
+    rows = [tuple(r) for r in odd.select("text", "lang", "source").collect()]
+    assert sorted(tuple(r) for r in divergence.audit(odd, 2).select(columns).collect()) == audited(rows, 2, 50)
+    nothing = divergence.audit(odd, 1000)
+    assert {r["value"] for r in nothing.collect()} == {0} and nothing.where("part = 'term'").count() == 0
+    assert divergence.audit(odd.where("false")).count() == 0
+
+
+def library_ids(path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def test_id_files(spark, odd, sf):
+    path = queries.vocabulary("word_bpe_49k.json")
+    ids = library_ids(path)
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    docs, at, want = sorted(tuple(r) for r in read(spark, sf, "documents").select("doc_id", "text").collect()), 0, []
+    for i, text in docs:
+        own = ids(text)
+        want.append((i, at, len(own), crc(own)))
+        at += len(own)
+    assert sorted(tuple(r) for r in queries.op13_idfiles(spark, sf).collect()) == want
+    many = odd.unionByName(odd).unionByName(odd)
+    out = shared_dir(spark, "ids")
+    idfiles.write(many, path, out, file_bytes=500)
+    got = sorted((tuple(r) for r in idfiles.digests(spark, out).collect()), key=lambda r: r[1])
+    key = lambda i: -1 if i is None else i
+    assert [key(r[0]) for r in got] == sorted(key(r["doc_id"]) for r in many.collect())
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got]).tolist()[:-1]]
+    assert sorted((key(r[0]), r[2], r[3]) for r in got) == sorted((key(r["doc_id"]), len(ids(r["text"])), crc(ids(r["text"]))) for r in many.collect())
+    assert {r["file"] for r in idfiles.read(spark, out).select("file").distinct().collect()} != {0}
+    assert sorted(r["ids"] for r in idfiles.fetch(spark, out, [2, 7, 99]).collect()) == sorted([ids(r["text"]) for r in many.where("doc_id in (2, 7)").collect()])
+    empty = shared_dir(spark, "ids")
+    idfiles.write(odd.where("false"), path, empty)
+    assert idfiles.digests(spark, empty).count() == 0
+
+
+def test_units_are_encoded_as_whole_texts_are():
+    path = queries.vocabulary("word_bpe_49k.json")
+    ids, r, model = library_ids(path), random.Random(1), idfiles.Encoder(path)
+    parts = ["a", "Z", "b", " ", "  ", "9", "12", "é", "é", "́", "日", "\x7f", "'s", "'", "\n", "\t", "\xa0", " ", "-", "<|endoftext|>", "<|ENDOFTEXT|>", "İ", "ß", "\x1c", "\x85", "​", "ﬁ", "²", "Ⅳ", "(", "://"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(5000)]
+    for _ in range(2):  # the second time from memory
+        coded, bounds = model.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert coded[bounds[k] : bounds[k + 1]].tolist() + [2] == ids(text), (text,)
+
+
+def test_short_texts_in_passes_of_their_own(spark):
+    alone = lambda text: shingles(words(pa.array([text])), 5)[1].tolist()
+    for n in range(8):
+        text = " ".join(f"w{k}" for k in range(n))
+        doc, value = shingles(words(pa.array([text, "and a longer text of some more words"])), 5)
+        assert value[doc == 0].tolist() == alone(text) and len(alone(text)) == (0 if not n else max(1, n - 4))
+    long = "x" * 1_100_000
+    rows = [(1, long), (2, "ok thanks"), (3, long), (4, "ok thanks"), (5, "hello there a.b@c.de")]
+    found = probminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5}
+
+
+def test_long_texts_take_linear_time():
+    n = 1_000_000
+    began = time.time()
+    for text in ("1" * n, "a" * n + "@", "1." * (n // 2), "a@" * (n // 2), "+1" + "(" * n, "a." * (n // 2) + "@"):
+        pii.base_spans(text)
+    assert time.time() - began < 30
+    scanner = licences.Scanner(licences.TEMPLATES, licences.PHRASES)
+    notices = " x y z ".join(["this work is licensed under the MIT License"] * 50_000)
+    began = time.time()
+    ((_, _, spans),) = scanner.scan(pa.array([notices]))
+    assert len(spans) == 50_000 and time.time() - began < 60
