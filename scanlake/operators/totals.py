@@ -220,19 +220,25 @@ def check_tally(counts: DataFrame) -> DataFrame:
 def report_sections(facts: DataFrame, coverage_threshold: float = 70.0) -> DataFrame:
     """One row per scan and report section; a null counter means the scan has no such report.
 
-    ``any_error`` of the facts, if there, fails the unit tests also where a counting policy leaves errors out of its sums.
+    ``any_error`` of the facts, if there, fails the unit tests also where a counting policy leaves errors out of its sums. Three more
+    columns are optional: ``go_failed`` (null without Go tests), which decides over the unit tests as the report read last;
+    ``coverage_file`` (a Go or LCOV file is there, but gives no percentage) makes the coverage AVAILABLE; ``local_analysis`` stands in
+    for a quality gate that is missing.
     """
     c = F.col
-    erred = F.coalesce(c("any_error"), F.lit(False)) if "any_error" in facts.columns else F.lit(False)
+    optional = lambda name, kind: c(name) if name in facts.columns else F.lit(None).cast(kind)
+    erred = F.coalesce(optional("any_error", "boolean"), F.lit(False))
+    go, file, local = optional("go_failed", "bigint"), optional("coverage_file", "boolean"), optional("local_analysis", "boolean")
     skipped = F.lit("SKIPPED")
 
     def verdict(present: Column, good: Column) -> Column:
         return F.when(~present, skipped).when(good, F.lit("PASS")).otherwise(F.lit("FAIL"))
 
     statuses = {
-        "unit_tests": verdict(c("test_total").isNotNull(), (c("test_failed") == 0) & (c("test_errors") == 0) & ~erred),
-        "coverage": verdict(c("coverage_pct").isNotNull(), c("coverage_pct") >= coverage_threshold),
-        "sonarqube": F.coalesce(c("quality_gate"), skipped),
+        "unit_tests": F.when(go == 0, F.lit("PASS")).when(go > 0, F.lit("FAIL"))
+        .otherwise(verdict(c("test_total").isNotNull(), (c("test_failed") == 0) & (c("test_errors") == 0) & ~erred)),
+        "coverage": F.when(file, F.lit("AVAILABLE")).otherwise(verdict(c("coverage_pct").isNotNull(), c("coverage_pct") >= coverage_threshold)),
+        "sonarqube": F.coalesce(c("quality_gate"), F.when(local, F.lit("LOCAL_ANALYSIS")), skipped),
         "trivy": verdict(c("critical").isNotNull(), c("critical") == 0),
         "secrets": verdict(c("secrets").isNotNull(), c("secrets") == 0),
         "sbom": F.when(c("sbom_components") > 0, F.lit("GENERATED")).otherwise(skipped),

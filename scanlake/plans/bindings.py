@@ -19,6 +19,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # --- B1: findings from orders ------------------------------------------------------------------
 
+# Report types, their file names and the tools that write them.
 REPORT_BY_QUARTER = ("sast", "sca", "image", "k8s")
 FILE_BY_REPORT = {
     "sast": "trivy-fs-scan.json", "sca": "trivy-sca.json", "image": "trivy-image-scan.json",

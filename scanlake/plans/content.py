@@ -15,14 +15,14 @@ from scanlake.plans.registry import query
     "valid_scan_id",
     "P4",
     """select doc_id, case when regexp_matches(source || '-' || lang || '-' || doc_id, '^[a-zA-Z0-9_\\-]{3,80}$') then 1 else 0 end as plain,
-      case when regexp_matches(substr(text, 1, 12), '^[a-zA-Z0-9_\\-]{3,80}$') then 1 else 0 end as from_text from documents""",
+      len(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[a-zA-Z0-9_\\-]{3,80}$'))) as words from documents""",
 )
 def valid_scan_id(spark, sf):
     docs = b.table(spark, sf, "documents")
     plain = F.concat_ws("-", "source", "lang", F.col("doc_id").cast("string"))
     return docs.select(
         "doc_id", text.valid_scan_id(plain).cast("int").alias("plain"),
-        text.valid_scan_id(text.cut("text", 12)).cast("int").alias("from_text"),
+        F.size(F.filter(F.split("text", " ", -1), lambda word: text.valid_scan_id(word))).cast("bigint").alias("words"),
     )
 
 
@@ -185,18 +185,33 @@ RULE_SETS = {
 }
 
 
-def _rules_sql(kind: str, table: tuple[Rule, ...]) -> str:
-    parts = []
-    for rule in table:
-        body = "string_split(content, chr(10))[1]" if rule.first_line else "content"
-        tests = [f"kind = '{kind}'"]
-        if rule.present:
-            tests.append(f"regexp_matches({body}, '{rule.present}')")
-        if rule.absent:
-            tests.append(f"not regexp_matches({body}, '{rule.absent}')")
-        message = rule.message.replace("'", "''")
-        parts.append(f"select doc_id, kind, '{rule.severity}' as severity, '{message}' as message from kind_files where {' and '.join(tests)}")
-    return "\n    union all ".join(parts)
+# The check SQL of the rules is written out by hand, not made from the tables it checks.
+HITS_SQL = """
+dockerfile_hits as (
+  select doc_id, kind, 'WARN' as severity, 'Uses '':latest'' tag' as message from kind_files where kind = 'dockerfile' and len(list_filter(string_split(content, chr(10)), lambda l: starts_with(l, 'FROM') and contains(l, ':latest'))) > 0
+  union all select doc_id, kind, 'WARN', 'No USER instruction' from kind_files where kind = 'dockerfile' and not contains(content, 'USER')
+  union all select doc_id, kind, 'INFO', 'Uses ADD' from kind_files where kind = 'dockerfile' and contains(content, 'ADD ')
+  union all select doc_id, kind, 'INFO', 'No HEALTHCHECK instruction' from kind_files where kind = 'dockerfile' and not contains(content, 'HEALTHCHECK')),
+shell_hits as (
+  select doc_id, kind, 'WARN' as severity, 'Missing shebang line' as message from kind_files where kind = 'shell' and not starts_with(content, '#!')
+  union all select doc_id, kind, 'WARN', 'Uses eval' from kind_files where kind = 'shell' and contains(content, 'eval ')),
+manifest_hits as (
+  select doc_id, kind, 'CRITICAL' as severity, 'Running in privileged mode' as message from kind_files where kind = 'manifest' and contains(content, 'privileged: true')
+  union all select doc_id, kind, 'HIGH', 'Running as root user' from kind_files where kind = 'manifest' and (contains(content, 'runAsRoot') or contains(content, 'runAsUser: 0'))
+  union all select doc_id, kind, 'MEDIUM', 'No resource limits defined' from kind_files where kind = 'manifest' and not contains(content, 'resources:')
+  union all select doc_id, kind, 'LOW', 'readOnlyRootFilesystem not set' from kind_files where kind = 'manifest' and not contains(content, 'readOnlyRootFilesystem')
+  union all select doc_id, kind, 'HIGH', 'Host namespace sharing enabled' from kind_files where kind = 'manifest' and (contains(content, 'hostNetwork: true') or contains(content, 'hostPID: true') or contains(content, 'hostIPC: true'))
+  union all select doc_id, kind, 'MEDIUM', 'No securityContext defined' from kind_files where kind = 'manifest' and not contains(content, 'securityContext:')
+  union all select doc_id, kind, 'WARN', 'Possible credential in non-Secret resource' from kind_files where kind = 'manifest' and not contains(content, 'kind: Secret')
+    and len(list_filter(string_split(lower(content), chr(10)), lambda l: regexp_matches(l, '(password|secret).*:'))) > 0),
+compose_hits as (
+  select doc_id, kind, 'CRITICAL' as severity, 'Privileged containers detected' as message from kind_files where kind = 'compose' and contains(content, 'privileged:')
+  union all select doc_id, kind, 'HIGH', 'Host network mode used' from kind_files where kind = 'compose' and len(list_filter(string_split(content, chr(10)), lambda l: regexp_matches(l, 'network_mode.*host'))) > 0
+  union all select doc_id, kind, 'WARN', 'Hardcoded credentials detected in compose file' from kind_files where kind = 'compose' and len(list_filter(string_split(lower(content), chr(10)), lambda l: regexp_matches(l, '(password|secret).*:'))) > 0
+  union all select doc_id, kind, 'INFO', 'No read-only filesystem configuration' from kind_files where kind = 'compose' and not contains(content, 'read_only:')
+  union all select doc_id, kind, 'INFO', 'No memory limits set' from kind_files where kind = 'compose' and not contains(content, 'mem_limit') and not contains(content, 'memory:')
+  union all select doc_id, kind, 'INFO', 'No healthcheck defined' from kind_files where kind = 'compose' and not contains(content, 'healthcheck:'))
+"""
 
 
 KIND_FILES_SQL = """kind_files as (
@@ -210,7 +225,7 @@ KIND_FILES_SQL = """kind_files as (
 
 for _kind, _id in (("dockerfile", "T6"), ("shell", "T7"), ("manifest", "T8"), ("compose", "T9")):
 
-    @query(f"{_kind}_rules", f"{_id} J11", f"with {KIND_FILES_SQL} {_rules_sql(_kind, RULE_SETS[_kind])}")
+    @query(f"{_kind}_rules", f"{_id} J11", f"with {KIND_FILES_SQL}, {HITS_SQL} select * from {_kind}_hits")
     def rule_set(spark, sf, kind=_kind):
         files = kind_files(spark, sf).where(F.col("kind") == kind)
         return rules.apply_rule_sets(files, {kind: RULE_SETS[kind]}, keep=("doc_id",))
@@ -219,7 +234,8 @@ for _kind, _id in (("dockerfile", "T6"), ("shell", "T7"), ("manifest", "T8"), ("
 @query(
     "all_rule_sets",
     "J11 T6 T7 T8 T9",
-    f"with {KIND_FILES_SQL}, hits as ({' union all '.join(_rules_sql(k, r) for k, r in RULE_SETS.items())}) select kind, severity, count(*) as n from hits group by kind, severity",
+    f"""with {KIND_FILES_SQL}, {HITS_SQL} select kind, severity, count(*) as n
+    from (select * from dockerfile_hits union all select * from shell_hits union all select * from manifest_hits union all select * from compose_hits) group by kind, severity""",
 )
 def all_rule_sets(spark, sf):
     hits = rules.apply_rule_sets(kind_files(spark, sf), RULE_SETS, keep=("doc_id",))
@@ -232,8 +248,8 @@ _EXCLUDED_SQL = "regexp_matches('./' || path || ':' || line, '{}node_modules|.gi
 @query(
     "credential_patterns",
     "T1",
-    f"""with {b.FILES_SQL}, w as (select unnest({list(rules.CREDENTIAL_WORDS)}) as pattern)
-    select project, doc_id, path, line_no, pattern, line from lines, w where regexp_matches(path, '{rules.CREDENTIAL_FILES}') and contains(lower(line), pattern)
+    f"""with {b.FILES_SQL}, w as (select unnest(['password', 'secret', 'token', 'api_key', 'private_key', 'passwd', 'credential', 'auth_token', 'access_key', 'secret_key']) as pattern)
+    select project, doc_id, path, line_no, pattern, line from lines, w where string_split(path, '.')[-1] in ('py', 'ts', 'tsx', 'js', 'yml', 'yaml', 'env', 'json', 'sh', 'sql', 'md') and contains(path, '.') and contains(lower(line), pattern)
       and not {_EXCLUDED_SQL.format('(?i)')}""",
 )
 def credential_patterns(spark, sf):
@@ -346,8 +362,26 @@ def makefile_targets(spark, sf):
 
 
 def _phase_sql() -> str:
-    cases = " ".join(f"when regexp_matches(text, '(?i){pattern}') then '{phase}'" for pattern, phase in rules.PHASE_RULES)
-    return f"case {cases} end"
+    """By hand, over the lower-cased lines of a text (a pattern with a gap has to lie within one line)."""
+    any_of = lambda *words: "(" + " or ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+    in_line = lambda pattern: f"len(list_filter(string_split(lower(text), chr(10)), lambda l: regexp_matches(l, '{pattern}'))) > 0"
+    return f"""case
+      when {any_of('checking out', 'clone', 'git')} then 'Checking out source code'
+      when {any_of('unit test', 'pytest', 'jest', 'go test', 'mvn test', 'dotnet test')} then 'Running unit tests'
+      when {any_of('no tests folder detected')} then 'No test folder detected'
+      when {any_of('lint', 'flake8', 'checkstyle', 'golangci')} then 'Running lint & code quality'
+      when {any_of('cyclonedx', 'sbom')} then 'Generating SBOM'
+      when {any_of('sonarqube', 'sonar-scanner')} then 'Running SonarQube analysis'
+      when {any_of('trivy', 'vulnerability scan')} then 'Running vulnerability scan (Trivy)'
+      when {any_of('grype', 'sca')} then 'Running SCA scan (Grype)'
+      when {any_of('secret', 'gitleaks')} then 'Running secret detection'
+      when {any_of('hadolint', 'dockerfile')} then 'Linting Dockerfiles (Hadolint)'
+      when {any_of('shellcheck')} then 'Checking shell scripts (ShellCheck)'
+      when {any_of('kubesec')} or {in_line('kubernetes.*audit')} or {in_line('k8s.*scan')} then 'K8s manifest security audit'
+      when {in_line('(docker|podman|container).*build')} then 'Building container image'
+      when {in_line('deploy.*k8s')} or {in_line('kubectl.*apply')} then 'Deploying to Kubernetes'
+      when {in_line('generat.*report')} or {in_line('html.*report')} or {any_of('consolidat')} then 'Generating reports'
+      when {any_of('archiv', 'artifact')} then 'Archiving artifacts' end"""
 
 
 PHASE_SQL = f"{b.CHUNKS_SQL}, phases as (select build, \"offset\", {_phase_sql()} as phase from chunks)"

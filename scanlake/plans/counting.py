@@ -11,7 +11,7 @@ from scanlake.plans import bindings as b
 from scanlake.plans import ingest
 from scanlake.plans.registry import query
 from scanlake.session import staged
-from scanlake.sources import components, lint, scanners, tests_coverage as tc
+from scanlake.sources import components, lint, quality, scanners, tests_coverage as tc
 
 COUNTS = ("critical", "high", "medium", "low", "unknown")
 
@@ -125,15 +125,15 @@ for _policy, _sql in POLICY_SQL.items():
 
 
 def lint_low(spark, sf):
-    """Linter entries per scan from JSON lists: one tool for the LOW orders, the other for the MEDIUM ones."""
+    """Linter entries per scan from JSON lists: one tool for the LOW orders, the other for all other priorities."""
     item = F.struct(F.lit("info").alias("level"))
     tool = F.when(F.col("severity_raw") == "LOW", "shellcheck").otherwise("hadolint")
-    return lint.lint_as_low(b.lint_files(spark, sf, item, where="severity_raw in ('LOW', 'MEDIUM')", extra={"tool": tool}))
+    return lint.lint_as_low(b.lint_files(spark, sf, item, extra={"tool": tool}))
 
 
 LOW_SQL = """low_entries as (
   select scan_id, case severity_raw when 'LOW' then 'shellcheck' else 'hadolint' end as report, count(*) as low
-  from findings where severity_raw in ('LOW', 'MEDIUM') group by all)
+  from findings group by all)
 """
 
 
@@ -358,10 +358,25 @@ def section_facts(spark, sf):
         "coverage": totals.coverage_overall(adapter_coverage(spark, sf)),
         "lint": lint_low(spark, sf).groupBy("scan_id").agg(F.sum("low").alias("lint_issues")),
     }
-    facts = joins.scan_summary(scans, parts)
-    return facts.withColumn("quality_gate", F.lit(None).cast("string")).withColumn(
-        "sbom_components", F.col("lint_issues") - 3
-    )
+    return joins.scan_summary(scans, parts)
+
+
+def report_facts(spark, sf):
+    """``section_facts`` and what the other reports of a scan say: Go tests, coverage files, quality gate or local analysis, inventory."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    scan = F.concat(F.lit("scan-"), k.cast("string")).alias("scan_id")
+    customers = b.table(spark, sf, "customer")
+    status = F.when(n % 3 == 0, "error").when(n % 3 == 1, "OK").otherwise("")
+    gates_ = customers.where("c_custkey % 2 = 0").select(scan, F.lit("quality-gate-status.json").alias("file"), F.to_json(F.struct(F.struct(status.alias("status")).alias("projectStatus"))).alias("content"))
+    kinds = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda x: F.struct(x.cast("string").alias("type")))
+    boms = customers.where("c_custkey % 7 < 5").select(scan, F.lit("sbom.json").alias("file"), F.to_json(F.struct(kinds.alias("components"))).alias("content"))
+    parts = {
+        "go": ingest.read_go_tests(spark, sf).select("scan_id", F.col("failed").alias("go_failed")),
+        "files": customers.select(scan, (k % 11 == 0).alias("coverage_file"), (k % 3 == 0).alias("local_analysis")),
+        "gate": quality.read_quality_gate(gates_).select("scan_id", F.col("status").alias("quality_gate")),
+        "sbom": components.sbom_component_count(boms).select("scan_id", F.col("components").alias("sbom_components")),
+    }
+    return joins.scan_summary(section_facts(spark, sf), parts)
 
 
 FACTS_SQL = f"""{b.FINDINGS_SQL}, {ADAPTER_COVERAGE_SQL}, {LOW_SQL},
@@ -378,20 +393,28 @@ facts as (
 """
 
 
+REPORT_SECTIONS_SQL = f"""{FACTS_SQL},
+go as (select 'scan-' || json_extract_string(props, '$.k') as scan_id, count(*) filter (event_type = 'error') as go_failed from events group by 1),
+told as (
+  select f.*, go_failed, c_custkey as k, c_nationkey as n from facts f join customer on f.scan_id = 'scan-' || c_custkey left join go on go.scan_id = f.scan_id),
+report_sections as (
+  select scan_id, 'unit_tests' as section, case when go_failed = 0 then 'PASS' when go_failed > 0 then 'FAIL' when test_failed is null then 'SKIPPED' when test_failed = 0 and test_errors = 0 then 'PASS' else 'FAIL' end as status from told
+  union all select scan_id, 'coverage', case when k % 11 = 0 then 'AVAILABLE' when coverage_pct is null then 'SKIPPED' when coverage_pct >= 50 then 'PASS' else 'FAIL' end from told
+  union all select scan_id, 'sonarqube', case when k % 2 = 0 and n % 3 = 0 then 'ERROR' when k % 2 = 0 and n % 3 = 1 then 'OK' when k % 3 = 0 then 'LOCAL_ANALYSIS' else 'SKIPPED' end from told
+  union all select scan_id, 'trivy', case when critical is null then 'SKIPPED' when critical = 0 then 'PASS' else 'FAIL' end from told
+  union all select scan_id, 'secrets', case when secrets is null then 'SKIPPED' when secrets = 0 then 'PASS' else 'FAIL' end from told
+  union all select scan_id, 'sbom', case when k % 7 < 5 and n > 0 then 'GENERATED' else 'SKIPPED' end from told
+  union all select scan_id, 'other', case when lint_issues is null then 'SKIPPED' else 'SCANNED' end from told)
+"""
+
+
 @query(
     "report_sections",
     "A19",
-    f"""with {FACTS_SQL}
-    select scan_id, 'unit_tests' as section, case when test_failed is null then 'SKIPPED' when test_failed = 0 and test_errors = 0 then 'PASS' else 'FAIL' end as status from facts
-    union all select scan_id, 'coverage', case when coverage_pct is null then 'SKIPPED' when coverage_pct >= 50 then 'PASS' else 'FAIL' end from facts
-    union all select scan_id, 'sonarqube', 'SKIPPED' from facts
-    union all select scan_id, 'trivy', case when critical is null then 'SKIPPED' when critical = 0 then 'PASS' else 'FAIL' end from facts
-    union all select scan_id, 'secrets', case when secrets is null then 'SKIPPED' when secrets = 0 then 'PASS' else 'FAIL' end from facts
-    union all select scan_id, 'sbom', case when lint_issues > 3 then 'GENERATED' else 'SKIPPED' end from facts
-    union all select scan_id, 'other', case when lint_issues is null then 'SKIPPED' else 'SCANNED' end from facts""",
+    f"""with {REPORT_SECTIONS_SQL} select * from report_sections""",
 )
 def sections(spark, sf):
-    return totals.report_sections(section_facts(spark, sf), coverage_threshold=50.0)
+    return totals.report_sections(report_facts(spark, sf), coverage_threshold=50.0)
 
 
 @query(
@@ -414,16 +437,16 @@ def packages(spark, sf):
     "A21",
     f"""with {b.FINDINGS_SQL}, {b.COVERAGE_SQL}, m as (
       select scan_id, 'bandit_total' as metric, count(*)::double as value from findings group by scan_id
-      union all select scan_id, 'coverage_pct', max({ingest.RATE_SQL}) from counts where adapter = 'A' group by scan_id
+      union all select scan_id, 'coverage_pct', min({ingest.RATE_SQL}) from counts group by scan_id
       union all select 'scan-' || json_extract_string(props, '$.k'), 'eslint_errors', sum(trunc(value % 7))::double from events group by 1)
     select scan_id, string_agg(metric || '=' || format('{{:.1f}}', value), ',' order by metric) as metrics from m group by scan_id""",
 )
 def metrics(spark, sf):
-    cob = tc.read_cobertura(ingest.cobertura_files(spark, sf)).where("file = 'A.report'")
+    cob = tc.read_cobertura(ingest.cobertura_files(spark, sf)).groupBy("scan_id").agg(F.min("line_pct").alias("value"))
     tables = {
         "bandit_total": lint.read_bandit(ingest.bandit_files(spark, sf)).withColumnRenamed("total", "value"),
         "eslint_errors": lint.read_eslint(ingest.eslint_files(spark, sf)).withColumnRenamed("errors", "value"),
-        "coverage_pct": cob.select("scan_id", F.col("line_pct").alias("value")),
+        "coverage_pct": cob,
     }
     rows = totals.quality_metrics(tables)
     shown = F.transform(F.sort_array(F.map_entries("metrics")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.1f", e["value"])))

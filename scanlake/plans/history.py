@@ -8,6 +8,7 @@ from scanlake.functions import timing
 from scanlake.operators import builds, joins, ranking
 from scanlake.plans import bindings as b
 from scanlake.plans.registry import query
+from scanlake.session import staged
 
 
 @query(
@@ -75,7 +76,8 @@ def age(spark, sf):
     select p.scan_id, p.pipeline, p.number, cast(building as varchar) as building, result, duration_ms, epoch_us(ts) // 1000 as timestamp_ms from p join builds on builds.number = p.number""",
 )
 def build_status(spark, sf):
-    rows = builds.build_detail(b.build_documents(spark, sf))
+    # parsed once: both sides of the join read the stored rows
+    rows = staged(builds.build_detail(b.build_documents(spark, sf)).drop("artifacts", "url"), "build-rows")
     newest = rows.select(F.try_element_at("params", F.lit("SCAN_ID")).alias("scan_id"), "job", "number")
     resolved = newest.groupBy("scan_id").agg(F.max_by("job", "number").alias("pipeline"), F.max("number").alias("number"))
     return builds.build_status(resolved, rows).withColumn("building", F.col("building").cast("string"))

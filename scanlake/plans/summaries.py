@@ -11,7 +11,7 @@ from scanlake.operators import gates, inventory, joins, ranking, summaries, tota
 from scanlake.plans import bindings as b
 from scanlake.plans import counting, ingest, verdicts
 from scanlake.plans.registry import query
-from scanlake.session import shared_dir
+from scanlake.session import shared_dir, staged
 from scanlake.sources import artifacts, lint, quality, scanners, textual, tests_coverage as tc
 
 COUNTS = counting.COUNTS
@@ -315,14 +315,18 @@ def write_summary(spark, sf):
     f"""with {b.FINDINGS_SQL}, c as (
       select scan_id, count(*) filter (kind = 'vuln' and severity_raw = 'CRITICAL') as cv, count(*) filter (kind = 'misconfig' and severity_raw = 'CRITICAL') as cm,
         count(*) filter (kind = 'vuln' and severity_raw = 'HIGH') as hv, count(*) filter (kind = 'misconfig' and severity_raw = 'HIGH') as hm, count(*) filter (kind = 'secret') as secrets from findings group by scan_id)
-    select scan_id, cv + cm as critical, hv + hm as high, 0::bigint as medium, secrets, nullif(secrets % 3, 0) as sbom_component_count,
-      case when cv > 0 or secrets > 0 or hv > 10 then 'false' else 'true' end as gate_passed from c""",
+    select scan_id, cv + cm as critical, hv + hm as high, 0::bigint as medium, secrets, parts as sbom_component_count,
+      case when cv > 0 or secrets > 0 or hv > 10 or coalesce(failed, 0) > 0 then 'false' else 'true' end as gate_passed
+    from c left join (select 'scan-' || l_suppkey as scan_id, count(*) as parts, count(*) filter (l_linestatus = 'F') as failed from lineitem group by 1) using (scan_id)""",
 )
 def write_comprehensive_summary(spark, sf):
-    counts = totals.severity_totals(b.findings(spark, sf), policy="comprehensive")
-    zero = F.lit(0).cast("bigint")
-    rows = counts.select("*", zero.alias("blockers"), zero.alias("test_failed"), F.lit(None).cast("string").alias("quality_gate"))
-    rows = rows.withColumn("overall_status", gates.comprehensive()).withColumn("sbom_component_count", F.col("secrets") % 3)
+    parts = {
+        "tests": totals.test_totals_report(counting.suites(spark, sf)).select("scan_id", "test_failed"),
+        "sbom": b.coverage_counts(spark, sf).groupBy("scan_id").agg(F.sum("total").alias("sbom_component_count")),
+    }
+    counts = joins.scan_summary(totals.severity_totals(b.findings(spark, sf), policy="comprehensive"), parts)
+    rows = counts.withColumns({"blockers": F.lit(0).cast("bigint"), "quality_gate": F.lit(None).cast("string")})
+    rows = rows.withColumn("overall_status", gates.comprehensive())
     root = shared_dir(spark, "comprehensive")
     docs = sinks.scan_summary_json(sinks.comprehensive_summary(rows))
     sinks.write_documents(docs.select("content"), root, "scan-summary")
@@ -359,35 +363,67 @@ def unified_rows(spark, sf):
     "write_unified_report",
     "K2 S25",
     f"""with {counting.FACTS_SQL}, u as (select scan_id, {counting.sql_counts("true", "case when kind = 'secret' then severity_high else severity end")} from leveled group by scan_id)
+    , present as (select scan_id, string_agg(distinct adapter, ',' order by adapter) as adapters, string_agg(distinct adapter, ',' order by adapter) filter (scan_id like '%5' and adapter = 'R') as missing from counts group by 1),
+    tools as (select scan_id, tool, {counting.sql_counts("true", "case when kind = 'secret' then severity_high else severity end")} from leveled group by 1, 2),
+    listed as (select scan_id, string_agg(tool || ':' || critical || '/' || high || '/' || medium || '/' || low || '/' || unknown, ',' order by tool) as tools,
+      string_agg('security:' || tool || '=' || scan_id || '/security/' || tool || '.json', ',' order by tool) as traced from tools group by 1)
     select 'scan-' || c_custkey as scan_id, coalesce(u.critical, 0) as critical, coalesce(u.high, 0) as high,
-      cast(not (coalesce(u.critical, 0) > 0 or coalesce(f.test_failed, 0) > 0 or coalesce(f.coverage_pct < 50, false)) as varchar) as gate_passed
-    from customer left join u on u.scan_id = 'scan-' || c_custkey left join facts f on f.scan_id = 'scan-' || c_custkey""",
+      cast(not (coalesce(u.critical, 0) > 0 or coalesce(f.test_failed, 0) > 0 or coalesce(f.coverage_pct < 50, false)) as varchar) as gate_passed,
+      case c_mktsegment when 'BUILDING' then 'code-only' when 'HOUSEHOLD' then 'image-only' when 'MACHINERY' then 'full' else 'k8s-manifests' end as mode,
+      coalesce(adapters, '') as adapters, coalesce(missing, '') as missing, coalesce(tools, '') as tools, coalesce(traced, '') as traced, f.test_failed::bigint as test_failed, f.coverage_pct
+    from customer left join u on u.scan_id = 'scan-' || c_custkey left join facts f on f.scan_id = 'scan-' || c_custkey
+    left join present on present.scan_id = 'scan-' || c_custkey left join listed on listed.scan_id = 'scan-' || c_custkey""",
 )
 def write_unified(spark, sf):
+    """All fields of the report are real and compared: modes, adapters, what lacks coverage, counters by tool, artifacts of tools."""
     rows = unified_rows(spark, sf)
     tools = F.transform_values("by_tool_text", lambda _, v: F.from_json(v, "map<string,bigint>"))
-    rows = rows.withColumn("by_tool", tools).withColumn("adapters", F.array(F.lit("python"), F.lit("java")))
-    rows = rows.withColumn("missing", F.array().cast("array<string>")).withColumn(
-        "traceability", F.create_map(F.lit("security:trivy-fs"), F.concat("scan_id", F.lit("/security/trivy-fs.json")))
-    )
+    found = b.coverage_counts(spark, sf).select("scan_id", "adapter")
+    covered = counting.adapter_coverage(spark, sf).select("scan_id", "adapter")
+    parts = {
+        "adapters": found.groupBy("scan_id").agg(F.sort_array(F.collect_set("adapter")).alias("adapters")),
+        "missing": totals.coverage_missing(found, covered),
+    }
+    rows = joins.scan_summary(rows.withColumn("by_tool", tools), parts)
+    artifact = lambda tool: F.struct(F.concat(F.lit("security:"), tool).alias("key"), F.concat("scan_id", F.lit("/security/"), tool, F.lit(".json")).alias("value"))
+    rows = rows.withColumn("traceability", F.map_from_entries(F.transform(F.map_keys("by_tool"), artifact)))
     root = shared_dir(spark, "unified")
     sinks.write_documents(sinks.unified_report_json(rows).select("content"), root, "final-report")
     back = spark.read.text(f"{root}/final-report").select(
-        F.get_json_object("value", "$.scan_id").alias("scan_id"), F.col("value").alias("content")
+        F.get_json_object("value", "$.scan_id").alias("scan_id"), F.col("value").alias("content"),
+        F.from_json("value", "mode string, adapters array<string>, traceability map<string,string>, summary struct<tests:struct<failed:bigint>,coverage:struct<overall_percent:double,missing:array<string>>>").alias("d"),
     )
-    return textual.read_unified_report(back).select(
-        "scan_id", "critical", "high", F.col("gate_passed").cast("string").alias("gate_passed")
+    listed = lambda names: F.coalesce(F.array_join(F.sort_array(names), ","), F.lit(""))
+    tool_text = F.transform(
+        F.sort_array(F.map_keys("findings_by_type")),
+        lambda t: F.concat(t, F.lit(":"), F.concat_ws("/", *[F.try_element_at(F.try_element_at("findings_by_type", t), F.lit(n.upper())).cast("string") for n in COUNTS])),
     )
+    own = back.select(
+        "scan_id", "d.mode", listed(F.col("d.adapters")).alias("adapters"), listed(F.col("d.summary.coverage.missing")).alias("missing"),
+        listed(F.transform(F.map_entries("d.traceability"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))).alias("traced"),
+        F.col("d.summary.tests.failed").alias("test_failed"), F.col("d.summary.coverage.overall_percent").alias("coverage_pct"),
+    )
+    read = textual.read_unified_report(back).select(
+        "scan_id", "critical", "high", F.col("gate_passed").cast("string").alias("gate_passed"), F.coalesce(F.array_join(tool_text, ","), F.lit("")).alias("tools")
+    )
+    return read.join(own, "scan_id")
 
 
 @query(
     "write_comprehensive",
     "K3",
-    f"""with {MERGED_SQL}, i as (select scan_id, count(*) as critical_issues_count, count(*) filter (section = 0 or section = 2) as blockers, least(count(*), 50) as top from issues group by scan_id)
-    select scan_id, critical_issues_count, top, case when blockers > 0 then 'FAIL' else 'PASS' end as overall_status from i""",
+    f"""with {MERGED_SQL}, i as (select scan_id, count(*) as critical_issues_count, count(*) filter (section = 0 or section = 2) as blockers, least(count(*), 50) as top from issues group by scan_id),
+    v as (select scan_id, count(*) filter (kind = 'vuln' and severity_raw = 'CRITICAL') as critical, count(*) filter (kind = 'vuln' and severity_raw = 'HIGH') as high, count(*) filter (kind = 'secret') as secrets from findings group by 1),
+    t as (select scan_id, sum(covered)::bigint as test_failed from counts group by 1),
+    worst as (select scan_id, arg_min(title, (section, ord)) as first_title from issues group by 1)
+    select scan_id, critical_issues_count, top, first_title, coalesce(critical, 0) as critical, coalesce(high, 0) as high, coalesce(secrets, 0) as secrets, coalesce(test_failed, 0) as test_failed,
+      (case when test_failed is null then 0 else 1 end + case when critical is null then 0 else 2 end)::bigint as reports,
+      case when blockers > 0 or coalesce(critical, 0) > 0 or coalesce(secrets, 0) > 0 then 'FAIL' when coalesce(high, 0) > 10 or coalesce(test_failed, 0) > 0 then 'WARNING' else 'PASS' end as overall_status
+    from i join worst using (scan_id) left join v using (scan_id) left join t using (scan_id)""",
 )
 def write_comprehensive(spark, sf):
-    issues = merged(spark, sf)
+    """Counters, section states and issues of a scan come from its reports; the issues are merged once."""
+    issues = staged(merged(spark, sf), "issues")
     counts = issues.groupBy("scan_id").agg(
         F.count("*").alias("critical_issues_count"), F.count_if(F.col("severity") == "BLOCKER").alias("blockers")
     )
@@ -395,16 +431,27 @@ def write_comprehensive(spark, sf):
     leading = ranking.top_issues(issues, 50).groupBy("scan_id").agg(
         F.sort_array(F.collect_list(F.struct("number", "source", "severity", "title", "detail"))).alias("top_issues")
     )
-    rows = counts.join(leading, "scan_id").withColumn("sections", F.create_map(F.lit("trivy"), F.lit("SCANNED")))
-    zero = F.lit(0).cast("bigint")
-    rows = rows.select("*", *[zero.alias(n) for n in ("critical", "high", "secrets", "test_failed")])
-    rows = rows.withColumn("overall_status", gates.comprehensive())
+    parts = {
+        "leading": leading,
+        "totals": totals.severity_totals(b.findings(spark, sf), policy="comprehensive").select("scan_id", "critical", "high", "secrets"),
+        "tests": totals.test_totals_report(counting.suites(spark, sf)),
+    }
+    rows = joins.scan_summary(counts, parts)
+    none = lambda kind: F.lit(None).cast(kind)
+    facts = rows.withColumns({"coverage_pct": none("double"), "quality_gate": none("string"), "sbom_components": none("bigint"), "lint_issues": none("bigint")})
+    states = totals.report_sections(facts).groupBy("scan_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "status")))).alias("sections"))
+    rows = rows.join(states, "scan_id").fillna(0, ["critical", "high", "secrets", "test_failed"]).withColumn("overall_status", gates.comprehensive())
     root = shared_dir(spark, "comprehensive")
     sinks.write_documents(sinks.comprehensive_json(rows).select(F.concat_ws("\t", "scan_id", "content")), root, "comprehensive-report")
     back = spark.read.text(f"{root}/comprehensive-report")
-    doc = F.from_json(F.substring_index("value", "\t", -1), "overall_status string, critical_issues_count bigint, top_issues array<struct<number:int>>")
+    doc = F.from_json(
+        F.substring_index("value", "\t", -1),
+        "overall_status string, critical_issues_count bigint, summary struct<critical:bigint,high:bigint,secrets:bigint,test_failed:bigint>, sections map<string,string>, top_issues array<struct<number:int,title:string>>",
+    )
+    present = lambda name, value: F.when(F.try_element_at("d.sections", F.lit(name)) != "SKIPPED", value).otherwise(0)
     return back.select(F.substring_index("value", "\t", 1).alias("scan_id"), doc.alias("d")).select(
-        "scan_id", "d.critical_issues_count", F.size("d.top_issues").cast("bigint").alias("top"), "d.overall_status"
+        "scan_id", "d.critical_issues_count", F.size("d.top_issues").cast("bigint").alias("top"), F.col("d.top_issues")[0]["title"].alias("first_title"), "d.summary.*",
+        (present("unit_tests", 1) + present("trivy", 2)).cast("bigint").alias("reports"), "d.overall_status",
     )
 
 
