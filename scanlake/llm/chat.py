@@ -10,7 +10,7 @@ Turns are encoded where they lie; only ``read_back`` brings a conversation's tur
 one running digest per conversation, so that no conversation has to fit in memory.
 
 Rows: null role and null text are empty; empty texts give turns without content. Turns of a conversation are ordered by turn
-(null first), then role, then text, repeated rows stay. A null conv_id is a conversation of its own. Extra columns are
+(null first), then role, then the SHA-256 of the text, repeated rows stay. All rows with a null conv_id are one conversation. Extra columns are
 ignored. An empty table has no rows.
 """
 
@@ -113,8 +113,8 @@ def format_turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
 
     empty = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), empty("role"), empty("text"))
-    # equal turns are ordered by the start and the digest of their texts, not by whole texts
-    return rows.withColumn("tie", F.concat(F.substring("text", 1, 64), F.sha2("text", 256))).mapInArrow(
+    # equal turns are ordered by the digest of their texts, so that whole texts need not be shuffled beside the ids
+    return rows.withColumn("tie", F.sha2("text", 256)).mapInArrow(
         formatted, "conv_id long, turn long, role string, tie string, ids array<int>, mask array<byte>"
     )
 

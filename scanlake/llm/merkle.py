@@ -97,7 +97,9 @@ def edited(text: Column, source: Column) -> Column:
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, changed (paragraphs that differ).
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, changed.
+
+    ``changed`` locates the edit: (section, paragraph), from 0, of the paragraphs of the text that the edited one has not at that place.
 
     Each row is edited with the text of the next row in descending order. Texts are shuffled once, by slices of the id; the
     last row of a slice gets its neighbour from the first row of the next slice that has any.
@@ -125,4 +127,5 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ring = following(slices).select(F.col("v").alias("slice"), F.coalesce("after", F.lit(top).cast("long")).alias("next_slice"))
     edges = done.where("last").join(ring, "slice").join(heads.drop("fingerprint"), "next_slice").withColumn("edited", edited(F.col("edge_text"), F.col("after")))
     edges = edges.withColumns({"edited_fingerprint": fingerprint(F.col("edited")), "edited_sha256": F.sha2("edited", 256)}).withColumns(near)
-    return done.where("not last").select(*out).unionByName(edges.select(*out))
+    both = done.where("not last").select(*out).unionByName(edges.select(*out))
+    return both.withColumn("changed", branches(F.col("fingerprint"), F.col("edited_fingerprint")))

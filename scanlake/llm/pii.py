@@ -15,7 +15,8 @@ The texts are read once. What is stored is one row of slots per document that ha
 or an equi-join on hashes, folded before it is shuffled, so a pattern that a third of the corpus shares is one row per task.
 
 Rows: null is empty; an empty text has no spans. Equal texts have equal spans, and repeated rows count once as instances.
-Rows without a doc_id are worked on like others. Spans count code points, the end exclusive. Extra columns are ignored.
+Rows without a doc_id are worked on like others. Spans count code points, the end exclusive. Very long texts are searched whole, in time
+that is linear in their length. An empty table has no spans. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.llm.words import batch, staged, texts
+from scanlake.llm.words import batch, fresh, staged, texts
 
 KINDS = ("email", "ip", "card", "phone", "id")
 SUPPORT, PRIOR, ACCEPT, STILL = 5, 3.0, 0.5, 1e-3
@@ -213,11 +214,12 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Spans that overlap are replaced as one, under the kind listed first. Texts without spans stay as they are, null included.
     """
-    spans = find(docs, id_col, text_col).where("size(spans) > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans").dropDuplicates(["_id", "_key"]).withColumnRenamed("spans", "_spans")
+    hashed, own, key, listed = (fresh(docs, name) for name in ("text_hash", "span_id", "span_key", "span_list"))
+    spans = find(docs, id_col, text_col).where("size(spans) > 0").select(F.col("doc_id").alias(own), F.col("text_key").alias(key), F.col("spans").alias(listed)).dropDuplicates([own, key])
     names = docs.columns
     place = names.index(text_col)
-    both = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    both = both.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left").select(*[docs[c] for c in names], "_spans")
+    both = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    both = both.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(hashed) == F.col(key)), "left").select(*[docs[c] for c in names], listed)
 
     def replaced(batches):
         for rows in batches:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanlake.llm.words import batch, mix, passes, shingles, staged, texts, words
+from scanlake.llm.words import batch, fresh, mix, passes, shingles, staged, texts, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 SIZE, ROWS = 96, 4
@@ -276,7 +276,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that stand for their class: the smallest doc_id, once. Rows without id stay."""
     classes = near_duplicates(docs, threshold)
-    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    numbered = docs.withColumn("_copy", F.expr("row_number() over (partition by doc_id order by xxhash64(text), text)"))
-    chosen = numbered.where("_copy = 1").drop("_copy").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    copy, kept_id = fresh(docs, "copy"), fresh(docs, "kept_id")
+    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias(kept_id)).distinct()
+    numbered = docs.withColumn(copy, F.expr("row_number() over (partition by doc_id order by xxhash64(text), text)"))
+    chosen = numbered.where(F.col(copy) == 1).drop(copy).join(kept, F.col("doc_id") == F.col(kept_id), "left_semi")
     return chosen.unionByName(docs.where("doc_id is null"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanlake.llm.words import staged
+from scanlake.llm.words import fresh, staged
 
 DIMENSIONS = ("source", "lang", "topic")
 RATE, TURNS, ROUND, TOLERANCE = 0.85, 24, 4, 1e-3
@@ -61,7 +61,7 @@ def rake(cells: DataFrame, shares: dict[str, DataFrame], rate: float = RATE, tur
     """cells with ``weight`` <= tokens, whose sums by dimension are share x rate x all tokens as far as tokens allow.
 
     Turns go in rounds of ``ROUND``, each one query of window sums over the table of cells, written to the shared folder. They
-    end when no cell moves by more than ``tolerance`` of its weight in a round. Given shares have to sum to 1 in each
+    end when no cell moves by more than ``tolerance`` of its weight in a round, or after ``turns``; ``gaps`` tells what is left. Given shares have to sum to 1 in each
     dimension; values without a share get none.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
@@ -85,6 +85,20 @@ def rake(cells: DataFrame, shares: dict[str, DataFrame], rate: float = RATE, tur
     return now.drop(*[f"_{d}" for d in shares])
 
 
+def gaps(raked: DataFrame, shares: dict[str, DataFrame], rate: float = RATE) -> DataFrame:
+    """dimension, value, wanted, got: what each marginal asks for and what raked cells give it.
+
+    They differ where the turns ended first, or where cells have too few tokens for their targets.
+    """
+    total = float(raked.agg(F.sum("tokens")).first()[0] or 0)
+    out = None
+    for dimension, share in shares.items():
+        got = raked.groupBy(F.col(dimension).alias("value")).agg(F.sum("weight").alias("got"))
+        own = share.join(got, "value", "left").select(F.lit(dimension).alias("dimension"), "value", (F.col("share") * F.lit(rate * total)).alias("wanted"), F.coalesce("got", F.lit(0.0)).alias("got"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def chances(rows: DataFrame, rate: float = RATE, exponents: dict[str, float] | None = None) -> DataFrame:
     """Of each cell of ``described`` rows: its dimensions, tokens, weight and probability; stored in the shared folder."""
     cells = staged(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "cells")
@@ -101,6 +115,7 @@ def mix(docs: DataFrame, rate: float = RATE, exponents: dict[str, float] | None
 
 def sampled(docs: DataFrame, rate: float = RATE, exponents: dict[str, float] | None = None) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that the mix keeps."""
-    chance = chances(described(docs), rate, exponents).select(F.struct(*DIMENSIONS).alias("_cell"), "probability")
-    own = described(docs.select("*", F.struct(*docs.columns).alias("_row")), keep="_row").select("_row", F.struct(*DIMENSIONS).alias("_cell"), "draw")
-    return own.join(chance, "_cell").where("draw < probability").select("_row.*")
+    chance = chances(described(docs), rate, exponents).select(F.struct(*DIMENSIONS).alias("cell"), "probability")
+    row = fresh(docs, "whole_row")
+    own = described(docs.select("*", F.struct(*docs.columns).alias(row)), keep=row).select(F.col(row).alias("whole"), F.struct(*DIMENSIONS).alias("cell"), "draw")
+    return own.join(chance, "cell").where("draw < probability").select("whole.*")

@@ -10,8 +10,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from scanlake.llm import divergence, idfiles, licences, pii, probminhash, queries, radix, resampling
+import corpus_pipeline
+from scanlake.llm import chat, divergence, idfiles, licences, merkle, pii, probminhash, queries, radix, raking, resampling
 from scanlake.llm.words import read, shingles, words
 from scanlake.session import shared_dir
 
@@ -204,3 +206,54 @@ def test_long_texts_take_linear_time():
     began = time.time()
     ((_, _, spans),) = scanner.scan(pa.array([notices]))
     assert len(spans) == 50_000 and time.time() - began < 60
+
+
+CLASHING = ["copy", "kept_id", "text_hash", "span_id", "span_key", "span_list", "whole_row", "_copy", "_kept_id", "_hash", "_id", "_spans", "_row", "cell", "label", "node", "draw"]
+
+
+def test_stages_with_clashing_names_nulls_and_repeated_rows(spark, odd, sf):
+    docs = odd.select("doc_id", "text", "lang", "source").withColumns({"n_chars": F.length("text").cast("long"), **{name: F.lit(1) for name in CLASHING}})
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, sf)
+        if name == "encoding":
+            assert found.count() <= docs.count()
+        else:
+            assert found.columns == docs.columns and found.exceptAll(docs).where("text not like '%[%'").count() == 0, name
+        assert stage(spark, docs.where("false"), sf).count() == 0, name
+
+
+def test_the_pipeline_as_registered(spark, sf):
+    rows = corpus_pipeline.run(spark, sf)
+    ids = {r["doc_id"] for r in rows.collect()}
+    every = {r["doc_id"] for r in read(spark, sf, "documents").collect()}
+    assert ids < every and len(ids) > len(every) / 2
+
+
+def test_odd_conversations(spark):
+    import public_tokenizers
+
+    path, pattern = queries.vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    turns = [(1, 0, "user", None), (1, 0, "user", "b"), (1, 0, "user", "a!"), (1, 0, "user", "a"), (1, 1, "assistant", ""), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes"), (2, None, None, "x" * 100_000), (None, 0, "user", "q"), (None, 0, "user", "p")]
+    rows = spark.createDataFrame([(*t, 7, "z") for t in turns], "conv_id long, turn long, role string, text string, tie int, ids string").repartition(3)
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(rows, path, pattern), path, pattern).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for conv in (1, 2, None):
+        own = sorted(((t[1] if t[1] is not None else -1, t[2] or "", sha(t[3] or ""), t[3] or "") for t in turns if t[0] == conv))
+        learnt = "".join(x[3] for x in own if x[1] == "assistant")
+        assert (got[conv]["n_turns"], got[conv]["turns_sha256"], got[conv]["loss_sha256"]) == (len(own), sha("".join(f"{x[1]}\n{x[3]}\n" for x in own)), sha(learnt)), conv
+    assert chat.read_back(chat.format_turns(rows.where("false"), path, pattern), path, pattern).count() == 0
+
+
+def test_edits_are_located(spark):
+    rows = [(k, "\n".join(f"paragraph {k} {n} " + "word " * 20 for n in range(8))) for k in range(5)]
+    report = merkle.edit_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    for r in report.collect():
+        assert {x["paragraph"] for x in r["changed"]} == {4, 5, 6, 7} or {x["paragraph"] for x in r["changed"]} == {3, 4, 5, 6, 7}
+
+
+def test_what_raking_leaves_open(spark):
+    cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 100), ("b", "x", 10), ("b", "y", 10)], "source string, lang string, tokens long")
+    even = lambda *values: spark.createDataFrame([(v, 1 / len(values)) for v in values], "value string, share double")
+    shares = {"source": even("a", "b"), "lang": even("x", "y")}
+    got = {(r["dimension"], r["value"]): (r["wanted"], r["got"]) for r in raking.gaps(raking.rake(cells, shares, 0.5), shares, 0.5).collect()}
+    assert got["source", "b"][1] == pytest.approx(20) and got["source", "b"][0] == pytest.approx(55) and got["lang", "x"][0] == pytest.approx(55)
