@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
 ``docs``. All but the last return the columns of documents. Null and empty texts pass every stage: they are not toxic, equal
-ones are copies of each other (one stays), they hold no personal data, are always mixed in, and have no ids.
+ones are copies of each other (one stays), they hold no personal data, are always mixed in, and have no ids. Equal rows are copies of each other; of rows that share a doc_id and stand for their class one stays,
+rows without a doc_id all stay. Very long texts pass like others, whole. Further columns are carried along whatever their names; an
+empty table passes every stage and stays empty.
 """
 
 from __future__ import annotations
