@@ -43,10 +43,10 @@ from scanlake.operators.skew import sliced_window
 
 FORMAT = "token-ids-1"
 SAMPLE_ROWS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 2_000, 4_000, 112_640, 3
-FILE_BYTES = 32 << 20
-PASS_BYTES = 4 << 20
+FILE_BYTES = 8 << 20
+PASS_BYTES = 3 << 20
 #: A Python worker forgets the units it met when they are more than so many, or they and their ids more than so many bytes.
-REMEMBERED, REMEMBERED_BYTES = 600_000, 32 << 20
+REMEMBERED, REMEMBERED_BYTES = 500_000, 32 << 20
 
 _WHOLE, _LETTER, _DIGIT, _REST = 0, 1, 2, 3
 #: Whether a text is cut between two kinds of bytes: digits stand alone, letters and the rest in runs.
