@@ -2,17 +2,25 @@
 
 Vectors are scaled to length one and projected on ``PROJECTIONS`` random lines. Each projection is a sorted array. A query
 looks at windows around its own projections; a row collides with it on a line if it lies in the window. Rows that collide on
-``COLLISIONS`` lines or more are verified by their exact cosine. If the k-th best found lies farther than the search radius,
-the radius grows and all windows with it (virtual rehashing: the arrays stay as they are), and only what is new in the
-windows is counted. At the largest radius every row is in reach, so a query with fewer than k rows gets all of them.
+``COLLISIONS`` lines or more are verified by their exact cosine. The windows widen with the search radius (virtual
+rehashing: the arrays stay as they are); on each line a row at the radius or nearer lies in the window with probability 0.954,
+so it collides often enough with probability 0.97.
 
 Rows and queries are dealt to blocks of bounded size by the hash of their id; a task indexes one block of rows and answers
-one block of queries on it. Each query keeps its best k of each block, and a window picks the best k of those. Every row is
-indexed; nothing is fitted on data.
+one block of queries on it. There are two rounds:
+
+1. In each block the windows of a query widen until they hold k rows to verify. The k-th best over all blocks bounds how far
+   the query's neighbours can be.
+2. In each block the windows are set to that bound, and what they hold is verified.
+
+So no block widens further than the best known of all blocks asks for: a query whose neighbours lie in one block leaves the others
+early. A row's place in the sorted array of each line is kept, so whether it lies in a window is one comparison of whole
+numbers. The answer is the best k of both rounds. Every row is indexed; nothing is fitted on data.
 
 Rows: vectors that are null, empty, zero or hold null or non-finite components take no part. Vectors are compared only with
 those of the same number of components. Repeated ids are rows of their own, but a row with the query's id is no candidate of
-it. Ties go to the smaller id. Rows without id take no part. Extra columns are ignored.
+it. Ties go to the smaller id; copies of a vector have equal scores. Rows without id take no part. A query with fewer than k rows
+gets all of them. An empty table has no answers. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS, COLLISIONS, WIDTH = 48, 31, 2.7
-RADIUS, GROWTH = 0.05, 1.35
-ROW_BLOCK, QUERY_BLOCK = 8192, 2048
+from scanlake.llm.words import staged
+
+PROJECTIONS, COLLISIONS, HALF = 64, 58, 2.0
+RADIUS, GROWTH = 0.05, 1.2
+LEVELS = math.ceil(math.log(2 / RADIUS) / math.log(GROWTH)) + 1
+ROW_BLOCK, QUERY_BLOCK = 8192, 4096
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def usable(vector: Column) -> Column:
@@ -40,81 +53,117 @@ def lines(size: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, size]).standard_normal((PROJECTIONS, size))
 
 
-def search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, seed: int = 5):
-    """(query index, row index, score) of each query's k best rows found. Vectors in double precision, not scaled."""
-    norm, query_norm = np.sqrt((rows * rows).sum(1)), np.sqrt((queries * queries).sum(1))
-    unit, query_unit = rows / norm[:, None], queries / query_norm[:, None]
-    direction = lines(rows.shape[1], seed)
-    placed, asked = direction @ unit.T, direction @ query_unit.T
-    order = np.argsort(placed, axis=1, kind="stable")
-    arrays = np.take_along_axis(placed, order, axis=1)
-    top = math.ceil(math.log(2 / RADIUS) / math.log(GROWTH)) + 1
-    halves = WIDTH / 2 * RADIUS * GROWTH ** np.arange(top)
-    lows = np.stack([np.searchsorted(a, q[:, None] - halves, side="left") for a, q in zip(arrays, asked)])
-    highs = np.stack([np.searchsorted(a, q[:, None] + halves, side="right") for a, q in zip(arrays, asked)])
-    found = ([], [], [])
-    for q in range(len(queries)):
-        count, open_ = np.zeros(len(ids), np.int32), ids != query_ids[q]
-        scores, picked, before = np.zeros(0), np.zeros(0, np.int64), None
-        left = int(open_.sum())
-        for level in range(top + 1):
-            if level < top:
-                low, high = lows[:, q, level], highs[:, q, level]
-                if before is None:
-                    parts = [order[j, low[j] : high[j]] for j in range(PROJECTIONS)]
-                else:
-                    parts = [p for j in range(PROJECTIONS) for p in (order[j, low[j] : before[0][j]], order[j, before[1][j] : high[j]])]
-                before = low, high
-                count += np.bincount(np.concatenate(parts), minlength=len(ids)).astype(np.int32)
-                fresh = np.flatnonzero(open_ & (count >= COLLISIONS))
-            else:
-                fresh = np.flatnonzero(open_)  # fewer than k so far: all that is left
-            if len(fresh):
-                open_[fresh] = False
-                left -= len(fresh)
-                picked = np.concatenate((picked, fresh))
-                scores = np.concatenate((scores, (rows[fresh] @ queries[q]) / (norm[fresh] * query_norm[q])))
-            if not left:
+class Block:
+    """The sorted projections of one block of rows. Vectors are in double precision and not scaled."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, seed: int = 5):
+        self.rows, self.ids, self.norm = rows, ids, np.sqrt((rows * rows).sum(1))
+        self.direction = lines(rows.shape[1], seed)
+        placed = self.direction @ (rows / self.norm[:, None]).T
+        order = np.argsort(placed, axis=1, kind="stable")
+        self.places = np.empty(order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.places, order, np.arange(len(ids), dtype=self.places.dtype)[None, :], axis=1)
+        # the arrays end to end, each shifted by a step that is wider than any of them, so that one search serves all lines
+        self.reach = float(np.abs(placed).max()) + 1.0
+        self.shift = 2 * self.reach * np.arange(PROJECTIONS)
+        self.arrays = (np.take_along_axis(placed, order, axis=1) + self.shift[:, None]).ravel()
+        self.begin = len(ids) * np.arange(PROJECTIONS)
+
+    def asked(self, query: np.ndarray) -> np.ndarray:
+        return self.direction @ (query / math.sqrt(float(query @ query)))
+
+    def within(self, asked: np.ndarray, radius: float) -> np.ndarray:
+        """Rows that collide often enough in the windows of this radius."""
+        edge = lambda x, side: np.searchsorted(self.arrays, np.clip(x, -self.reach, self.reach) + self.shift, side) - self.begin
+        low, high = edge(asked - HALF * radius, "left"), edge(asked + HALF * radius, "right")
+        kind = self.places.dtype
+        inside = (self.places - low.astype(kind)[:, None]) < (high - low).astype(kind)[:, None]  # places before a window wrap round
+        return np.flatnonzero(inside.sum(0, dtype=np.uint8) >= COLLISIONS)
+
+    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,j->i", self.rows[rows], query) / (self.norm[rows] * math.sqrt(float(np.einsum("i,i->", query, query))))
+
+    def best(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        score = self.scores(rows, query)
+        if len(rows) > 4 * k:  # all that reach the k-th score, ties included
+            near = score >= np.partition(score, len(score) - k)[len(score) - k]
+            rows, score = rows[near], score[near]
+        order = np.lexsort((self.ids[rows], -score))[:k]
+        return rows[order], score[order]
+
+    def widened(self, query: np.ndarray, query_id: int, k: int, level: int) -> tuple[np.ndarray, int]:
+        """Rows in the narrowest windows that hold k of them (or in the widest), and their level.
+
+        The search begins at a level given, the one of the query before.
+        """
+        asked = self.asked(query)
+        look = lambda n: (lambda found: found[self.ids[found] != query_id])(self.within(asked, RADIUS * GROWTH**n))
+        rows = look(level)
+        while len(rows) < k and level < LEVELS:
+            level += 1
+            rows = look(level)
+            if len(rows) >= k:
+                return rows, level
+        while len(rows) >= k and level > 0:
+            fewer = look(level - 1)
+            if len(fewer) < k:
                 break
-            if len(picked) >= k and level < top:
-                worst = np.partition(scores, len(scores) - k)[len(scores) - k]
-                if math.sqrt(max(0.0, 2 - 2 * worst)) <= RADIUS * GROWTH**level:
-                    break
-        best = np.lexsort((ids[picked], -scores))[:k]
-        found[0].append(np.full(len(best), q))
-        found[1].append(picked[best])
-        found[2].append(scores[best])
-    return tuple(np.concatenate(f) if f else np.zeros(0) for f in found)
+            rows, level = fewer, level - 1
+        return rows, level
+
+    def bounded(self, query: np.ndarray, query_id: int, bound: float) -> np.ndarray:
+        """Rows in the windows of the radius at which the cosine is ``bound``; without a bound, all rows."""
+        if math.isnan(bound):
+            return np.flatnonzero(self.ids != query_id)
+        found = self.within(self.asked(query), max(1e-6, math.sqrt(max(0.0, 2 - 2 * bound)) * (1 + 1e-9)))
+        return found[self.ids[found] != query_id]
+
+
+def _answers(table: DataFrame, asked: DataFrame, k: int, row_blocks: int, query_blocks: int) -> DataFrame:
+    """query_id, row, vec_id, score: the best k of each query in each block; windows by the column ``bound``, if there is one."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = table.select("row", "id", "v", "dim", "rows_block", every(query_blocks).alias("query_block"))
+    # both sides come from one table: names of their own tell their columns apart
+    right = asked.select(*[F.col(c).alias(f"asked_{c}") for c in asked.columns], every(row_blocks).alias("asked_rows_block"))
+    final = "bound" in asked.columns
+    key = ["dim", "rows_block", "query_block"]
+    asked_key = [f"asked_{c}" for c in key]
+
+    def answered(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        if not rows.num_rows or not queries.num_rows:
+            return _FOUND.empty_table()
+        cube = lambda v: v.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+        number, block = rows.column("row").to_numpy(), Block(cube(rows.column("v")), rows.column("id").to_numpy())
+        bounds = queries.column("asked_bound").to_numpy() if final else None
+        found, level = [], 0
+        for q, (query, query_id) in enumerate(zip(cube(queries.column("asked_v")), queries.column("asked_id").to_numpy())):
+            if final:
+                near = block.bounded(query, query_id, bounds[q])
+            else:
+                near, level = block.widened(query, query_id, k, level)
+            near, score = block.best(near, query, k)
+            found.append((np.full(len(near), query_id), number[near], block.ids[near], score))
+        return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found), _FOUND)], schema=_FOUND)
+
+    return left.groupBy(*key).cogroup(right.groupBy(*asked_key)).applyInArrow(answered, "query_id long, row long, vec_id long, score double")
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found of each row that meets ``is_query`` (of id_col)."""
     good = rows.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     good = good.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"), is_query.alias("asks"))
-    total, asking = good.agg(F.count("*"), F.sum(F.col("asks").cast("long"))).first()
+    table = staged(good.select("*", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("row")), "vectors")
+    total, asking = table.agg(F.count("*"), F.sum(F.col("asks").cast("long"))).first()
     row_blocks, query_blocks = max(1, -(-total // ROW_BLOCK)), max(1, -(-(asking or 0) // QUERY_BLOCK))
-    deal = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    size = F.size("v").alias("dim")
     # rows of the table with repeated ids and vectors are dealt one by one, so no block grows with them
-    spread = F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.lit(row_blocks)).cast("int")
-    table = good.select("id", "v", size, spread.alias("rows_block"), every(query_blocks).alias("query_block"))
+    table = table.withColumn("rows_block", F.pmod(F.xxhash64("id", "row"), F.lit(row_blocks)).cast("int"))
     # one row of each id asks, the one with the smallest vector: answers of several would share the k ranks of the id
-    asked = good.where("asks").groupBy("id").agg(F.min("v").alias("v")).select("id", "v", size, deal(query_blocks).alias("query_block"), every(row_blocks).alias("rows_block"))
-
-    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        if not left.num_rows or not right.num_rows:
-            return empty
-        cube = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        ids, query_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
-        q, r, s = search(cube(left), ids, cube(right), query_ids, k)
-        if not len(q):
-            return empty
-        return pa.table([pa.array(query_ids[q]), pa.array(ids[r]), pa.array(s)], names=names)
-
-    key = ["dim", "rows_block", "query_block"]
-    pairs = table.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(answered, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = table.where("asks").groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(query_blocks)).cast("int").alias("query_block"))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"), F.col("row"))
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    first = staged(ranked(_answers(table, asked, k, row_blocks, query_blocks)), "neighbours")
+    bounds = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    asked = asked.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(math.nan)))
+    second = _answers(table, asked, k, row_blocks, query_blocks)
+    both = first.drop("rank").unionByName(second).dropDuplicates(["query_id", "row"])
+    return ranked(both).select("query_id", "rank", "vec_id", "score")
