@@ -6,7 +6,8 @@ goes to the other cells of its marginals in the next turn. A document is kept wi
 cell, decided by the hash of its id and text, so that the expected kept tokens are the raked weights.
 
 The corpus is read twice (sums, decisions) and only sums are shuffled, folded per task first; the turns run on the table of
-cells as window sums. Documents meet their cell's probability in a join that the planner broadcasts only if the
+cells, each as sums by the values of a dimension that are folded per task and joined to the cells: a value that many cells share is
+one row per task. Documents meet their cell's probability in a join that the planner broadcasts only if the
 stored table of cells is smaller than spark.sql.autoBroadcastJoinThreshold.
 
 Targets: for each dimension the share of a value is in proportion to its tokens to the power of an exponent (1 keeps the mix,
@@ -18,13 +19,13 @@ tokens keep all their rows. Equal rows are decided alike. An empty table gives a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.llm.words import fresh, staged
+from scanlake.llm.words import discard, fresh, staged
 
 DIMENSIONS = ("source", "lang", "topic")
-RATE, TURNS, ROUND, TOLERANCE = 0.85, 24, 4, 1e-3
+RATE, TURNS, TOLERANCE = 0.85, 24, 2.5e-4
 EXPONENTS = {"source": 0.85, "lang": 0.9, "topic": 0.9}
 
 
@@ -60,9 +61,9 @@ def targets(cells: DataFrame, dimension: str, exponent: float) -> DataFrame:
 def rake(cells: DataFrame, shares: dict[str, DataFrame], rate: float = RATE, turns: int = TURNS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells with ``weight`` <= tokens, whose sums by dimension are share x rate x all tokens as far as tokens allow.
 
-    Turns go in rounds of ``ROUND``, each one query of window sums over the table of cells, written to the shared folder. They
-    end when no cell moves by more than ``tolerance`` of its weight in a round, or after ``turns``; ``gaps`` tells what is left. Given shares have to sum to 1 in each
-    dimension; values without a share get none.
+    Each turn is one query over the table of cells, written to the shared folder; the table of the turn before is removed. They
+    end when no cell moves by more than ``tolerance`` of its weight in a turn, or after ``turns``; ``gaps`` tells what is left. Given
+    shares have to sum to 1 in each dimension; values without a share get none.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     wanted = cells
@@ -70,16 +71,18 @@ def rake(cells: DataFrame, shares: dict[str, DataFrame], rate: float = RATE, tur
         own = share.select(F.col("value").alias("_value"), F.col("share").alias(f"_{dimension}"))
         wanted = wanted.join(own, F.col(dimension) == F.col("_value"), "left").drop("_value").fillna(0.0, [f"_{dimension}"])
     now = staged(wanted.withColumn("weight", F.col("tokens") * F.lit(rate)), "raked")
-    for _ in range(-(-turns // ROUND)):
+    for _ in range(turns):
         step = now.withColumn("_last", F.col("weight"))
-        for _ in range(ROUND):
-            for dimension in shares:
-                there = F.sum("weight").over(Window.partitionBy(dimension))
-                goal = F.col("weight") * F.col(f"_{dimension}") * F.lit(rate * total) / there
-                step = step.withColumn("weight", F.when(there > 0, F.least(F.col("tokens").cast("double"), goal)).otherwise(0.0))
+        for dimension in shares:
+            there = step.groupBy(F.col(dimension).alias("_value")).agg(F.sum("weight").alias("_there"))
+            goal = F.col("weight") * F.col(f"_{dimension}") * F.lit(rate * total) / F.col("_there")
+            met = step.join(there, F.col(dimension) == F.col("_value"), "left")
+            step = met.withColumn("weight", F.when(F.col("_there") > 0, F.least(F.col("tokens").cast("double"), goal)).otherwise(0.0)).drop("_value", "_there")
         step = staged(step, "raked")
         moved = step.agg(F.max(F.abs(F.col("weight") - F.col("_last")) / F.greatest(F.col("_last"), F.lit(1e-9)))).first()[0]
-        now = step.drop("_last")
+        discard(now)
+        place, now = step.staged_in, step.drop("_last")
+        now.staged_in = place
         if moved is None or moved <= tolerance:
             break
     return now.drop(*[f"_{d}" for d in shares])
