@@ -1,8 +1,11 @@
 """Personal data: formats found by pattern, and identifiers found by bootstrapped contexts.
 
-Formats (e-mail, IP address, card, phone) are the seed entities. The words around an entity are its lexical patterns: two
-words before it, two words after it, one on each side. Slots are the seed entities and every other blank-delimited chunk of
-five characters or more that holds a digit. They form a bipartite graph of patterns and instances (kind of slot and text).
+Formats (e-mail, IP address, card, phone) are the seed entities, and so are keys: 16 to 128 characters that mix letters and
+digits as made-up words do not (``is_key``). What stands around an entity are its lexical patterns: two words before it, two words
+after it, one on each side, and the name that it is set equal to (``token = "_``, ``password=_``). Slots are the seed entities and every
+other chunk of five characters or more that holds a digit; chunks end at blanks, brackets, quotes, signs of assignment and at the
+border of a format's span. They form a bipartite graph of patterns and instances (kind of slot and text). Keys become spans of kind
+``id`` as they stand, other chunks if the graph accepts them.
 
 Spark scores the graph by turns. A pattern's confidence is the mean score of its distinct instances, shrunk by
 ``PRIOR`` instances of score 0, so a rare pattern is not trusted; it counts only with ``SUPPORT`` distinct seeds or found
@@ -21,7 +24,9 @@ that is linear in their length. An empty table has no spans. Extra columns are i
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,8 +46,11 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DIGIT = re.compile(r"[0-9]")
-_BLANK = re.compile(r"\s")
+_CUT = re.compile(r"[\s=:;,\"'`()\[\]{}<>|&?!]")
 _WORD = re.compile(r"\w+")
+_KEY = re.compile(r"[A-Za-z0-9_+-]{16,128}")
+_CHANGE = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+_NAMED = re.compile(r"(\w+)([^\w]{1,6})$")
 _EDGE = ".,;:!?\"'()[]{}<>|"
 
 
@@ -78,28 +86,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def is_key(chunk: str) -> bool:
+    """Whether a chunk looks drawn at random: letters and digits change three times or more, at 3 bits a character or more."""
+    if not _KEY.fullmatch(chunk) or len(_CHANGE.findall(chunk)) < 3:
+        return False
+    counts = Counter(chunk).values()
+    return sum(n * math.log2(len(chunk) / n) for n in counts) >= 3.0 * len(chunk)
+
+
 def slots(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(kind, start, end): the spans, and as kind 4 other chunks of five characters or more that hold a digit."""
-    taken, found, at = sorted((s, e) for _, s, e in spans), list(spans), 0
+    found = list(spans)
     merged: list[list[int]] = []
-    for s, e in taken:
+    for s, e in sorted((s, e) for _, s, e in spans):
         if merged and s < merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], e)
         else:
             merged.append([s, e])
-    k = 0
+    merged.append([len(text), len(text)])
+    k = at = 0
     while (m := _DIGIT.search(text, at)) is not None:
         low = m.start()
-        while low > at and not _BLANK.match(text[low - 1]):
-            low -= 1
-        stop = _BLANK.search(text, m.start())
-        end = stop.start() if stop else len(text)
-        at = end
-        while k < len(merged) and merged[k][1] <= low:
+        while merged[k][1] <= low:
+            at = max(at, merged[k][1])
             k += 1
-        if k < len(merged) and merged[k][0] < end:  # the rest of such a chunk belongs to the format's surroundings
-            at = max(end, merged[k][1])
+        if merged[k][0] <= low:
+            at = merged[k][1]
             continue
+        stop = _CUT.search(text, low, merged[k][0])
+        end = stop.start() if stop else merged[k][0]
+        while low > at and not _CUT.match(text[low - 1]):
+            low -= 1
+        at = end
         while low < end and text[low] in _EDGE:
             low += 1
         while end > low and text[end - 1] in _EDGE:
@@ -110,8 +128,12 @@ def slots(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a slot, in lower case; a side without enough words gives none of its patterns."""
-    before = _WORD.findall(text[_back(text, start) : start].lower())[-2:]
+    """Lexical patterns of a slot, in lower case; a side without enough words gives none of its patterns.
+
+    Words more than 80 characters away are not looked at.
+    """
+    left = text[_back(text, start) : start].lower()
+    before = _WORD.findall(left)[-2:]
     after = _WORD.findall(text[end : end + 80].lower())[:2]
     out = []
     if len(before) == 2:
@@ -120,6 +142,9 @@ def patterns(text: str, start: int, end: int) -> list[str]:
         out.append(f"_ {after[0]} {after[1]}")
     if before and after:
         out.append(f"{before[-1]} _ {after[0]}")
+    named = _NAMED.search(left)
+    if named and ("=" in named[2] or ":" in named[2]):
+        out.append(f"{named[1]}{''.join(named[2].split())}_")
     return out
 
 
@@ -131,9 +156,9 @@ def _back(text: str, start: int) -> int:
 
 _FOUND = pa.schema([
     ("doc_id", pa.int64()), ("text_key", pa.int64()),
-    ("slots", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string()), ("patterns", pa.list_(pa.string()))]))),
+    ("slots", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))]))),
 ])
-_FOUND_DDL = "doc_id long, text_key long, slots array<struct<kind: int, start: long, end: long, text: string, patterns: array<string>>>"
+_FOUND_DDL = "doc_id long, text_key long, slots array<struct<kind: int, start: long, end: long, text: string, seed: boolean, patterns: array<string>>>"
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +167,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value in rows.column("text"):
             text = value.as_py()
             own = slots(text, base_spans(text))
-            out.append([{"kind": k, "start": s, "end": e, "text": text[s:e], "patterns": patterns(text, s, e)} for k, s, e in own])
+            out.append([{"kind": k, "start": s, "end": e, "text": text[s:e], "seed": k < 4 or is_key(text[s:e]), "patterns": patterns(text, s, e)} for k, s, e in own])
         yield batch({"doc_id": rows.column("doc_id"), "text_key": rows.column("text_key"), "slots": out}, _FOUND)
 
 
@@ -159,7 +184,7 @@ def graph(found: DataFrame) -> DataFrame:
     """
     slot = found.select("text_key", F.explode("slots").alias("slot"))
     edges = slot.select(
-        F.explode("slot.patterns").alias("words"), F.xxhash64("slot.kind", F.lower("slot.text")).alias("instance"), (F.col("slot.kind") < 4).alias("seed"),
+        F.explode("slot.patterns").alias("words"), F.xxhash64("slot.kind", F.lower("slot.text")).alias("instance"), F.col("slot.seed").alias("seed"),
     ).select(F.xxhash64("words").alias("pattern"), "instance", "seed").distinct()
     enough = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
     return staged(edges.join(enough.select("pattern"), "pattern", "left_semi"), "pattern-graph")
@@ -188,8 +213,8 @@ def bootstrap(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def discovered(found: DataFrame, scores: DataFrame) -> DataFrame:
-    """doc_id, text_key, ids: spans (start, end) of accepted instances that are no seed. Each row's list is bounded by its text."""
-    slot = found.select("doc_id", "text_key", F.explode("slots").alias("slot")).where("slot.kind = 4").select(
+    """doc_id, text_key, ids: spans (start, end) of accepted instances that are no seeds. Each row's list is bounded by its text."""
+    slot = found.select("doc_id", "text_key", F.explode("slots").alias("slot")).where("not slot.seed").select(
         "doc_id", "text_key", F.xxhash64("slot.kind", F.lower("slot.text")).alias("instance"), "slot.start", "slot.end"
     )
     good = scores.where(F.col("score") >= ACCEPT).select("instance")
@@ -201,7 +226,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = extract(docs, id_col, text_col)
     _, scores = bootstrap(graph(found))
     extra = discovered(found, scores)
-    base = found.select("doc_id", "text_key", F.expr("transform(filter(slots, s -> s.kind < 4), s -> struct(s.kind as kind, s.start as start, s.end as end))").alias("base"))
+    base = found.select("doc_id", "text_key", F.expr("transform(filter(slots, s -> s.seed), s -> struct(s.kind as kind, s.start as start, s.end as end))").alias("base"))
     joined = base.join(extra.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     return joined.select(
         "doc_id", "text_key",
