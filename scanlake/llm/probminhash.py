@@ -274,10 +274,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that stand for their class: the smallest doc_id, once. Rows without id stay."""
-    classes = near_duplicates(docs, threshold)
-    copy, kept_id = fresh(docs, "copy"), fresh(docs, "kept_id")
+    """The rows of ``docs``, all columns as they are, that stand for their class: the smallest doc_id, once. Rows without id stay.
+
+    Where a doc_id has several texts, each is a document of its own: the one with the smallest hash goes by the id, the others by
+    numbers above all ids (which have to be below 2**62), so a text that no other resembles is never lost.
+    """
+    number, own, hashed, copy, kept_id = (fresh(docs, name) for name in ("number", "own_id", "text_hash", "copy", "kept_id"))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    told = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias(own), text.alias(hashed))
+    several = told.groupBy(own).agg(F.min(hashed).alias("low"), F.max(hashed).alias("high"))
+    several = staged(several.where("low <> high"), "repeated-ids")
+    top = told.agg(F.max(own)).first()[0] or 0
+    others = told.join(several, own).where(f"{hashed} <> low").select(own, hashed).distinct()
+    others = staged(others.withColumn(number, F.monotonically_increasing_id() + F.lit(max(top, 0) + 1)), "further-texts")
+    keyed = docs.join(others, (docs["doc_id"].cast("long") == others[own]) & (text == others[hashed]), "left").drop(own, hashed)
+    keyed = keyed.withColumn(number, F.coalesce(number, F.col("doc_id").cast("long")))
+    classes = near_duplicates(keyed, threshold, id_col=number)
     kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias(kept_id)).distinct()
-    numbered = docs.withColumn(copy, F.expr("row_number() over (partition by doc_id order by xxhash64(text), text)"))
-    chosen = numbered.where(F.col(copy) == 1).drop(copy).join(kept, F.col("doc_id") == F.col(kept_id), "left_semi")
+    numbered = keyed.withColumn(copy, F.row_number().over(Window.partitionBy(number).orderBy(F.xxhash64("text"))))
+    chosen = numbered.where(F.col(copy) == 1).join(kept, F.col(number) == F.col(kept_id), "left_semi").select(*docs.columns)
     return chosen.unionByName(docs.where("doc_id is null"))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scanlake.llm import chat, collide, divergence, idfiles, licences, merkle, pii, probminhash, queries, radix, raking, resampling
+from scanlake.llm import chat, collide, divergence, idfiles, importance, licences, merkle, pii, probminhash, queries, radix, raking, resampling
 from scanlake.llm.words import read, shingles, words
 from scanlake.session import shared_dir
 
@@ -324,3 +324,28 @@ def test_neighbours_over_blocks(spark, monkeypatch):
         hit += len({i for _, i, _ in own} & set([i for i in np.lexsort((np.arange(1500), -scores)) if i != q][:5]))
     assert [i for _, i, _ in sorted(got[50])][:3] == [77, 333, 901]
     assert hit / 150 >= 0.9
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    r = random.Random(4)
+    text = lambda: " ".join(r.choice("abcdefghij") + str(r.randrange(50)) for _ in range(40))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (3, a), (3, b), (3, b), (3, c), (4, c), (5, None), (5, ""), (None, a)]
+    kept = probminhash.one_of_each(spark.createDataFrame([(*x, 1, "n") for x in rows], "doc_id long, text string, number int, low string").repartition(3))
+    got = [(x["doc_id"], x["text"] or "") for x in kept.collect()]
+    assert kept.columns == ["doc_id", "text", "number", "low"]
+    assert sorted(t for i, t in got if i) == sorted([a, b, c, ""]) and (None, a) in got
+    assert (1, a) in got and (3, b) in got
+
+
+def test_draws_follow_the_weights(spark):
+    """Of two texts the first is drawn before the second with probability 1 / (1 + exp(-(difference of scores) / temperature))."""
+    r = random.Random(6)
+    base = spark.createDataFrame([(i, " ".join(r.choice(["good", "fine"] if i % 3 == 0 else ["bad", "poor"]) + str(r.randrange(9)) for _ in range(50))) for i in range(300)], "doc_id long, text string")
+    ratio = importance.fit(base, base.where("doc_id % 3 = 0"))
+    pair = ["good1 good2 bad3 bad4 fine5", "good1 bad2 bad3 poor4 poor5 fine6"]
+    docs = spark.createDataFrame([(i, pair[i % 2]) for i in range(6000)], "doc_id long, text string")
+    one, two = (x["score"] for x in importance.resample(docs.where("doc_id < 2"), ratio, 0.5).orderBy("doc_id").collect())
+    key = {x["doc_id"]: x["key"] for x in importance.resample(docs, ratio, 0.5, temperature=abs(one - two)).collect()}
+    first = np.mean([(key[i] > key[i + 1]) == (one > two) for i in range(0, 6000, 2)])
+    assert first == pytest.approx(1 / (1 + math.exp(-1)), abs=0.035)
