@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from scanlake.llm.words import passes, texts
+from scanlake.llm.words import passes, release, texts
 
 REMEMBERED = 150_000
 #: Bytes of text whose units are looked at together (a longer text is looked at alone).
@@ -284,6 +284,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """doc_id, ids array<int>."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = pieces(path)
         for rows in batches:
             for low, high in passes(rows.column("text"), PASS_BYTES):

@@ -7,6 +7,7 @@ a polynomial of its bytes; prefix sums modulo 2**64 give it for all words of a c
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -38,17 +39,24 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; grown and kept in the process."""
+    """base**0 .. base**n modulo 2**64; as many as a pass needs are kept in the process, more are made for a longer text."""
     known = _powers.get(base)
     if known is None or len(known) <= n:
-        size = max(n + 1, PASS_BYTES + 1)
-        known = np.empty(size, np.uint64)
+        known = np.empty(max(n, PASS_BYTES) + 1, np.uint64)
         known[0] = 1
         known[1:] = np.uint64(base)
-        _powers[base] = known = np.cumprod(known, dtype=np.uint64)
+        known = np.cumprod(known, dtype=np.uint64)
+        _powers[base] = known[: PASS_BYTES + 1].copy() if n > PASS_BYTES else known
     return known[: n + 1]
 
 
+def release() -> None:
+    """Gives the system back what other operators have freed in this worker: Arrow's pool and the allocator of the process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (multiply and shift twice)."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
