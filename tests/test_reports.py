@@ -102,3 +102,17 @@ def test_sessions_of_a_user_with_most_scans(spark):
         want += [(user, run[0], run[-1], len(run)) for run in runs]
     got = ranking.scan_sessions(spark.createDataFrame(events, "user bigint, us bigint, id bigint"), 900)
     assert sorted(tuple(x) for x in got.select("user", "start_us", "end_us", "scans").collect()) == sorted(want)
+
+
+def test_kinds_are_looked_up_for_files_and_not_for_the_rows_they_are_made_of(spark, capsys):
+    rows = spark.createDataFrame([("s", "trivy-fs", 1, "CRITICAL"), ("s", "trivy-fs", 1, "odd"), ("s", "trivy-fs", 9, "low"), ("s", "other", 1, "HIGH")], "scan_id string, name string, n int, level string")
+    report = F.struct(F.array(F.struct(F.transform(F.collect_list("level"), lambda x: F.struct(x.alias("Severity"))).alias("Vulnerabilities"))).alias("Results"))
+    packed = rows.groupBy("scan_id", "name", "n").agg(F.to_json(report).alias("content"))
+    name = F.when(F.col("n") == 1, F.concat("name", F.lit("-scan.json"))).otherwise(F.concat(F.lit("registry-scan-"), "name", F.lit("-"), "n", F.lit(".json")))
+    files = packed.select("scan_id", name.alias("file"), "content")
+    types = summaries.report_types(summaries.file_facts(files))
+    for plan in (types, summaries.scan_summary_from_files(files), joins.pick_first_present(files)):
+        plan.explain()
+        assert not [line for line in capsys.readouterr().out.splitlines() if "Filter" in line and "trivy-k8s-config.json" in line]
+    assert {r["report"]: tuple(r)[2:] for r in types.collect()} == {"sast": (1, 0, 0, 0, 1), "registry:trivy-fs-9": (0, 0, 0, 1, 0)}
+    assert {r["file"] for r in joins.pick_first_present(files).collect()} == {"trivy-fs-scan.json", "registry-scan-trivy-fs-9.json"}
