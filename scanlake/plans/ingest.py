@@ -607,9 +607,9 @@ def read_unified_report(spark, sf):
 )
 def lockfile_components(spark, sf):
     """Lock maps keyed by install path, with the project's own empty key; odd ranges use the older field."""
-    rows = b.components(spark, sf).dropDuplicates(["scan_id", "ord"])
+    rows = b.components(spark, sf)
     key = F.concat(F.lit("node_modules/"), "name", F.lit("-"), F.col("ord").cast("string"))
-    packed = b._bom_files(rows, F.struct(key.alias("key"), F.struct("version").alias("value")))
+    packed = b._bom_files(rows, F.struct(key.alias("key"), F.struct("version").alias("value")), once=True)
     entries = F.concat(F.array(F.struct(F.lit("").alias("key"), F.struct(F.lit("0").alias("version")).alias("value"))), "items")
     lock = F.map_from_entries(entries)
     doc = F.when(F.col("part") % 2 == 0, F.to_json(F.struct(lock.alias("packages")))).otherwise(
@@ -626,9 +626,9 @@ def lockfile_components(spark, sf):
     from components""",
 )
 def manifest_components(spark, sf):
-    rows = b.components(spark, sf).dropDuplicates(["scan_id", "ord"])
+    rows = b.components(spark, sf)
     key = F.concat("name", F.lit("-"), F.col("ord").cast("string"))
-    packed = b._bom_files(rows, F.struct(key.alias("key"), F.concat(F.lit("^~>="), "version").alias("value")))
+    packed = b._bom_files(rows, F.struct(key.alias("key"), F.concat(F.lit("^~>="), "version").alias("value")), once=True)
     doc = F.struct(F.map_from_entries("items").alias("devDependencies"))
     files = packed.select("scan_id", "file", F.to_json(doc).alias("content"))
     return components.manifest_components(files).drop("file", "type")
